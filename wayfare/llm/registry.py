@@ -6,6 +6,9 @@ import importlib
 
 _OPS = {
     "op1_secrets": "op01_secrets",
+    "op5_bpe": "op05_bpe",
+    "op8_licenses": "op08_licenses",
+    "op9_toxicity": "op09_toxicity",
 }
 
 
