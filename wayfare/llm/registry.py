@@ -6,7 +6,9 @@ import importlib
 
 _OPS = {
     "op1_secrets": "op01_secrets",
+    "op3_language": "op03_language",
     "op5_bpe": "op05_bpe",
+    "op7_packing": "op07_packing",
     "op8_licenses": "op08_licenses",
     "op9_toxicity": "op09_toxicity",
 }
