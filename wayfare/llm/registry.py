@@ -7,6 +7,7 @@ import importlib
 _OPS = {
     "op1_secrets": "op01_secrets",
     "op3_language": "op03_language",
+    "op4_topk": "op04_topk",
     "op5_bpe": "op05_bpe",
     "op7_packing": "op07_packing",
     "op8_licenses": "op08_licenses",
