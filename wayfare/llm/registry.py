@@ -9,6 +9,7 @@ _OPS = {
     "op3_language": "op03_language",
     "op4_topk": "op04_topk",
     "op5_bpe": "op05_bpe",
+    "op6_simhash": "op06_simhash",
     "op7_packing": "op07_packing",
     "op8_licenses": "op08_licenses",
     "op9_toxicity": "op09_toxicity",
