@@ -12,6 +12,7 @@ _OPS = {
     "op6_simhash": "op06_simhash",
     "op7_packing": "op07_packing",
     "op8_licenses": "op08_licenses",
+    "op10_forest": "op10_forest",
     "op9_toxicity": "op09_toxicity",
 }
 
