@@ -6,6 +6,7 @@ import importlib
 
 _OPS = {
     "op1_secrets": "op01_secrets",
+    "op2_substrings": "op02_substrings",
     "op3_language": "op03_language",
     "op4_topk": "op04_topk",
     "op5_bpe": "op05_bpe",
