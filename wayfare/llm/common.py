@@ -94,3 +94,29 @@ def _typed(columns: list[pa.Array], schema: pa.Schema) -> pa.RecordBatch:
 def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     """A record batch of numpy arrays or lists in the given schema."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def map_batches(docs: DataFrame, text_col: str, fn: Callable, setup: Callable[[], object] | None = None) -> DataFrame:
+    """docs with its own columns, after fn(part, texts[, setup()]) has changed or filtered each part of a batch."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(docs.schema)
+
+    def run(batches):
+        extra = (setup(),) if setup else ()
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield _typed(fn(part, part.column(text_col).to_pylist(), *extra).columns, schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def with_texts(part: pa.RecordBatch, text_col: str, texts: list, size_col: str = "n_chars") -> pa.RecordBatch:
+    """The part with other texts, and their lengths in code points where it has a column for them."""
+    columns = list(part.columns)
+    names = part.schema.names
+    columns[names.index(text_col)] = pa.array(texts, pa.string())
+    if size_col in names:
+        at = names.index(size_col)
+        columns[at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[at].type)
+    return pa.RecordBatch.from_arrays(columns, names=names)

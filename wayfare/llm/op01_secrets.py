@@ -106,6 +106,19 @@ def scan(text: str | None, scope: int = SCOPE) -> tuple:
     return (*count, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found))
 
 
+def masked(text: str | None, mask: str, scope: int = SCOPE) -> str | None:
+    """The text with every found span replaced; overlapping spans are replaced together."""
+    if not text:
+        return text
+    base, weak = base_spans(text), weak_spans(text)
+    out, at, until = [], 0, -1
+    for s, e, _ in sorted(base + (link(base, weak, scope) if weak else [])):
+        if s >= until:
+            out += [text[at:s], mask]
+        at = until = max(until, e)
+    return "".join([*out, text[at:]]) if out else text
+
+
 FIELDS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
