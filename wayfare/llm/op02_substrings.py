@@ -22,6 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 
@@ -63,51 +64,87 @@ def window_hashes(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return _mix(x[:n], x[size - half : size - half + n], salt)
 
 
+#: A run in one number: its first full window, how many there are, and its short window's distance from the first.
+_COUNT, _OFFSET = 1 << 24, 1 << 12
+
+
+def run_code(first: np.ndarray, count: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    return first * _COUNT + count * _OFFSET + offset
+
+
+def run_parts(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return code // _COUNT, code % _COUNT // _OFFSET, code % _OFFSET
+
+
+def window_starts(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each run, one after another."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 class Document:
-    """Word hashes of a text and its runs: full windows first..last around the short window at seed."""
+    """A text's words and their hashes."""
 
     def __init__(self, text: str | None, window: int, start: int):
         self.words = (text or "").encode("utf-8", "replace").split()  # bytes: the six ASCII blanks only
         self.window, self.levels = window, lengths(window, start)
+        if window >= _OFFSET // 2:
+            raise ValueError(f"windows of {window} words are too long")
+
+    @functools.cached_property
+    def h(self) -> np.ndarray:
         digest = xxhash.xxh64_intdigest
-        self.h = np.array([digest(w) for w in self.words], np.uint64)
-        n = len(self.h) - window + 1
-        self.first = self.last = self.seed = np.zeros(0, np.int64)
-        if n > 0:
-            self.short = window_hashes(self.h, self.levels[0])
-            width = window - self.levels[0] + 1
-            at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(self.short, width).argmin(axis=1)
-            self.first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            self.last = np.concatenate([self.first[1:], [n]]) - 1
-            self.seed = at[self.first]
-
-    def seeds(self) -> np.ndarray:
-        return self.short[self.seed] if len(self.seed) else np.zeros(0, np.uint64)
-
-    def extended(self, runs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(run, hash) of the windows of that length that begin or end with the run's short window."""
-        x, seed = window_hashes(self.h, size), self.seed[runs]
+        return np.array([digest(w) for w in self.words], np.uint64)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the runs and the hashes of their short windows."""
+        n = len(self.words) - self.window + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        short = window_hashes(self.h, self.levels[0])
+        at = np.arange(n) + leftmost_minima(short, self.window - self.levels[0] + 1)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        count = np.diff(np.concatenate([first, [n]]))
+        return run_code(first, count, at[first] - first), short[at[first]]
+
+    def extended(self, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(code, hash) of the windows of that length that begin or end with the run's short window."""
+        first, _, offset = run_parts(codes)
+        x, seed = window_hashes(self.h, size), first + offset
         before = seed + self.levels[0] - size
         left, right = before >= 0, seed < len(x)
-        return np.concatenate([runs[left], runs[right]]), np.concatenate([x[before[left]], x[seed[right]]])
+        return np.concatenate([codes[left], codes[right]]), np.concatenate([x[before[left]], x[seed[right]]])
 
     def full(self) -> tuple[np.ndarray, np.ndarray]:
         return window_hashes(self.h, self.window), window_hashes(self.h, self.window, 0x51ED270B)
 
-    def run_hashes(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def run_hashes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of all words that the run's windows cover: its first and last window (they overlap) and its length."""
-        a, b = self.first[runs], self.last[runs]
+        first, count, _ = run_parts(codes)
         h, g = self.full()
-        n = (b - a).astype(np.uint64)
-        return _mix(h[a], h[b], 1) + n, _mix(g[a], g[b], 2) + n
+        n = count.astype(np.uint64)
+        return _mix(h[first], h[first + count - 1], 1) + n, _mix(g[first], g[first + count - 1], 2) + n
 
-    def keep(self, gone: np.ndarray) -> tuple[int, int, np.ndarray]:
-        """Words, words that the removed windows cover, and which."""
+    def removed(self, codes: np.ndarray) -> np.ndarray:
+        """Which words the windows of these runs cover."""
+        first, count, _ = run_parts(codes)
         cover = np.zeros(len(self.words) + 1, np.int64)
-        np.add.at(cover, gone, 1)
-        np.add.at(cover, gone + self.window, -1)
-        removed = np.cumsum(cover[:-1]) > 0
-        return len(self.words), int(removed.sum()), removed
+        np.add.at(cover, first, 1)
+        np.add.at(cover, first + count + self.window - 1, -1)
+        return np.cumsum(cover[:-1]) > 0
+
+
+def leftmost_minima(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost minimum within each `width` consecutive values, by doubling the width."""
+    n, place, have = len(x) - width + 1, np.zeros(len(x), np.int64), 1
+    low = x
+    while have < width:
+        step = min(have, width - have)
+        m = len(low) - step
+        later = low[step:] < low[:m]
+        place = np.where(later, place[step:] + step, place[:m])
+        low = np.where(later, low[step:], low[:m])
+        have += step
+    return place[:n]
 
 
 def _texts(batches, columns: list[str]):
@@ -158,16 +195,16 @@ class Dedup:
         self.texts = spark.table(self.name)
 
     def runs_of_all(self) -> DataFrame:
-        """(h, rid, r): the short window of every run."""
+        """(h, rid, r): the short window of every run, and the run's code."""
         window, start = self.window, self.start
 
         def rows(batches):
             for rid, text in _texts(batches, ["rid", "text"]):
-                seeds = Document(text, window, start).seeds()
-                yield _signed(seeds), np.full(len(seeds), rid), np.arange(len(seeds))
+                codes, seeds = Document(text, window, start).runs()
+                yield _signed(seeds), np.full(len(seeds), rid), codes
 
-        schema = _schema(h=_LONG, rid=_LONG, r=_INT)
-        return self.texts.select("rid", "text").mapInArrow(lambda it: _emit(rows(it), schema), "h long, rid long, r int")
+        schema = _schema(h=_LONG, rid=_LONG, r=_LONG)
+        return self.texts.select("rid", "text").mapInArrow(lambda it: _emit(rows(it), schema), "h long, rid long, r long")
 
     def with_runs(self, runs: DataFrame, rows_of, schema: pa.Schema, ddl: str) -> DataFrame:
         """rows_of(rid, document, its listed codes) over the texts that have some; the texts stay where they are."""
@@ -194,18 +231,19 @@ class Dedup:
                 r, h = doc.extended(rs, size)
                 yield _signed(h), np.full(len(r), rid), r
 
-            found = self.with_runs(runs, extend, _schema(h=_LONG, rid=_LONG, r=_INT), "h long, rid long, r int")
+            found = self.with_runs(runs, extend, _schema(h=_LONG, rid=_LONG, r=_LONG), "h long, rid long, r long")
         return cut(found.select("rid", "r"))
 
     def repeated(self, runs: DataFrame) -> DataFrame:
-        """(rid, r): codes of what goes: 2 * run for whole runs, 2 * window + 1 for single windows."""
+        """(rid, r): codes of the runs, or of the single windows, that go."""
 
         def whole(rid, doc, rs):
             h, g = doc.run_hashes(rs)
             yield _signed(h), _low32(g), np.full(len(rs), rid), rs
 
-        hashed = self.with_runs(runs, whole, _schema(h=_LONG, g=_INT, rid=_LONG, r=_INT), "h long, g int, rid long, r int")
+        hashed = self.with_runs(runs, whole, _schema(h=_LONG, g=_INT, rid=_LONG, r=_LONG), "h long, g int, rid long, r long")
         twice = hashed.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("rid", "r")).alias("least")).filter("n > 1")
+        # 0: the run is alone; 1: the first of its kind, the witness of the others; 2: another copy
         state = hashed.join(twice, ["h", "g"], "left").select(
             "rid", "r", F.when(F.col("n").isNull(), 0).when(F.col("least") == F.struct("rid", "r"), 1).otherwise(2).alias("is")
         )
@@ -213,19 +251,18 @@ class Dedup:
 
         def single(rid, doc, codes):
             h, g = doc.full()
-            r = codes >> 1
-            a, n = doc.first[r], doc.last[r] - doc.first[r] + 1
-            s = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            witness = np.repeat(codes & 1, n).astype(bool)
-            at = np.where(witness, -1, s)
-            yield _signed(h[s]), _low32(g[s]), np.where(witness, -1, rid), at
-
-        coded = state.filter("is < 2").select("rid", (F.col("r").cast("long") * 2 + F.col("is")).alias("r"))
+            witness = codes < 0
+            first, count, _ = run_parts(np.where(witness, -1 - codes, codes))
+            s, known = window_starts(first, count), np.repeat(witness, count)
+            yield _signed(h[s]), _low32(g[s]), np.where(known, -1, rid), np.where(known, -1, s)
+
+        coded = state.filter("is < 2").select("rid", F.when(F.col("is") == 1, -1 - F.col("r")).otherwise(F.col("r")).alias("r"))
         windows = self.with_runs(coded, single, _schema(h=_LONG, g=_INT, rid=_LONG, s=_INT), "h long, g int, rid long, s int")
         of_hash = windows.groupBy("h", "g").agg(F.count_if(F.col("s") >= 0).alias("open"), F.count_if(F.col("s") < 0).alias("known"))
         of_hash = of_hash.filter("open > 1 or (open > 0 and known > 0)").select("h", "g")
-        some = windows.filter("s >= 0").join(of_hash, ["h", "g"], "left_semi").select("rid", (F.col("s").cast("long") * 2 + 1).alias("r"))
-        return cut(some.unionByName(state.filter("is > 0").select("rid", (F.col("r").cast("long") * 2).alias("r"))))
+        some = windows.filter("s >= 0").join(of_hash, ["h", "g"], "left_semi")
+        single_code = F.col("s").cast("long") * _COUNT + _OFFSET
+        return cut(some.select("rid", single_code.alias("r")).unionByName(state.filter("is > 0").select("rid", "r")))
 
     def kept(self, gone: DataFrame, id_col: str, with_text: bool = False) -> DataFrame:
         """One row for each text: counts and digest of what is kept, or also the kept text."""
@@ -239,16 +276,10 @@ class Dedup:
                 for part in slices(batch, "text"):
                     n, less, sha, texts = [], [], [], []
                     for text, rs in zip(part.column("text").to_pylist(), part.column("rs").to_pylist()):
-                        doc = Document(text, window, start if rs else window)
-                        at = np.zeros(0, np.int64)
-                        if rs:
-                            codes = np.array(rs, np.int64)
-                            r, s = codes[codes & 1 == 0] >> 1, codes[codes & 1 == 1] >> 1
-                            size = doc.last[r] - doc.first[r] + 1
-                            whole = np.repeat(doc.first[r] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                            at = np.concatenate([whole, s])
-                        total, removed, mask = doc.keep(at)
-                        left = b" ".join(w for w, out in zip(doc.words, mask.tolist()) if not out)
+                        doc = Document(text, window, start)
+                        mask = doc.removed(np.array(rs or [], np.int64))
+                        total, removed = len(doc.words), int(mask.sum())
+                        left = b" ".join(w for w, out in zip(doc.words, mask.tolist()) if not out) if removed else b" ".join(doc.words)
                         n.append(total)
                         less.append(removed)
                         sha.append(hashlib.sha256(left).hexdigest())
