@@ -101,6 +101,6 @@ def simple_routes(df: DataFrame) -> DataFrame:
     return measures(df, ["Origin", "Dest"])
 
 
-def context_line(df: DataFrame) -> Column:
+def context_line() -> Column:
     """A sentence on an hour's risk."""
     return F.format_string("%02d:00 has %.1f%% delays and %.2f%% cancellations in %d trips", "DepHour", "DelayRatePct", "CancelRatePct", "Flights")
