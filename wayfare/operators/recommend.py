@@ -150,11 +150,14 @@ def state_recommendation(df: DataFrame, states: DataFrame, origin_state: str, de
 
 
 def thin_history(requests: DataFrame, route_meta: DataFrame, id_col: str = "request_id", least: int = 50, k: int = 5) -> DataFrame:
-    """How much history a request's airline has on its route, and richer airlines there by combined risk."""
+    """How much history a request's airline has on its route, and richer airlines there by combined risk.
+
+    Risks that are equal to nine digits are ties: the table holds means of rates, which may differ in their last bits.
+    """
     own = requests.select(id_col, "Reporting_Airline", "Origin", "Dest").join(route_meta, stats.ROUTE, "left")
     kind = F.when(F.coalesce("RouteFlights", F.lit(0)) == 0, "none").when(F.col("RouteFlights") < least, "thin").otherwise("enough")
     others = route_meta.filter(F.col("RouteFlights") >= least).select(
-        "Origin", "Dest", F.col("Reporting_Airline").alias("_other"), flight.combined_risk("RouteDelayRate", "RouteCancelRate").alias("_risk")
+        "Origin", "Dest", F.col("Reporting_Airline").alias("_other"), F.round(flight.combined_risk("RouteDelayRate", "RouteCancelRate"), 9).alias("_risk")
     )
     rows = requests.select(id_col, "Reporting_Airline", "Origin", "Dest").join(others, ["Origin", "Dest"]).filter("_other <> Reporting_Airline")
     place = F.row_number().over(Window.partitionBy(id_col).orderBy("_risk", "_other"))

@@ -107,7 +107,7 @@ for _n, _name in ((20, "r6_state_direct"), (85, "r6_j13_state_one_stop")):
         lambda s, d, n=_n: (lambda rows: rounded(recommend.state_recommendation(rows, metadata.airport_states(rows), "ASIA", "EUROPE", n)))(written(v.cleaned(s, d)))
     )
 query("r7_thin_history", f"""with {META_SQL}, {v.REQUESTS_SQL}, others as (select request_id, string_agg(o, ',' order by k) as richer from (select r.request_id, m.Reporting_Airline as o,
-  row_number() over (partition by r.request_id order by m.RouteDelayRate + 3 * m.RouteCancelRate, m.Reporting_Airline) as k from requests r join m9 m on m.Origin = r.Origin and m.Dest = r.Dest
+  row_number() over (partition by r.request_id order by round(m.RouteDelayRate + 3 * m.RouteCancelRate, 9), m.Reporting_Airline) as k from requests r join m9 m on m.Origin = r.Origin and m.Dest = r.Dest
   and m.Reporting_Airline <> r.Reporting_Airline where m.RouteFlights >= 10) where k <= 5 group by 1)
   select request_id, history, case when history = 'enough' then '' else coalesce(richer, '') end as richer from (select r.request_id,
   case when coalesce(RouteFlights, 0) = 0 then 'none' when RouteFlights < 10 then 'thin' else 'enough' end as history from requests r left join m9 using (Reporting_Airline, Origin, Dest)) left join others using (request_id)""")(
