@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch are handled in slices of about this many text bytes, so that memory follows neither
 #: the batch size nor the document count.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

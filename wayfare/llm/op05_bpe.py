@@ -26,7 +26,7 @@ from wayfare.llm.pieces import split
 #: Pieces of more bytes go to the heap.
 LONG = 64
 #: A task forgets its pieces' ids beyond so many.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 _NONE = np.int32(2**31 - 1)
 
 

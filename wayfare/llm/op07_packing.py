@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import cut, map_texts, slices, table
+from wayfare.llm.common import cut, slices, table
 from wayfare.llm.pieces import split
 
 WINDOW = 2048
 END_ID = 1
 #: A task forgets its pieces' ids beyond so many.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 
 _HELD: dict = {}
 
@@ -68,38 +68,27 @@ def encoder_of(spec: str) -> Encoder:
     return _HELD[hash(spec)]
 
 
-def tokenize(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids (end id not counted) as little-endian unsigned 32-bit integers in a binary column."""
+def place_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+    """Each document's ids with the end id (little-endian unsigned 32-bit integers), its partition and start within it."""
     held = docs.sparkSession.sparkContext.broadcast(spec)  # a vocabulary: under 3 MB whatever the corpus
-    return map_texts(
-        docs,
-        id_col,
-        text_col,
-        lambda texts, enc: [(x,) for x in enc.encode([t or "" for t in texts])],
-        "ids binary",
-        setup=lambda: encoder_of(held.value),
-    )
-
-
-def _placed(tokens: DataFrame, id_col: str, end_id: int) -> DataFrame:
-    """Adds the end id, the partition and the document's start within it."""
     end = np.array([end_id], "<u4").tobytes()
-    kind = dict(tokens.dtypes)[id_col]
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    kind = dict(src.dtypes)["_id"]
 
     def run(batches):
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, encoder = TaskContext.get().partitionId(), 0, encoder_of(held.value)
         for batch in batches:
-            for piece in slices(batch, "ids"):
-                ids = [x + end for x in piece.column("ids").to_pylist()]
+            for piece in slices(batch, "_text"):
+                ids = [x + end for x in encoder.encode([t or "" for t in piece.column("_text").to_pylist()])]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = at + np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(id_col), pa.array(ids, pa.binary()), pa.array([part] * len(ids), pa.int64()), pa.array(ends - sizes)],
+                    [piece.column("_id"), pa.array(ids, pa.binary()), pa.array([part] * len(ids), pa.int64()), pa.array(ends - sizes)],
                     names=[id_col, "ids", "part", "part_start"],
                 )
                 at = int(ends[-1]) if len(ends) else at
 
-    return tokens.mapInArrow(run, f"`{id_col}` {kind}, ids binary, part long, part_start long")
+    return src.mapInArrow(run, f"`{id_col}` {kind}, ids binary, part long, part_start long")
 
 
 def windows(total: int, window: int) -> np.ndarray:
@@ -113,9 +102,8 @@ def windows(total: int, window: int) -> np.ndarray:
     return np.array([*starts, at], np.int64)
 
 
-def pack(tokens: DataFrame, id_col: str = "doc_id", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row for each piece of a document in a sequence."""
-    placed = cut(_placed(tokens, id_col, end_id))
+def pack(placed: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """One row for each piece of a document in a sequence; placed: a written table of place_tokens()."""
     ends = F.col("part_start") + (F.octet_length("ids") / 4).cast("long")
     totals = placed.groupBy("part").agg(F.max(ends).alias("n")).orderBy("part").collect()  # one row a partition
     sums = np.concatenate([[0], np.cumsum([r["n"] for r in totals])]).astype(np.int64)
@@ -164,7 +152,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def pack_documents(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    return pack(tokenize(docs, spec, id_col, text_col), id_col, window, end_id)
+    return pack(cut(place_tokens(docs, spec, id_col, text_col, end_id)), id_col, window)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
