@@ -152,3 +152,27 @@ def test_entry_point_without_corpus_operators(monkeypatch):
     names = set(e.queries())
     assert "a1_route" in names and not any(n.startswith("op") for n in names)
     assert set(e.oracle_sql()) <= names
+
+
+def test_missing_columns():
+    assert schema.missing(["Year", "x"], ["Year", "Month"]) == ["Month"] and schema.missing(schema.FEATURES) == []
+
+
+def test_models_beat_chance_and_survive_saving(spark, tmp_path):
+    from wayfare.ml import models
+
+    h = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0
+    rows = spark.range(3000).select("id", *(F.lit(0.5).alias(c) for c in schema.NUMERIC if c != "DepHour"), (F.col("id") % 24).alias("DepHour"), *(F.concat(F.lit("v"), F.col("id") % 3).alias(c) for c in schema.CATEGORICAL))
+    rows = rows.withColumn("label", (h < F.col("DepHour") / 24.0).cast("double")).drop("id")
+    train, test = rows.filter("DepHour % 2 = 0"), rows.filter("DepHour % 2 = 1").withColumn("Route", F.lit("never seen"))
+    for fit in (models.fit_logistic, lambda t: models.fit_trees(t, 3, 5)):
+        model = fit(train)
+        scored = models.score(model, test)
+        assert scored.count() == test.count() and metrics.quality(scored, ["p"], "p").filter("bad > 0").count() == 0
+        assert metrics.ranking(scored).first().roc_auc > 0.75
+    models.save(model, str(tmp_path / "m"))
+    again = models.score(models.load(str(tmp_path / "m")), test)
+    assert abs(again.agg(F.avg("p")).first()[0] - scored.agg(F.avg("p")).first()[0]) < 1e-9
+    calibrated = models.Calibrator(models.score(model, train))(scored).orderBy("p").select("p").collect()
+    assert all(0 <= r.p <= 1 for r in calibrated)
+    assert models.importance(model).count() == 25

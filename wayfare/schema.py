@@ -22,3 +22,8 @@ GROUPS = {"calendar": CALENDAR, "route_airline_congestion": NETWORK, "weather":
 STATE_CANDIDATES = {
     side: [f"{side}State", f"{side.upper()}_STATE_ABR", f"{side}StateName", f"{side.upper()}_STATE_NM"] for side in ("Origin", "Dest")
 }
+
+
+def missing(columns: list[str], required: list[str] = FEATURES) -> list[str]:
+    """Required columns that a frame does not have."""
+    return [c for c in required if c not in columns]
