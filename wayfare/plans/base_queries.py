@@ -68,8 +68,8 @@ query("f7_cancel_labelled", f"with {v.TRIPS_SQL} select {KEYS_SQL}, Cancelled fr
 query("f8_weather_endpoints", f"with {v.TRIPS_SQL}, {v.AIRPORTS_SQL} select {KEYS_SQL} from raw where Origin in (select iata from airports where lat is not null) and Dest in (select iata from airports where lat is not null)")(
     lambda s, d: weather.with_endpoints(v.trips(s, d), v.airports(s, d).filter("lat is not null")).select(*KEYS)
 )
-query("f9_dashboard_filter", f"with {v.CLEAN_SQL} select Reporting_Airline, DepHour, count(*) as n from clean where Origin = 'FRANCE' and Month = 3 group by 1, 2")(
-    lambda s, d: tally(explore.matching(v.cleaned(s, d), Origin="FRANCE", Reporting_Airline=None, Month=3, OriginState=None), "Reporting_Airline", "DepHour")
+query("f9_dashboard_filter", f"with {v.CLEAN_SQL} select Reporting_Airline, DepHour, count(*) as n from clean where Origin = 'NATION_4' and Month = 3 group by 1, 2")(
+    lambda s, d: tally(explore.matching(v.cleaned(s, d), Origin="NATION_4", Reporting_Airline=None, Month=3, OriginState=None), "Reporting_Airline", "DepHour")
 )
 query("f10_minimum_volume", sql(v.CLEAN_SQL, "select Origin, Dest, count(*) as Flights, avg(ArrDel15) as DelayRate, avg(Cancelled) as CancelRate from clean group by 1, 2 having count(*) >= 100", "DelayRate CancelRate"))(
     lambda s, d: rounded(explore.at_least(explore.measures(v.cleaned(s, d), ["Origin", "Dest"]), 100))
