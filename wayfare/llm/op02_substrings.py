@@ -36,7 +36,7 @@ from wayfare.llm.common import cut, shared_dir, slices, table
 
 WINDOW = 35
 #: Windows of fewer words are not worth a level.
-START = 9
+START = 12
 
 
 def lengths(window: int, start: int) -> list[int]:
