@@ -397,3 +397,36 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(masked)
     total = sum(r.length for r in packed)
     assert total == sum(r.doc_tokens for r in packed if r.start == 0) and math.ceil(total / 2048) <= len({r.sequence_id for r in packed})
+
+
+def test_pipeline_drops_near_copies_by_jaccard(spark):
+    import corpus_pipeline as cp
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    rnd, texts = random.Random(8), []
+    for i, (size, edits) in enumerate([(200, 1), (200, 4), (100, 1), (1000, 10), (200, 8), (3, 0)] * 20):
+        a = words(i, size, 4000)
+        b = list(a)
+        for k in rnd.sample(range(size), edits):
+            b[k] = f"new{k}"
+        texts += [" ".join(a), " ".join(b).upper()]
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] == i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[i] = root[j]
+    want = {i for i, r in enumerate(root) if i == r}
+    assert 140 <= len(want) <= 165  # copies with eight edits are under 0.8 and stay
+    assert set(rows_of(cp.drop_near_copies(spark, docs_of(spark, texts), ""))) == want
+
+
+def test_near_copies_in_chains():
+    from wayfare.llm.near_copies import near_edges
+
+    sets = [np.arange(i * 5, i * 5 + 100, dtype=np.uint64) for i in range(20)] + [np.arange(500, 600, dtype=np.uint64)]
+    ids = [7 * i % 23 for i in range(21)]
+    edges = near_edges(ids, sets)
+    assert {b for _, b in edges} == {min(ids[:20])} and {a for a, _ in edges} == set(ids[:20]) - {min(ids[:20])}

@@ -1,0 +1,128 @@
+"""Groups of documents whose sets of word shingles have a Jaccard similarity of at least a threshold.
+
+Documents of equal sets are merged first. Each other set gets BANDS keys, each of ROWS minimum hashes: at similarity s a
+pair shares no key with probability (1 - s ** ROWS) ** BANDS, which is 5e-6 at 0.8 and less above. Keys of one set
+and keys with the same members as another key go. The members of each key left are compared by their exact sets: a
+breadth-first search links everything it reaches to the smallest, so a key gives fewer edges than members. The edges of
+all keys are joined to components.
+
+Defined cases: words are split and lowered as in op6; a text of fewer words than a shingle is one shingle; null and blank
+texts have the empty set and are one group; nothing is capped or sampled.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wayfare.llm.common import cut, map_texts
+from wayfare.llm.components import components
+
+SHINGLE, SEED = 5, 42
+#: Similarity of near copies as a fraction, so that comparing is exact.
+LEAST = (4, 5)
+BANDS, ROWS = 40, 6
+
+_RANDOM = np.random.default_rng(SEED)
+_FACTORS = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
+_MASKS = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
+_MIX = _RANDOM.integers(0, 1 << 63, ROWS, np.uint64) | np.uint64(1)
+
+
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the text's word shingles."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-1].tolist()]
+    stops = (ends - 1)[min(width, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingles; none for the empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, len(high), 512):
+        np.minimum(least, ((high[a : a + 512] ^ _MASKS) * _FACTORS).min(axis=1), out=least)
+    mixed = (least.reshape(BANDS, ROWS).astype(np.uint64) * _MIX).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed ^ mixed >> np.uint64(29)).view(np.int64)
+
+
+def _set_rows(texts: list) -> list[tuple]:
+    rows = []
+    for t in texts:
+        h = shingles(t)
+        rows.append((xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) if len(h) else 0, band_keys(h)))
+    return rows
+
+
+def near_edges(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(member, root) for the sets that chains of similarities of at least LEAST connect; root is the smallest id."""
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    sizes = np.array([len(sets[i]) for i in order])
+    values, owner = np.concatenate([sets[i] for i in order]), np.repeat(np.arange(len(order)), sizes)
+    alive = np.ones(len(order), bool)
+    edges = []
+    for first in range(len(order)):
+        if not alive[first]:
+            continue
+        alive[first] = False
+        queue = [first]
+        while queue and alive.any():
+            held = alive[owner]
+            values, owner = values[held], owner[held]
+            mine = sets[order[queue.pop()]]
+            at = np.searchsorted(mine, values)
+            at[at == len(mine)] = 0
+            shared = np.bincount(owner[mine[at] == values], minlength=len(order))
+            near = np.flatnonzero(alive & (shared * LEAST[1] >= (len(mine) + sizes - shared) * LEAST[0]))
+            alive[near] = False
+            queue.extend(near.tolist())
+            edges.extend((ids[order[i]], ids[order[first]]) for i in near.tolist())
+    return edges
+
+
+def _linked(batches):
+    """Edges within each key of rows sorted by key; only the key in hand is held."""
+    key, ids, sets = None, [], []
+
+    def edges():
+        found = near_edges(ids, sets)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for k, i, s in zip(batch.column("key").to_pylist(), batch.column("set").to_pylist(), batch.column("hashes")):
+            if k != key:
+                if len(ids) > 1:
+                    yield edges()
+                key, ids, sets = k, [], []
+            ids.append(i)
+            sets.append(np.frombuffer(s.as_py(), np.uint64))
+    if len(ids) > 1:
+        yield edges()
+
+
+def first_of_groups(rows: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """(key): the smallest key of each group of near copies; keys are not null, distinct and can be ordered."""
+    made = cut(map_texts(rows, key, text_col, _set_rows, "set long, bands array<long>"))
+    distinct = cut(made.groupBy("set").agg(F.min(key).alias("least")))
+    keyed = distinct.join(made, F.col("least") == F.col(key)).select(distinct["set"].alias("set"), F.explode("bands").alias("key"))
+    keyed = cut(keyed)
+    alike = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("m"), F.expr("bit_xor(xxhash64(set))").alias("x")).filter("n > 1")
+    kept = cut(keyed.join(alike.groupBy("n", "m", "x").agg(F.min("key").alias("key")), "key").select("key", "set"))
+    texts = rows.join(kept.select("set").distinct().join(distinct, "set").select("set", F.col("least").alias(key)), key).select("set", text_col)
+    hashes = cut(map_texts(texts, "set", text_col, lambda ts: [(shingles(t).tobytes(),) for t in ts], "hashes binary"))
+    members = kept.join(hashes, "set").select("key", "set", "hashes").repartition("key").sortWithinPartitions("key")
+    roots = components(members.mapInArrow(_linked, "a long, b long")).withColumnRenamed("a", "set")
+    rooted = distinct.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    return rooted.groupBy("root").agg(F.min("least").alias(key)).select(key)
