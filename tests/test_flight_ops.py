@@ -176,3 +176,26 @@ def test_models_beat_chance_and_survive_saving(spark, tmp_path):
     calibrated = models.Calibrator(models.score(model, train))(scored).orderBy("p").select("p").collect()
     assert all(0 <= r.p <= 1 for r in calibrated)
     assert models.importance(model).count() == 25
+
+
+def test_safer_hours_of_all_requests(spark, monkeypatch):
+    from wayfare.plans import ml_queries, more_queries
+    from wayfare.plans import views as v
+    from wayfare.plans.registry import QUERIES
+
+    names = "Reporting_Airline string, Origin string, Dest string, DepHour int, FlightDate date, Distance double, Year int"
+    rows = [("A", f"NATION_{i % 3}", "X", i % 24, dt.date(1998 + i % 4, 1, 1), 10.0, 1998 + i % 4) for i in range(30)]
+    price = lambda h: float(h * 7 % 24)
+    build = lambda other, meta, keep: other.withColumn("p", F.pmod(F.col("DepHour") * 7, F.lit(24)).cast("double"))
+    monkeypatch.setattr(recommend, "build_features", build)
+    monkeypatch.setattr(v, "cleaned", lambda s, d: s.createDataFrame(rows, names))
+    for module in (more_queries, ml_queries):
+        monkeypatch.setattr(module, "meta_of", lambda s, d: None)
+    monkeypatch.setattr(more_queries, "expression_score", lambda x: x)
+    monkeypatch.setattr(ml_queries, "splits", lambda s, d: (None, None, None))
+    monkeypatch.setattr(ml_queries.models, "fit_logistic", lambda t: None)
+    monkeypatch.setattr(ml_queries.models, "task", lambda x, label: x)
+    monkeypatch.setattr(ml_queries.models, "score", lambda m, x: x)
+    want = {("|".join(map(str, r[:4])), k + 1, h) for r in rows for k, h in enumerate(sorted((h for h in range(24) if h != r[3]), key=price)[:3])}
+    for name in ("r2_safer_hours_all", "r2_safer_hours_model"):
+        assert {(r.request_id, r.place, r.DepHour) for r in QUERIES[name](spark, "").collect()} == want

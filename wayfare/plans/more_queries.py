@@ -82,6 +82,8 @@ _OTHER_HOURS = "other as (select * exclude (DepHour), cast(h as int) as DepHour,
 query("r2_safer_hours", sql(f"{META_SQL}, {v.REQUESTS_SQL}, {_OTHER_HOURS}, {features_sql('other')}", f"select request_id, cast(place as int) as place, DepHour, p from (select *, row_number() over (partition by request_id order by round(p, 9), DepHour) as place from (select request_id, DepHour, {SCORE_SQL} as p from built where DepHour <> own)) where place <= 3", "p"))(
     lambda s, d: recommend.safer_hours(_some_requests(s, d).filter("Origin = 'NATION_1'"), meta_of(s, d), lambda x: expression_score(x).withColumn("p", F.round("p", 9)))
 )
+# the SQL above is of one origin; this query is of all requests and has none, tests compare it with brute force
+query("r2_safer_hours_all")(lambda s, d: recommend.safer_hours(_some_requests(s, d), meta_of(s, d), lambda x: expression_score(x).withColumn("p", F.round("p", 9))))
 _OTHER_AIRLINES = "other as (select r.* exclude (Reporting_Airline), m.Reporting_Airline, r.Reporting_Airline as own from requests r join m9 m on m.Origin = r.Origin and m.Dest = r.Dest where m.RouteFlights > 0)"
 query("r3_safer_airlines", sql(f"{META_SQL}, {v.REQUESTS_SQL}, {_OTHER_AIRLINES}, {features_sql('other')}", f"select request_id, cast(place as int) as place, Reporting_Airline, p from (select *, row_number() over (partition by request_id order by round(p, 9), Reporting_Airline) as place from (select request_id, Reporting_Airline, {SCORE_SQL} as p from built where Reporting_Airline <> own)) where place <= 3", "p"))(
     lambda s, d: recommend.safer_airlines(_some_requests(s, d), meta_of(s, d), lambda x: expression_score(x).withColumn("p", F.round("p", 9)))
