@@ -199,3 +199,15 @@ def test_safer_hours_of_all_requests(spark, monkeypatch):
     want = {("|".join(map(str, r[:4])), k + 1, h) for r in rows for k, h in enumerate(sorted((h for h in range(24) if h != r[3]), key=price)[:3])}
     for name in ("r2_safer_hours_all", "r2_safer_hours_model"):
         assert {(r.request_id, r.place, r.DepHour) for r in QUERIES[name](spark, "").collect()} == want
+
+
+def test_bootstrap_queries_take_scores_as_they_are(spark, monkeypatch):
+    from wayfare.plans import views as v
+    from wayfare.plans.registry import QUERIES
+
+    rows = [(i % 2, 0.5 + i * 1e-4 * (1 if i % 2 else -1), 0.5) for i in range(40)]  # p_a ranks perfectly, but not at two digits
+    monkeypatch.setattr(v, "scored", lambda s, d: s.createDataFrame(rows, "label int, p_a double, p_b double"))
+    for name in ("e18_bootstrap", "e18_bootstrap_auc"):
+        r = QUERIES[name](spark, "").first()
+        assert r.replicates == 400
+    assert abs(r.mean_difference + 0.5) < 1e-9 and abs(r.low + 0.5) < 1e-9 and abs(r.high + 0.5) < 1e-9

@@ -174,8 +174,8 @@ query("e16_by_group", sql(_BY("Reporting_Airline"), f"select Reporting_Airline,
 query("e17_t4k_drift", sql(_BY("Year"), f"select Year, AUC, Brier from (select Year, avg((p - label) * (p - label)) as Brier from scored group by 1) join (select Year, {_AUC} as AUC from c group by 1) using (Year) where AUC is not null", "AUC Brier"))(
     lambda s, d: rounded(metrics.drift(written(v.scored(s, d))))
 )
-query("e18_bootstrap")(lambda s, d: metrics.bootstrap_difference(written(v.scored(s, d)), "brier", 100))
-query("e18_bootstrap_auc")(lambda s, d: metrics.bootstrap_difference(written(v.scored(s, d).withColumn("p_a", F.round("p_a", 2))), "roc_auc", 50))
+query("e18_bootstrap")(lambda s, d: metrics.bootstrap_difference(written(v.scored(s, d)), "brier"))
+query("e18_bootstrap_auc")(lambda s, d: metrics.bootstrap_difference(written(v.scored(s, d)), "roc_auc"))
 
 
 def _two_models(s, d) -> DataFrame:
