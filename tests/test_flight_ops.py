@@ -211,3 +211,39 @@ def test_bootstrap_queries_take_scores_as_they_are(spark, monkeypatch):
         r = QUERIES[name](spark, "").first()
         assert r.replicates == 400
     assert abs(r.mean_difference + 0.5) < 1e-9 and abs(r.low + 0.5) < 1e-9 and abs(r.high + 0.5) < 1e-9
+
+
+def test_backtest_of_both_tasks(spark, monkeypatch):
+    from wayfare.plans import ml_queries as q
+
+    rows = [(i % 2, int(i % 10 == 0), i / 100) for i in range(100)]
+    monkeypatch.setattr(q, "splits", lambda *a: (None, None, None))
+    monkeypatch.setattr(q, "meta_of", lambda *a: None)
+    monkeypatch.setattr(q.v, "cleaned", lambda *a: None)
+    monkeypatch.setattr(q.clean, "year_guard", lambda *a: None)
+    monkeypatch.setattr(q, "itineraries", lambda *a: None)
+    monkeypatch.setattr(q, "build_features", lambda *a: spark.createDataFrame(rows, "ArrDel15 int, Cancelled int, p double"))
+    monkeypatch.setattr(q.models, "fit_logistic", lambda t: None)
+    monkeypatch.setattr(q.models, "task", lambda x, label: x.withColumn("label", F.col(label)))
+    monkeypatch.setattr(q.models, "score", lambda m, x: x)
+    got = q.backtest(spark, "").collect()
+    assert sorted((r.task, r.part) for r in got) == sorted((t, p) for t in ("ArrDel15", "Cancelled") for p in ["core"] + ["stratification"] * 5)
+    core = {r.task: r for r in got if r.part == "core"}
+    assert core["ArrDel15"].base_rate == 0.5 and core["Cancelled"].base_rate == 0.1 and core["Cancelled"].roc_auc is not None
+
+
+def test_logistic_query_uses_its_grid(spark, monkeypatch):
+    from wayfare.ml import models
+    from wayfare.plans import ml_queries as q
+
+    h = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0
+    rows = spark.range(300).select((F.col("id") % 24).cast("double").alias("DepHour"), (h < (F.col("id") % 24) / 24.0).cast("double").alias("label"))
+    real, grids = models.fit_logistic, []
+
+    def small(train, grid=()):
+        grids.append(grid)
+        return real(train, ["DepHour"], [], grid[:2])
+
+    monkeypatch.setattr(q, "splits", lambda *a: (rows, None, rows))
+    monkeypatch.setattr(models, "fit_logistic", small)
+    assert q.logistic(spark, "").first().roc_auc > 0.75 and grids == [(0.1, 0.3, 1.0, 3.0)]
