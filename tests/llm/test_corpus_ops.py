@@ -430,3 +430,17 @@ def test_near_copies_in_chains():
     ids = [7 * i % 23 for i in range(21)]
     edges = near_edges(ids, sets)
     assert {b for _, b in edges} == {min(ids[:20])} and {a for a, _ in edges} == set(ids[:20]) - {min(ids[:20])}
+
+
+def test_language_model_has_all_words(spark):
+    from wayfare.llm import op03_language as op
+
+    r = random.Random(3)
+    langs = ["aa" if i % 20 else "zz" for i in range(400)]  # one language has most rows, and the frequent words
+    texts = [" ".join((r.choice("αβγδεζηθ") * 3 + r.choice("ικλμν")) if x == "zz" else f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('lmnrs')}" for _ in range(20)) for x in langs]
+    d = docs_of(spark, texts, langs=langs)
+    probe = docs_of(spark, [*texts, "ααα ωωωι", "ωωω", "baz qa", *EDGE])
+    few, many = (rows_of(op.identify(probe, op.fit(d, hot_words=n))) for n in (3, 100_000))
+    assert [many[i].lang_pred for i in range(400)] == langs
+    assert many[400].lang_pred == "zz" and many[402].lang_pred == "aa"
+    assert all(few[i].lang_pred == x.lang_pred and abs(few[i].score - x.score) < 1e-9 for i, x in many.items()) and len(few) == len(many)

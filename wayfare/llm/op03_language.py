@@ -1,9 +1,9 @@
 """Operator 3, language identification: words first, backing off to shorter and shorter character n-grams.
 
-Spark counts every word of every training document by language; the most frequent words, and the most frequent character
-n-grams of all counted words, make the model: log frequencies by language. A known word is scored by its own
-frequencies, an unseen one by those of its longest known n-grams. The model's size is bounded by parameters (the counts
-behind it are over all data), so it can be broadcast.
+Spark counts every word of every training document by language, and every character n-gram of the counted words; all of
+them are the model, in two written tables. A known word is scored by its own frequencies, an unseen one by those of its
+longest known n-grams. The most frequent words (HOT_WORDS) are also sent to all tasks, so that only the other words of a
+document are joined with the tables; each distinct unseen word is scored once. HOT_WORDS does not change any result.
 
 Training rows: crc32(id as text) mod 5 is not 0, with text and language. Prediction uses the text alone.
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.common import cut, map_texts, slices, table
 
-#: Words and n-grams of the model: the most frequent ones.
-MAX_WORDS, MAX_GRAMS = 100_000, 60_000
+#: Words that are sent to all tasks and need no join: the most frequent ones.
+HOT_WORDS = 100_000
 #: Lengths of n-grams, tried in this order; words get a mark at either end.
 GRAMS = (4, 3, 2, 1)
 #: Words of a document that count as independent evidence, for the score.
@@ -90,96 +90,120 @@ def count_grams(words: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
 
-def _largest(counts: DataFrame, most: int) -> dict[str, dict[str, int]]:
-    """The `most` most frequent terms (ties by name) with their counts by language."""
-    rows = (
-        counts.groupBy("term")
-        .agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        .orderBy(F.desc("all"), "term")
-        .limit(most)
-        .select("term", F.map_keys("by").alias("lang"), F.map_values("by").alias("n"))
-        .toArrow()
-    )
-    return {t: dict(zip(ls, ns)) for t, ls, ns in zip(*(rows.column(c).to_pylist() for c in ("term", "lang", "n")))}
+def _wide(counts: DataFrame, langs: list[str], totals: dict[str, int]) -> DataFrame:
+    """(term, n, logs): all counts and the log frequencies by language, one row for each term."""
+    by = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    wide = cut(counts.groupBy("term").agg(F.sum("n").alias("n"), *by))
+    size = max(1, wide.count())
+    logs = [F.log((F.col(f"n{i}") + 0.2) / F.lit(totals[x] + 0.2 * size)) for i, x in enumerate(langs)]
+    return wide.select("term", "n", F.array(*logs).alias("logs"))
+
+
+def _totals(counts: DataFrame) -> dict[str, int]:
+    return {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
 
 
 class Model:
-    def __init__(self, langs: list[str], words: dict[str, dict], grams: dict[str, dict], word_totals: dict, gram_totals: dict):
-        self.langs = langs
-        at = {x: i for i, x in enumerate(langs)}
-        self.words = {w: i for i, w in enumerate(words)}
-        self.grams = {g: i for i, g in enumerate(grams)}
-        self.word_logs = self._logs(words, at, word_totals)
-        self.gram_logs = self._logs(grams, at, gram_totals)
-
-    @staticmethod
-    def _logs(counts: dict[str, dict], at: dict[str, int], totals: dict) -> np.ndarray:
-        n = np.full((len(counts), len(at)), 0.2, np.float64)
-        for i, by in enumerate(counts.values()):
-            for lang, k in by.items():
-                n[i, at[lang]] += k
-        total = np.array([totals.get(x, 0) + 0.2 * max(1, len(counts)) for x in at])
-        return np.log(n / total).astype(np.float32)
-
-    def unseen(self, word: str) -> np.ndarray | None:
-        for k in GRAMS:
-            known = [self.grams[g] for g in grams_of(word, k) if g in self.grams]
-            if known:
-                return self.gram_logs[known].mean(axis=0)
-        return None
+    """langs, and tables of the log frequencies of all learned words and n-grams; hot has the most frequent words."""
+
+    def __init__(self, langs: list[str], words: DataFrame | None = None, grams: DataFrame | None = None, hot: dict[str, int] | None = None, hot_logs: np.ndarray | None = None):
+        self.langs, self.words, self.grams = langs, words, grams
+        self.hot, self.hot_logs = hot or {}, hot_logs
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not words or not self.langs:
+        """One text; many are cheaper with identify()."""
+        if not self.langs or not (text and words_of(text)):
             return "und", 0.0
-        total = np.zeros(len(self.langs))
-        ids, times = [], []
-        for w, n in Counter(words).items():
-            i = self.words.get(w)
-            if i is not None:
-                ids.append(i)
-                times.append(n)
-            elif (logs := self.unseen(w)) is not None:
-                total += n * logs
-        if ids:
-            total += np.array(times) @ self.word_logs[ids].astype(np.float64)
-        logits = total * (min(len(words), EVIDENCE) / len(words))
-        best = int(logits.argmax())
-        return self.langs[best], float(1 / np.exp(logits - logits[best]).sum())
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: tuple[int, int] = (5, 0)) -> Model:
+        one = self.words.sparkSession.createDataFrame([(0, text)], "doc_id long, text string")
+        row = identify(one, self).first()
+        return row["lang_pred"], row["score"]
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: tuple[int, int] = (5, 0), hot_words: int = HOT_WORDS) -> Model:
     """Learns from rows whose crc32(id) mod fold[0] is not fold[1]."""
     train = docs.select(
         F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"), F.col(id_col).alias("_id")
     ).filter(F.col("_text").isNotNull() & F.col("_lang").isNotNull() & F.coalesce(_rest("_id", fold[0]) != fold[1], F.lit(True)))
-    words = cut(count_words(train.select("_text", "_lang")))
-    grams = count_grams(words)
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    top_grams = _largest(grams, MAX_GRAMS)
-    gram_totals: Counter = Counter()
-    for by in top_grams.values():
-        gram_totals.update(by)
-    return Model(sorted(totals), _largest(words, MAX_WORDS), top_grams, totals, gram_totals)
-
-
-def _rest(id_col: str, mod: int):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
+    counts = cut(count_words(train.select("_text", "_lang")))
+    totals = _totals(counts)
+    langs = sorted(totals)
+    if not langs:
+        return Model([])
+    gram_counts = cut(count_grams(counts))
+    words, grams = _wide(counts, langs, totals), _wide(gram_counts, langs, _totals(gram_counts))
+    most = words.orderBy(F.desc("n"), "term").limit(hot_words).select("term", "logs").toArrow()
+    hot = {t: i for i, t in enumerate(most.column("term").to_pylist())}
+    logs = most.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
+    return Model(langs, words, grams, hot, logs)
+
+
+def _unseen(words: DataFrame, model: Model) -> DataFrame:
+    """(word, logs) of words that were not learned: the mean over their known n-grams of the greatest length that has any."""
+    n, marked, parts, left = len(model.langs), F.concat(F.lit("^"), "word", F.lit("$")), [], words
+    mean = F.array(*(F.avg(F.col("logs")[i]) for i in range(n)))
+    for k in GRAMS:
+        source, length = (marked, F.length("word") + 2) if k > 1 else (F.col("word"), F.length("word"))
+        grams = left.filter(length >= k).select("word", F.explode(F.transform(F.sequence(F.lit(1), length - k + 1), lambda i: F.substr(source, i, F.lit(k)))).alias("term"))
+        found = cut(grams.join(model.grams.select("term", "logs"), "term").groupBy("word").agg(mean.alias("logs")))
+        parts.append(found)
+        left = cut(left.join(found, "word", "left_anti"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: predicted language and its posterior share."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_WORDS + MAX_GRAMS rows of numbers
-    return map_texts(
-        docs,
+    n = len(model.langs)
+    if not n:
+        return docs.select(F.col(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    held = docs.sparkSession.sparkContext.broadcast((model.hot, model.hot_logs))  # at most HOT_WORDS rows of numbers
+
+    def parts(texts, hot):
+        known, logs = hot
+        rows = []
+        for text in texts:
+            words = words_of(text) if text else []
+            ids, times, rest, rest_n = [], [], [], []
+            for w, k in Counter(words).items():
+                i = known.get(w)
+                if i is None:
+                    rest.append(w)
+                    rest_n.append(k)
+                else:
+                    ids.append(i)
+                    times.append(k)
+            total = np.array(times) @ logs[ids] if ids else np.zeros(n)
+            rows.append((len(words), total, rest, rest_n))
+        return rows
+
+    fields = "n_words long, total array<double>, rest array<string>, rest_n array<long>"
+    keyed = docs.select(F.struct(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id")).alias("_key"), F.col(text_col).alias("_text"))
+    made = cut(map_texts(keyed, "_key", "_text", parts, fields, setup=lambda: held.value))
+    rest = made.select(F.col("_key.r").alias("r"), F.explode(F.arrays_zip("rest", "rest_n")).alias("x")).select("r", F.col("x.rest").alias("word"), F.col("x.rest_n").alias("k"))
+    distinct = rest.select("word").distinct().join(model.words.select(F.col("term").alias("word"), "logs"), "word", "left")
+    distinct = cut(distinct)
+    scored = distinct.filter("logs is not null").unionByName(_unseen(distinct.filter("logs is null").select("word"), model))
+    sums = rest.join(scored, "word").groupBy("r").agg(*(F.sum(F.col("k") * F.col("logs")[i]).alias(f"s{i}") for i in range(n)))
+    joined = made.select("_key", "n_words", "total", F.col("_key.r").alias("r")).join(sums, "r", "left")
+    scale = F.least(F.col("n_words"), F.lit(EVIDENCE)) / F.greatest(F.col("n_words"), F.lit(1))
+    logits = F.array(*((F.col("total")[i] + F.coalesce(F.col(f"s{i}"), F.lit(0.0))) * scale for i in range(n)))
+    best = joined.select(F.col("_key.id").alias(id_col), "n_words", logits.alias("l")).withColumn("m", F.array_max("l"))
+    share = 1 / F.aggregate("l", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("m")))
+    names = F.array(*map(F.lit, model.langs))
+    some = F.col("n_words") > 0
+    return best.select(
         id_col,
-        text_col,
-        lambda texts, m: [m.predict(t) for t in texts],
-        "lang_pred string, score double",
-        setup=lambda: held.value,
+        F.when(some, F.element_at(names, F.array_position("l", F.col("m")).cast("int"))).otherwise("und").alias("lang_pred"),
+        F.when(some, share).otherwise(0.0).alias("score"),
     )
 
 
+def _rest(id_col: str, mod: int):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs))
