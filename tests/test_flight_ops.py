@@ -247,3 +247,13 @@ def test_logistic_query_uses_its_grid(spark, monkeypatch):
     monkeypatch.setattr(q, "splits", lambda *a: (rows, None, rows))
     monkeypatch.setattr(models, "fit_logistic", small)
     assert q.logistic(spark, "").first().roc_auc > 0.75 and grids == [(0.1, 0.3, 1.0, 3.0)]
+
+
+def test_quantiles_by_ranks(spark):
+    df = spark.range(997).select((F.pmod(F.xxhash64("id"), F.lit(300)) / 250.0).alias("p")).unionByName(spark.createDataFrame([(None,)], "p double"))
+    qs = [0.05, 0.1, 0.333, 0.5, 0.9, 0.95]
+    found = metrics.quantile(df, qs)
+    assert "percentile(" not in found._jdf.queryExecution().toString()
+    want = df.agg(F.percentile("p", F.array(*map(F.lit, qs))).alias("c")).first().c
+    assert all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(found.first().cut, want))
+    assert metrics.quantile(df.limit(0), 0.9).first().cut is None
