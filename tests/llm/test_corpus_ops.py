@@ -444,3 +444,12 @@ def test_language_model_has_all_words(spark):
     assert [many[i].lang_pred for i in range(400)] == langs
     assert many[400].lang_pred == "zz" and many[402].lang_pred == "aa"
     assert all(few[i].lang_pred == x.lang_pred and abs(few[i].score - x.score) < 1e-9 for i, x in many.items()) and len(few) == len(many)
+
+
+def test_license_copies_side_by_side():
+    from wayfare.llm import op08_licenses as op
+
+    fuzzy = op.Fuzzy(op.NOTICES, op.CHARS_PER_ERROR)
+    text = "relased under the mit license foo bar released under the mit license"
+    assert [(x[2], x[3]) for x in fuzzy.find(text) if x[3] == "mit" and x[2] < 2] == [(1, "mit"), (0, "mit")]
+    assert [x[2] for x in fuzzy.find("all rihts reserved all rights reserved") if x[3] == "reserved"] == [1, 0]

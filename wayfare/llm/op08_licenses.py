@@ -89,9 +89,14 @@ class Fuzzy:
         for i, spans in windows.items():
             n, label, _ = self.notices[i]
             for a, b in spans:
-                for m in self.patterns[i].finditer(text, a, b):
-                    edits = sum(m.fuzzy_counts)
-                    found.add((m.start(), m.end(), edits, label, 1 - edits / len(n)))
+                left = [(a, b)]
+                while left:  # the best match comes first, then what lies on either side of it
+                    a, b = left.pop()
+                    m = self.patterns[i].search(text, a, b)
+                    if m and m.end() > m.start():
+                        edits = sum(m.fuzzy_counts)
+                        found.add((m.start(), m.end(), edits, label, 1 - edits / len(n)))
+                        left += [(a, m.start()), (m.end(), b)]
         return sorted(found)
 
 
