@@ -173,6 +173,39 @@ def test_bpe_as_the_library_does(spark):
         ids = np.array(lib.encode_ordinary(t or ""), "<u4")
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
     assert rows_of(op.encode_texts(docs_of(spark, ["hello world"]), ranks))[0].ids == lib.encode_ordinary("hello world")
+    assert op.encode_digests(docs_of(spark, []), ranks).collect() == []
+
+
+def test_piece_classes_are_the_libraries_own():
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from wayfare.llm import op05_bpe, pieces
+
+    ranks = op05_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer
+    # every plane with assigned characters; a letter before and a digit after show a character's class
+    joined = "".join(f"a{chr(c)}1\n" for c in [*range(0xD800), *range(0xE000, 0x33000), *range(0xE0000, 0xE0200)])
+    (parts,) = pieces.split([joined], pieces.tiktoken_classes())
+    ids_of = {p: lib.encode_single_token(p.encode()) if p.encode() in ranks else None for p in set(parts)}
+    assert lib.encode_ordinary(joined) == [i for p in parts for i in ([ids_of[p]] if ids_of[p] is not None else lib.encode_ordinary(p))]
+    got = np.cumsum([0, *map(len, pieces.split([joined], pieces.tokenizers_classes())[0])]).tolist()
+    assert list(zip(got, got[1:])) == [span for _, span in other.pre_tokenize_str(joined)]
+
+
+def test_bpe_of_new_letters_and_long_pieces():
+    import tiktoken
+
+    from wayfare.llm import op05_bpe as op
+
+    ranks = op.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    texts = ["\U00013527a1 \U00013527\U00013527", "\U00013e67a1 \U00013e67\U00013e67"]
+    texts += ["".join(r.choice("abehort") for _ in range(n)) for n in (1, 63, 64, 65, 130, 255, 256, 257, 1000)]
+    bpe = op.Bpe(ranks)
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(texts)] == [lib.encode_ordinary(t) for t in texts]
 
 
 # -- op6 ----------------------------------------------------------------------------------------------------------------
@@ -260,6 +293,26 @@ def test_packing(spark):
     assert op.pack_documents(docs_of(spark, []), op.vocabulary()).collect() == []
 
 
+def test_packed_ids_are_those_of_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from wayfare.llm import op07_packing as op
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lib.encode_special_tokens = True
+    r = random.Random(8)
+    al = ["a", "the", "ing", "'s", "'", " ", " ", " ", "  ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "12", "½", "é", ".", "!", "你好", "<|endoftext|>", "\U00013527"]
+    texts = ["".join(r.choice(al) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["x" * 200, " ".join("ab" * 40 for _ in range(5))]
+    for long, kept in ((50_000, 400_000), (5, 50)):
+        monkeypatch.setattr(op, "LONG", long)
+        monkeypatch.setattr(op, "KEPT_CHUNKS", kept)
+        encoder = op.Encoder(op.vocabulary())
+        for a in range(0, len(texts), 100):
+            part = texts[a : a + 100]
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(part)] == [lib.encode(t, add_special_tokens=False).ids for t in part]
+        assert len(encoder.kept) <= kept + 4000
+
+
 # -- op8 ----------------------------------------------------------------------------------------------------------------
 def test_licenses(spark):
     from wayfare.llm import op08_licenses as op

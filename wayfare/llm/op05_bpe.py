@@ -1,6 +1,6 @@
 """Operator 5, byte-level BPE encoding and decoding.
 
-Each slice of documents is split by the pattern (pieces.py); its distinct pieces are the rows of padded numpy matrices, bucketed by
+Each slice of documents is split by the pattern (pieces.py, with the character classes of the tiktoken library); its distinct pieces are the rows of padded numpy matrices, bucketed by
 length. In a round every row merges its leftmost pair of minimum rank; pair ranks come from a hashed pair table
 (open addressing, probed for the whole matrix at once) and the matrix is compacted after each round. A piece's ids are kept
 for later slices of the task in a table of bounded size. No shuffle; memory is bounded by a slice of text.
@@ -8,7 +8,8 @@ for later slices of the task in a table of bounded size. No shuffle; memory is b
 Pieces of more than LONG bytes would cost a round for each byte, so those few take the same merges (leftmost pair of
 minimum rank first) from a heap over a linked list.
 
-Defined cases: null text is empty (no ids, digests of nothing); equal rows give equal rows; other columns are ignored.
+Defined cases: null text is empty (no ids, digests of nothing); equal rows and equal or null ids give rows of their own; a
+very long text is encoded whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm.common import map_texts, table
-from wayfare.llm.pieces import split
+from wayfare.llm.pieces import split, tiktoken_classes
 
-#: Pieces of more bytes go to the heap.
-LONG = 64
+#: Pieces of more bytes go to the heap; others to matrices of at most so many entries.
+LONG, ENTRIES = 256, 600_000
 #: A task forgets its pieces' ids beyond so many.
 KEPT_PIECES = 250_000
 _NONE = np.int32(2**31 - 1)
@@ -175,16 +176,17 @@ class Bpe:
                 out[i] = self.encode_long(p).astype("<u4").tobytes()
             else:
                 buckets.setdefault((len(p) + 3) // 4, []).append(i)
-        for of in buckets.values():
-            for a in range(0, len(of), 20_000):
-                part = of[a : a + 20_000]
+        for width, of in buckets.items():
+            at_once = ENTRIES // (4 * width + 4)
+            for a in range(0, len(of), at_once):
+                part = of[a : a + at_once]
                 for i, ids in zip(part, self.encode_matrix([pieces[i] for i in part])):
                     out[i] = ids
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        pieces = split(texts)
+        pieces = split(texts, tiktoken_classes())
         here = set().union(*pieces)
         new = list(here - self.kept.keys())
         if len(self.kept) + len(new) > KEPT_PIECES:

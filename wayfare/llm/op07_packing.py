@@ -5,19 +5,21 @@ totals of the partitions (one number each) into global offsets by a prefix sum a
 windows; a document that crosses a boundary gives a record on either side of it. Neither pass shuffles. The rest after
 the last full window is cut at descending powers of two, so no sequence needs padding.
 
-Ids are those of the tokenizers library for its vocabulary file, special strings being ordinary text. Texts of up to LONG
-code points get them from the tiktoken library, which is over twice as fast with the same vocabulary as ranks (read from
-the same file; tests compare the two). Longer ones are split first (pieces.py splits exactly as the vocabulary's own
-pre-tokenizer does), so that no regex engine meets a very long run, and the tokenizers library is asked for distinct pieces.
-
-Defined cases: null text is empty and gives only the end id; every document gives at least one piece; equal rows are
-packed one after another; an empty table gives no rows; other columns are ignored.
+Ids are those of the tokenizers library for its vocabulary file, special strings being ordinary text. Its pattern never joins
+what lies on either side of a blank that stands between two other characters, so a text is the same as its chunks between
+such blanks, each with its blank in front. A task asks the library for chunks it has not met, many in one call, and keeps
+their ids in a table of bounded size. Chunks of over LONG code points are split by pieces.py with the library's own
+character classes, so that no regex engine meets a very long run.
+
+Defined cases: null text is empty and gives only the end id; every document gives at least one piece; equal rows and
+equal or null ids are documents of their own; a very long text is one document in many pieces; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -27,26 +29,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import cut, slices, table
-from wayfare.llm.pieces import split
+from wayfare.llm.pieces import split, tokenizers_classes
 
 WINDOW = 2048
 END_ID = 1
-#: Longer texts are split before they are encoded.
+#: Longer chunks are split before they are encoded.
 LONG = 50_000
-#: A task forgets its pieces' ids beyond so many.
-KEPT_PIECES = 200_000
+#: A task forgets its chunks' ids beyond so many, and keeps none of more code points than these.
+KEPT_CHUNKS, KEPT_SIZE = 400_000, 64
+#: A blank where no text may be cut: after white space, and before white space or the end.
+_UNSAFE = re.compile(r"\s (?!\S)")
+_SAFE = re.compile(r"(?<!\s) (?=\S)")
 
 _HELD: dict = {}
 
 
-def ranks_of(spec: str) -> dict[bytes, int]:
-    """Bytes of each token and its id, which is its merge rank, from a byte-level BPE file; added tokens are left out."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-    others = [b for b in range(256) if b not in plain]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-    loaded = json.loads(spec)
-    added = {t["content"] for t in loaded.get("added_tokens", [])}
-    return {bytes(byte_of[c] for c in token): i for token, i in loaded["model"]["vocab"].items() if token not in added}
+def chunks_of(text: str) -> list[str]:
+    """Parts of the text between blanks; all but the first have lost the blank in front of them."""
+    return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
 
 
 class Encoder:
@@ -56,31 +56,53 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
-        import public_tokenizers
-        import tiktoken
+        (self.line_end,) = self._ids("\n")
 
-        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(spec), special_tokens={})
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        one = self.fast.encode_to_numpy
-        return [one(t, disallowed_special=()).astype("<u4").tobytes() if len(t) <= LONG else self.encode_split([t])[0] for t in texts]
-
-    def encode_split(self, texts: list[str]) -> list[bytes]:
-        """The same by the tokenizers library, piece by piece."""
-        pieces = split(texts)
-        here = set().union(*pieces)
-        new = list(here - self.kept.keys())
-        if len(self.kept) + len(new) > KEPT_PIECES:
-            self.kept = {p: self.kept[p] for p in here & self.kept.keys()}
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            ids = [x.ids for x in found]
-            raw = np.fromiter((i for x in ids for i in x), "<u4").tobytes()
-            ends = (4 * np.cumsum([len(x) for x in ids])).tolist()
-            self.kept.update(zip(part, (raw[s:e] for s, e in zip([0, *ends], ends))))
-        return [b"".join(map(self.kept.__getitem__, s)) for s in pieces]
+        parts = [chunks_of(t) for t in texts]
+        firsts = [self._alone(p.pop(0)) for p in parts]
+        here = set().union(*parts)
+        new = here - self.kept.keys()
+        if len(self.kept) + len(new) > KEPT_CHUNKS:
+            self.kept = {c: self.kept[c] for c in here & self.kept.keys()}
+        self._learn(new)
+        get = self.kept.__getitem__
+        out = [first + b"".join(map(get, p)) for first, p in zip(firsts, parts)]
+        for c in new:
+            if len(c) > KEPT_SIZE:
+                del self.kept[c]
+        return out
+
+    def _alone(self, text: str) -> bytes:
+        """Ids of one text or chunk."""
+        if len(text) <= LONG:
+            return np.array(self._ids(text), "<u4").tobytes()
+        return b"".join(np.array(x.ids, "<u4").tobytes() for a in self._pieces(text) for x in a)
+
+    def _pieces(self, text: str):
+        (pieces,) = split([text], tokenizers_classes())
+        for a in range(0, len(pieces), 20_000):
+            yield self.tokenizer.encode_batch_fast(pieces[a : a + 20_000], add_special_tokens=False)
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Ids of chunks with their blanks. Those without white space go many to a call, each on a line of its own."""
+        plain = []
+        for c in chunks:
+            if len(c) <= KEPT_SIZE and c.split() == [c]:
+                plain.append(c)
+            else:
+                self.kept[c] = self._alone(" " + c)
+        for a in range(0, len(plain), 2000):
+            part = plain[a : a + 2000]
+            ids = np.array(self._ids(" " + "\n ".join(part) + "\n"), "<u4")
+            ends = np.flatnonzero(ids == self.line_end)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            raw = ids.tobytes()
+            self.kept.update(zip(part, (raw[s:e] for s, e in zip((4 * starts).tolist(), (4 * ends).tolist()))))
 
 
 def encoder_of(spec: str) -> Encoder:

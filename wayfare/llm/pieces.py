@@ -3,34 +3,58 @@
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 
 The pattern's matches cover the text without gaps, so they are given by their starts, which follow from character
-classes alone: numpy finds them for all texts of a slice together, several times faster than a regex engine does.
+classes alone (asked of the library whose pieces are wanted, for every code point): numpy finds them for all texts of a slice together, several times faster than a regex engine does.
 """
 
 from __future__ import annotations
 
 import functools
-import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
-#: Code points with the property White_Space (fixed by Unicode).
-_WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
-@functools.cache
-def classes() -> np.ndarray:
-    """The class of every code point."""
-    first = {"L": _LETTER, "N": _NUMBER}
-    out = np.array([first.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)], np.uint8)
-    out[_WHITE] = _SPACE
+def _classes(matches: Callable[[str, str], str]) -> np.ndarray:
+    """The class of every code point; matches(pattern, text) joins what a library's regex engine finds in the text."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = np.full(0x110000, _OTHER, np.uint8)
+    for pattern, kind in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _SPACE)):
+        out[np.frombuffer(matches(pattern, every).encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
-def starts_of(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+@functools.cache
+def tiktoken_classes() -> np.ndarray:
+    """As the tiktoken library's patterns see them, whichever Unicode version it was built with."""
+    import tiktoken
+
+    def matches(pattern: str, text: str) -> str:
+        single = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        return single.decode_bytes(single.encode_ordinary(text)).decode()
+
+    return _classes(matches)
+
+
+@functools.cache
+def tokenizers_classes() -> np.ndarray:
+    """As the tokenizers library's patterns see them."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    def matches(pattern: str, text: str) -> str:
+        left = Split(Regex(pattern), "removed").pre_tokenize_str(text)
+        at = [0, *(x for _, span in left for x in span), len(text)]
+        return "".join(text[a:b] for a, b in zip(at[::2], at[1::2]))
+
+    return _classes(matches)
+
+
+def starts_of(codes: np.ndarray, begins: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """A mask of the pieces' starts in the concatenated code points of texts; begins: where each non-empty text begins."""
     n = len(codes)
-    kind = classes()[codes]
+    kind = classes[codes]
     first = np.zeros(n + 1, bool)
     first[begins] = True
     first[n] = True
@@ -69,8 +93,8 @@ def starts_of(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
-def split(texts: list[str]) -> list[list[str]]:
-    """The pieces of each text."""
+def split(texts: list[str], classes: np.ndarray) -> list[list[str]]:
+    """The pieces of each text, by the classes of a library."""
     whole = "".join(texts)
     if not whole:
         return [[] for _ in texts]
@@ -78,7 +102,7 @@ def split(texts: list[str]) -> list[list[str]]:
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     begins = (ends - sizes)[sizes > 0]
-    mask = starts_of(codes, begins)
+    mask = starts_of(codes, begins, classes)
     at = np.flatnonzero(mask)
     bounds = np.searchsorted(at, np.concatenate([ends - sizes, ends[-1:]])).tolist()
     at = at.tolist()
