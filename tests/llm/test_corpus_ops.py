@@ -303,14 +303,14 @@ def test_packed_ids_are_those_of_the_library(monkeypatch):
     r = random.Random(8)
     al = ["a", "the", "ing", "'s", "'", " ", " ", " ", "  ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "12", "½", "é", ".", "!", "你好", "<|endoftext|>", "\U00013527"]
     texts = ["".join(r.choice(al) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["x" * 200, " ".join("ab" * 40 for _ in range(5))]
-    for long, kept in ((50_000, 400_000), (5, 50)):
-        monkeypatch.setattr(op, "LONG", long)
-        monkeypatch.setattr(op, "KEPT_CHUNKS", kept)
+    for size, kept in ((64, 400_000), (5, 50)):
+        monkeypatch.setattr(op, "KEPT_SIZE", size)
+        monkeypatch.setattr(op, "KEPT", kept)
         encoder = op.Encoder(op.vocabulary())
         for a in range(0, len(texts), 100):
             part = texts[a : a + 100]
             assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(part)] == [lib.encode(t, add_special_tokens=False).ids for t in part]
-        assert len(encoder.kept) <= kept + 4000
+        assert max(len(encoder.of_chunk), len(encoder.of_piece)) <= kept + 4000
 
 
 # -- op8 ----------------------------------------------------------------------------------------------------------------

@@ -7,9 +7,9 @@ the last full window is cut at descending powers of two, so no sequence needs pa
 
 Ids are those of the tokenizers library for its vocabulary file, special strings being ordinary text. Its pattern never joins
 what lies on either side of a blank that stands between two other characters, so a text is the same as its chunks between
-such blanks, each with its blank in front. A task asks the library for chunks it has not met, many in one call, and keeps
-their ids in a table of bounded size. Chunks of over LONG code points are split by pieces.py with the library's own
-character classes, so that no regex engine meets a very long run.
+such blanks, each with its blank in front. A task splits the chunks it has not met into pieces (pieces.py, with the
+library's own character classes), has the library's model tokenize the pieces it has not met, and keeps the ids of both in
+tables of bounded size.
 
 Defined cases: null text is empty and gives only the end id; every document gives at least one piece; equal rows and
 equal or null ids are documents of their own; a very long text is one document in many pieces; an empty table gives no rows;
@@ -33,13 +33,14 @@ from wayfare.llm.pieces import split, tokenizers_classes
 
 WINDOW = 2048
 END_ID = 1
-#: Longer chunks are split before they are encoded.
-LONG = 50_000
-#: A task forgets its chunks' ids beyond so many, and keeps none of more code points than these.
-KEPT_CHUNKS, KEPT_SIZE = 400_000, 64
-#: A blank where no text may be cut: after white space, and before white space or the end.
+#: A task forgets the ids of its chunks and pieces beyond so many, and keeps none of more code points than these.
+KEPT, KEPT_SIZE = 400_000, 64
+#: A blank where no text may be cut (after white space, and before white space or the end), and where any may be.
 _UNSAFE = re.compile(r"\s (?!\S)")
 _SAFE = re.compile(r"(?<!\s) (?=\S)")
+#: How a byte-level vocabulary writes each byte: those that print stand for themselves, the others are moved up.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: chr(b) for b in _PRINTS} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTS)}
 
 _HELD: dict = {}
 
@@ -53,56 +54,45 @@ class Encoder:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
-        (self.line_end,) = self._ids("\n")
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        tokenizer = Tokenizer.from_str(spec)
+        self.tokenize = tokenizer.model.tokenize
+        self.raw = [np.uint32(i).tobytes() for i in range(tokenizer.get_vocab_size())]
+        self.of_chunk: dict[str, bytes] = {}
+        self.of_piece: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [chunks_of(t) for t in texts]
-        firsts = [self._alone(p.pop(0)) for p in parts]
+        firsts = [p.pop(0) for p in parts]
         here = set().union(*parts)
-        new = here - self.kept.keys()
-        if len(self.kept) + len(new) > KEPT_CHUNKS:
-            self.kept = {c: self.kept[c] for c in here & self.kept.keys()}
-        self._learn(new)
-        get = self.kept.__getitem__
-        out = [first + b"".join(map(get, p)) for first, p in zip(firsts, parts)]
+        new = list(here - self.of_chunk.keys())
+        if len(self.of_chunk) + len(new) > KEPT:
+            self.of_chunk = {c: self.of_chunk[c] for c in here & self.of_chunk.keys()}
+        found = self._ids([*firsts, *(" " + c for c in new)])
+        self.of_chunk.update(zip(new, found[len(firsts) :]))
+        get = self.of_chunk.__getitem__
+        out = [first + b"".join(map(get, p)) for first, p in zip(found, parts)]
         for c in new:
             if len(c) > KEPT_SIZE:
-                del self.kept[c]
+                del self.of_chunk[c]
         return out
 
-    def _alone(self, text: str) -> bytes:
-        """Ids of one text or chunk."""
-        if len(text) <= LONG:
-            return np.array(self._ids(text), "<u4").tobytes()
-        return b"".join(np.array(x.ids, "<u4").tobytes() for a in self._pieces(text) for x in a)
-
-    def _pieces(self, text: str):
-        (pieces,) = split([text], tokenizers_classes())
-        for a in range(0, len(pieces), 20_000):
-            yield self.tokenizer.encode_batch_fast(pieces[a : a + 20_000], add_special_tokens=False)
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Ids of chunks with their blanks. Those without white space go many to a call, each on a line of its own."""
-        plain = []
-        for c in chunks:
-            if len(c) <= KEPT_SIZE and c.split() == [c]:
-                plain.append(c)
-            else:
-                self.kept[c] = self._alone(" " + c)
-        for a in range(0, len(plain), 2000):
-            part = plain[a : a + 2000]
-            ids = np.array(self._ids(" " + "\n ".join(part) + "\n"), "<u4")
-            ends = np.flatnonzero(ids == self.line_end)
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            raw = ids.tobytes()
-            self.kept.update(zip(part, (raw[s:e] for s, e in zip((4 * starts).tolist(), (4 * ends).tolist()))))
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, from those of its pieces."""
+        pieces = split(chunks, tokenizers_classes())
+        here = set().union(*pieces)
+        new = here - self.of_piece.keys()
+        if len(self.of_piece) + len(new) > KEPT:
+            self.of_piece = {p: self.of_piece[p] for p in here & self.of_piece.keys()}
+        for p in new:
+            shown = p.encode().decode("latin-1").translate(_SHOWN)
+            self.of_piece[p] = b"".join([self.raw[t.id] for t in self.tokenize(shown)])
+        get = self.of_piece.__getitem__
+        out = [b"".join(map(get, s)) for s in pieces]
+        for p in new:
+            if len(p) > KEPT_SIZE:
+                del self.of_piece[p]
+        return out
 
 
 def encoder_of(spec: str) -> Encoder:

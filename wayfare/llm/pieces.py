@@ -44,7 +44,7 @@ def tokenizers_classes() -> np.ndarray:
     from tokenizers.pre_tokenizers import Split
 
     def matches(pattern: str, text: str) -> str:
-        left = Split(Regex(pattern), "removed").pre_tokenize_str(text)
+        left = Split(Regex(pattern + "+"), "removed").pre_tokenize_str(text)
         at = [0, *(x for _, span in left for x in span), len(text)]
         return "".join(text[a:b] for a, b in zip(at[::2], at[1::2]))
 
