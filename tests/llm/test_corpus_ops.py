@@ -297,6 +297,7 @@ def test_packed_ids_are_those_of_the_library(monkeypatch):
     from tokenizers import Tokenizer
 
     from wayfare.llm import op07_packing as op
+    from wayfare.llm.pieces import tokenizers_classes
 
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     lib.encode_special_tokens = True
@@ -306,7 +307,7 @@ def test_packed_ids_are_those_of_the_library(monkeypatch):
     for size, kept in ((64, 400_000), (5, 50)):
         monkeypatch.setattr(op, "KEPT_SIZE", size)
         monkeypatch.setattr(op, "KEPT", kept)
-        encoder = op.Encoder(op.vocabulary())
+        encoder = op.Encoder(op.vocabulary(), tokenizers_classes())
         for a in range(0, len(texts), 100):
             part = texts[a : a + 100]
             assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(part)] == [lib.encode(t, add_special_tokens=False).ids for t in part]

@@ -51,12 +51,13 @@ def chunks_of(text: str) -> list[str]:
 
 
 class Encoder:
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, classes: np.ndarray):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
         self.tokenize = tokenizer.model.tokenize
         self.raw = [np.uint32(i).tobytes() for i in range(tokenizer.get_vocab_size())]
+        self.classes = classes
         self.of_chunk: dict[str, bytes] = {}
         self.of_piece: dict[str, bytes] = {}
 
@@ -79,7 +80,7 @@ class Encoder:
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk, from those of its pieces."""
-        pieces = split(chunks, tokenizers_classes())
+        pieces = split(chunks, self.classes)
         here = set().union(*pieces)
         new = here - self.of_piece.keys()
         if len(self.of_piece) + len(new) > KEPT:
@@ -95,24 +96,24 @@ class Encoder:
         return out
 
 
-def encoder_of(spec: str) -> Encoder:
+def encoder_of(spec: str, classes: np.ndarray) -> Encoder:
     """The worker's own encoder: later tasks of the worker find its pieces again."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if hash(spec) not in _HELD:
         _HELD.clear()
-        _HELD[hash(spec)] = Encoder(spec)
+        _HELD[hash(spec)] = Encoder(spec, classes)
     return _HELD[hash(spec)]
 
 
 def place_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Each document's ids with the end id (little-endian unsigned 32-bit integers), its partition and start within it."""
-    held = docs.sparkSession.sparkContext.broadcast(spec)  # a vocabulary: under 3 MB whatever the corpus
+    held = docs.sparkSession.sparkContext.broadcast((spec, tokenizers_classes()))  # a vocabulary and a byte a code point: under 5 MB whatever the corpus
     end = np.array([end_id], "<u4").tobytes()
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = dict(src.dtypes)["_id"]
 
     def run(batches):
-        part, at, encoder = TaskContext.get().partitionId(), 0, encoder_of(held.value)
+        part, at, encoder = TaskContext.get().partitionId(), 0, encoder_of(*held.value)
         for batch in batches:
             for piece in slices(batch, "_text"):
                 ids = [x + end for x in encoder.encode([t or "" for t in piece.column("_text").to_pylist()])]
