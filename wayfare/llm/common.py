@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="wayfare-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -38,6 +42,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by cut() that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.rsplit("/", 1)[1].startswith("cut-"):
+                delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
+    """rows joined to keyed (one row a key, with the number n of rows of that key), however skewed the rows are.
+
+    Keys with over 1/share of all rows, so fewer than `share`, are joined by broadcast; no task of the shuffled join of the
+    others gets more than that of one key. how: inner, left or left_semi; n is not passed on.
+    """
+    keyed = cut(keyed)
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    n_hot = keyed.filter(F.col("n") * share > total)
+    one = rows.join(F.broadcast(n_hot.drop("n")), keys, "left_semi" if how == "left_semi" else "inner")
+    rest = rows.join(F.broadcast(n_hot.select(*keys)), keys, "left_anti")
+    other = rest.join(keyed.filter(F.col("n") * share <= total).drop("n"), keys, how)
+    return one.unionByName(other)
+
+
+@contextlib.contextmanager
+def uncollected():
+    """Without the cyclic garbage collector, which would walk millions of words and pieces that form no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in consecutive parts of bounded text size; a single longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -73,8 +117,9 @@ def map_texts(
         extra = (setup(),) if setup else ()
         for batch in batches:
             for part in slices(batch, "_text"):
-                rows = fn(part.column("_text").to_pylist(), *extra)
-                columns = [pa.array(c) for c in zip(*rows)]
+                with uncollected():
+                    rows = fn(part.column("_text").to_pylist(), *extra)
+                    columns = [pa.array(c) for c in zip(*rows)]
                 yield _typed([part.column("_id"), *columns], out_types)
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import cut, slices, table
+from wayfare.llm.common import cut, slices, table, uncollected
 from wayfare.llm.pieces import split, tokenizers_classes
 
 WINDOW = 2048
@@ -116,16 +116,17 @@ def place_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: s
         part, at, encoder = TaskContext.get().partitionId(), 0, encoder_of(*held.value)
         for batch in batches:
             for piece in slices(batch, "_text"):
-                ids = [x + end for x in encoder.encode([t or "" for t in piece.column("_text").to_pylist()])]
+                with uncollected():
+                    ids = [x + end for x in encoder.encode([t or "" for t in piece.column("_text").to_pylist()])]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = at + np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("_id"), pa.array(ids, pa.binary()), pa.array([part] * len(ids), pa.int64()), pa.array(ends - sizes)],
-                    names=[id_col, "ids", "part", "part_start"],
+                    [piece.column("_id"), pa.array(ids, pa.binary()), pa.array([part] * len(ids), pa.int64()), pa.array(ends - sizes), pa.array(ends)],
+                    names=[id_col, "ids", "part", "part_start", "part_end"],
                 )
                 at = int(ends[-1]) if len(ends) else at
 
-    return src.mapInArrow(run, f"`{id_col}` {kind}, ids binary, part long, part_start long")
+    return src.mapInArrow(run, f"`{id_col}` {kind}, ids binary, part long, part_start long, part_end long")
 
 
 def windows(total: int, window: int) -> np.ndarray:
@@ -141,8 +142,7 @@ def windows(total: int, window: int) -> np.ndarray:
 
 def pack(placed: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """One row for each piece of a document in a sequence; placed: a written table of place_tokens()."""
-    ends = F.col("part_start") + (F.octet_length("ids") / 4).cast("long")
-    totals = placed.groupBy("part").agg(F.max(ends).alias("n")).orderBy("part").collect()  # one row a partition
+    totals = placed.groupBy("part").agg(F.max("part_end").alias("n")).orderBy("part").collect()  # one row a partition
     sums = np.concatenate([[0], np.cumsum([r["n"] for r in totals])]).astype(np.int64)
     offsets = {r["part"]: int(s) for r, s in zip(totals, sums)}
     total = int(sums[-1])
