@@ -93,7 +93,7 @@ def brute_substrings(texts, window):
         yield len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("start", [2, 9, 12, 35])
+@pytest.mark.parametrize("start", [2, 5, 9, 12, 35])
 def test_substrings_by_brute_force(spark, start):
     from wayfare.llm.op02_substrings import dedup_substrings
 
@@ -105,6 +105,23 @@ def test_substrings_by_brute_force(spark, start):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == want, i
 
 
+def test_substrings_extend_every_window_of_a_run():
+    from wayfare.llm import op02_substrings as op
+
+    assert op.lengths(op.WINDOW, op.START) == [9, 18, 35]  # production doubles once before the full length
+    doc = op.Document(" ".join(words(3, 400)), op.WINDOW, op.START)
+    codes, _ = doc.runs()
+    parts, hashes = doc.extended(codes, 18)
+    first, count, offset = op.run_parts(parts)
+    whole = op.window_hashes(doc.h, 18)
+    starts = {int(h): i for i, h in enumerate(whole)}
+    assert sorted(op.window_starts(first, count).tolist()) == list(range(400 - 34))  # every full window once
+    for f, n, o, h in zip(first, count, offset, hashes):
+        at, seed = starts[int(h)], f + o
+        assert at <= seed and seed + 9 <= at + 18  # it holds the short window
+        assert f + n - 1 <= at and at + 18 <= f + 35  # and lies in every full window of the part
+
+
 def test_substrings_repeated_rows_and_empty_table(spark):
     from wayfare.llm.op02_substrings import dedup_substrings
 

@@ -35,9 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: For each make() that apart() is running: the tables that cut() has written for it.
+_OPEN: list[list[str]] = []
+
+
+def apart(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, as a written table; the tables that were cut on the way are deleted."""
+    _OPEN.append([])
+    made = _OPEN[-1]
+    try:
+        try:
+            df = make()
+        finally:
+            _OPEN.pop()
+        return cut(df)
+    finally:
+        for path in made:
+            delete(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: later steps neither recompute it nor depend on an executor."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,8 +1,9 @@
 """Connected components over a table of edges, by alternating large and small stars.
 
-Each half step is one aggregation and one equi-join on the vertex; both have partial aggregates or splittable skewed
-partitions, so a vertex with very many edges is no bottleneck. Every round is cut to a written table. The number of rounds
-grows with the logarithm of the longest chain. Nothing but two totals for each round reaches the driver.
+Each half step is one aggregation with partial sums and one join on the vertex. A vertex with more than a thousandth of all
+edges would be one task's work in that join, so those (fewer than a thousand) are joined by broadcast and only the others
+by a shuffle. Every round is cut to a written table, and the table of the round before goes. The number of rounds grows with
+the logarithm of the longest chain. Two totals and the hot vertices of each half step reach the driver.
 """
 
 from __future__ import annotations
@@ -10,18 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import cut
+from wayfare.llm.common import apart, cut, dropped, join_hot
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return join_hot(both, least, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    moved = join_hot(edges, least, ["a"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -33,5 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         totals = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if totals == before or not totals[0]:
             return now.select("a", F.col("b").alias("root"))
-        before = totals
-        now = cut(_small_star(_large_star(now).distinct()).distinct())
+        before, last = totals, now
+        now = apart(edges.sparkSession, lambda: _small_star(cut(_large_star(last).distinct())).distinct())
+        dropped(last)

@@ -5,15 +5,18 @@ repeat if its parts repeat, so short windows are counted first and only repeated
 each time, until the full length is reached or none survives.
 
 Level 1 need not count every short window: each full window stands for the smallest hash among the short windows within
-it. Equal full windows choose the same one, so none is lost, and about one short window in ten is counted. Consecutive
-full windows with the same choice are a run, and runs are what the levels pass on (as a number within the document).
+it. Equal full windows choose the same one, so none is lost, and about one short window in fourteen is counted. Consecutive
+full windows with the same choice are a run, and runs are what the levels pass on (as a number within the document). A
+level extends a run's short window to the right for the full windows that hold such an extension, and to the left for the
+others, which become a run of their own.
 
 At full length whole runs are compared first. A run that occurs twice settles all its windows at once; only runs that
 occur once send their windows one by one, together with one witness of each repeated run.
 
-Texts are written once, bucketed by row, so that every level joins its survivors to the texts without moving them. Counts
-use partial aggregation and joins on hashes, whose skewed partitions Spark can split: a passage that a third of all
-documents share is no large group anywhere. Keys at full length have 96 bits.
+Texts are written once, bucketed by row, so that every level joins its survivors to the texts without moving them. What a
+level finds is written once too, counted with partial sums, and joined to the repeated hashes by join_hot: the few hashes
+that stand for over a thousandth of the rows go by broadcast, so a passage that a third of all documents share is no large
+group in any task. Keys at full length have 96 bits. All intermediate tables are deleted at the end.
 
 Defined cases: null text is no words (nothing removed, digest of the empty string); documents shorter than the window
 keep all; repeated rows are different documents, so they remove each other's windows; an empty table gives no rows; other
@@ -32,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import cut, shared_dir, slices, table
+from wayfare.llm.common import apart, cut, delete, join_hot, shared_dir, slices, table, uncollected
 
 WINDOW = 35
 #: Windows of fewer words are not worth a level.
-START = 12
+START = 9
 
 
 def lengths(window: int, start: int) -> list[int]:
@@ -92,8 +95,8 @@ class Document:
 
     @functools.cached_property
     def h(self) -> np.ndarray:
-        digest = xxhash.xxh64_intdigest
-        return np.array([digest(w) for w in self.words], np.uint64)
+        digest = xxhash.xxh64_digest
+        return np.frombuffer(b"".join([digest(w) for w in self.words]), np.uint64)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the runs and the hashes of their short windows."""
@@ -107,12 +110,13 @@ class Document:
         return run_code(first, count, at[first] - first), short[at[first]]
 
     def extended(self, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(code, hash) of the windows of that length that begin or end with the run's short window."""
-        first, _, offset = run_parts(codes)
-        x, seed = window_hashes(self.h, size), first + offset
-        before = seed + self.levels[0] - size
-        left, right = before >= 0, seed < len(x)
-        return np.concatenate([codes[left], codes[right]]), np.concatenate([x[before[left]], x[seed[right]]])
+        """(code, hash) of the parts of the runs and of the windows of that length that begin or end with the short one."""
+        first, count, offset = run_parts(codes)
+        x, seed, last = window_hashes(self.h, size), first + offset, first + count
+        turn = np.clip(seed - (self.window - size), first, last)  # full windows from here on reach far enough to the right
+        left, right = turn > first, turn < last
+        codes = [run_code(first, turn - first, offset)[left], run_code(turn, last - turn, seed - turn)[right]]
+        return np.concatenate(codes), np.concatenate([x[seed[left] + self.levels[0] - size], x[seed[right]]])
 
     def full(self) -> tuple[np.ndarray, np.ndarray]:
         return window_hashes(self.h, self.window), window_hashes(self.h, self.window, 0x51ED270B)
@@ -148,9 +152,10 @@ def leftmost_minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _texts(batches, columns: list[str]):
-    for batch in batches:
-        for part in slices(batch, "text"):
-            yield from zip(*(part.column(c).to_pylist() for c in columns))
+    with uncollected():
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield from zip(*(part.column(c).to_pylist() for c in columns))
 
 
 def _emit(rows_of, schema: pa.Schema, at_once: int = 100_000):
@@ -219,11 +224,11 @@ class Dedup:
         return joined.mapInArrow(lambda it: _emit(rows(it), schema), ddl)
 
     def survivors(self) -> DataFrame:
-        """(rid, r): runs whose short window repeats, and so does one of its extensions at each further level."""
-        found = self.runs_of_all()
+        """(rid, r): runs whose short window repeats, and so does its extension at each further level."""
+        found = cut(self.runs_of_all())
         for size in self.levels[1:]:
-            again = found.groupBy("h").count().filter("count > 1").select("h")
-            runs = cut(found.join(again, "h", "left_semi").select("rid", "r"))
+            again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+            runs = cut(join_hot(found, again, ["h"], "left_semi").select("rid", "r"))
             if size == self.window or runs.isEmpty():
                 return runs
 
@@ -231,8 +236,8 @@ class Dedup:
                 r, h = doc.extended(rs, size)
                 yield _signed(h), np.full(len(r), rid), r
 
-            found = self.with_runs(runs, extend, _schema(h=_LONG, rid=_LONG, r=_LONG), "h long, rid long, r long")
-        return cut(found.select("rid", "r"))
+            found = cut(self.with_runs(runs, extend, _schema(h=_LONG, rid=_LONG, r=_LONG), "h long, rid long, r long"))
+        return found.select("rid", "r")
 
     def repeated(self, runs: DataFrame) -> DataFrame:
         """(rid, r): codes of the runs, or of the single windows, that go."""
@@ -241,11 +246,11 @@ class Dedup:
             h, g = doc.run_hashes(rs)
             yield _signed(h), _low32(g), np.full(len(rs), rid), rs
 
-        hashed = self.with_runs(runs, whole, _schema(h=_LONG, g=_INT, rid=_LONG, r=_LONG), "h long, g int, rid long, r long")
+        hashed = cut(self.with_runs(runs, whole, _schema(h=_LONG, g=_INT, rid=_LONG, r=_LONG), "h long, g int, rid long, r long"))
         twice = hashed.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("rid", "r")).alias("least")).filter("n > 1")
         # 0: the run is alone; 1: the first of its kind, the witness of the others; 2: another copy
-        state = hashed.join(twice, ["h", "g"], "left").select(
-            "rid", "r", F.when(F.col("n").isNull(), 0).when(F.col("least") == F.struct("rid", "r"), 1).otherwise(2).alias("is")
+        state = join_hot(hashed, twice, ["h", "g"], "left").select(
+            "rid", "r", F.when(F.col("least").isNull(), 0).when(F.col("least") == F.struct("rid", "r"), 1).otherwise(2).alias("is")
         )
         state = cut(state)
 
@@ -257,10 +262,10 @@ class Dedup:
             yield _signed(h[s]), _low32(g[s]), np.where(known, -1, rid), np.where(known, -1, s)
 
         coded = state.filter("is < 2").select("rid", F.when(F.col("is") == 1, -1 - F.col("r")).otherwise(F.col("r")).alias("r"))
-        windows = self.with_runs(coded, single, _schema(h=_LONG, g=_INT, rid=_LONG, s=_INT), "h long, g int, rid long, s int")
-        of_hash = windows.groupBy("h", "g").agg(F.count_if(F.col("s") >= 0).alias("open"), F.count_if(F.col("s") < 0).alias("known"))
-        of_hash = of_hash.filter("open > 1 or (open > 0 and known > 0)").select("h", "g")
-        some = windows.filter("s >= 0").join(of_hash, ["h", "g"], "left_semi")
+        windows = cut(self.with_runs(coded, single, _schema(h=_LONG, g=_INT, rid=_LONG, s=_INT), "h long, g int, rid long, s int"))
+        of_hash = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.count_if(F.col("s") >= 0).alias("open"))
+        of_hash = of_hash.filter("open > 1 or (open > 0 and n > open)").select("h", "g", "n")
+        some = join_hot(windows.filter("s >= 0"), of_hash, ["h", "g"], "left_semi")
         single_code = F.col("s").cast("long") * _COUNT + _OFFSET
         return cut(some.select("rid", single_code.alias("r")).unionByName(state.filter("is > 0").select("rid", "r")))
 
@@ -295,7 +300,9 @@ class Dedup:
         return joined.mapInArrow(run, ddl)
 
     def close(self) -> None:
-        self.texts.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+        spark = self.texts.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(spark, f"{shared_dir(spark)}/{self.name}")
 
 
 def dedup_substrings(
@@ -303,9 +310,10 @@ def dedup_substrings(
 ) -> DataFrame:
     """One row for each document: n_words, n_removed, kept_sha256 (and kept_text)."""
     steps = Dedup(docs, id_col, text_col, window, start)
-    out = cut(steps.kept(steps.repeated(steps.survivors()), id_col, with_text))
-    steps.close()
-    return out
+    try:
+        return apart(docs.sparkSession, lambda: steps.kept(steps.repeated(steps.survivors()), id_col, with_text))
+    finally:
+        steps.close()
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
