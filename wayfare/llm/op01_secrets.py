@@ -5,8 +5,9 @@ values and endpoints, say nothing alone: each is reported only when complementar
 points of it. The scope never leaves the document, so the join runs inside the task that holds the text, as a sorted
 interval lookup (O(n log n), no pairs are made), and the operator needs no shuffle.
 
-Defined cases: null text is an empty text (no spans, the digest of the empty string); equal rows give equal rows;
-spans with the same start are ordered by kind as in KINDS; other columns are ignored.
+Defined cases: null text is an empty text (no spans, the digest of the empty string); equal rows and equal or null ids give
+rows of their own; spans with the same start are ordered by kind as in KINDS; a very long text is read whole, in time linear
+in its length; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ _IDENTIFIER = re.compile(
     r"""\b(?:client_?id|user_?name|user|login|account|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""",
     re.ASCII | re.IGNORECASE,
 )
-_ENDPOINT = re.compile(r"\b(?:https?|ftp|jdbc|postgres|mysql|mongodb|redis|amqp)[a-z+:]*://[^\s\"'<>|]{4,}", re.ASCII)
+#: Up to three parts may follow the scheme's own name (jdbc:mysql://, postgresql+ssl://); bounded, so that time is linear.
+_ENDPOINT = re.compile(
+    r"\b(?:https?|ftp|jdbc|postgres|mysql|mongodb|redis|amqp)[a-z]{0,8}(?:[+:][a-z]{1,16}){0,3}://[^\s\"'<>|]{4,}", re.ASCII
+)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

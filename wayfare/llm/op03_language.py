@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import cut, map_texts, slices, table
+from wayfare.llm.common import cut, map_texts, slices, table, uncollected
 
 #: Words that are sent to all tasks and need no join: the most frequent ones.
 HOT_WORDS = 100_000
@@ -49,20 +49,20 @@ def _counts(batches, key_columns: list[str], add):
     counters: dict[str, Counter] = defaultdict(Counter)
 
     def flushed():
-        rows = [(lang, term, n) for lang, c in counters.items() for term, n in c.items()]
+        for lang, c in counters.items():
+            terms, ns = list(c), list(c.values())
+            for a in range(0, len(terms), 50_000):
+                part = pa.array(terms[a : a + 50_000], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), part, pa.array(ns[a : a + 50_000], pa.int64())], names=["lang", "term", "n"])
         counters.clear()
-        for a in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*rows[a : a + 50_000]), (pa.string(), pa.string(), pa.int64()))],
-                names=["lang", "term", "n"],
-            )
-
-    for batch in batches:
-        for part in slices(batch, key_columns[0]):
-            add(counters, *(part.column(k).to_pylist() for k in key_columns))
-            if sum(map(len, counters.values())) > HELD_COUNTS:
-                yield from flushed()
-    yield from flushed()
+
+    with uncollected():
+        for batch in batches:
+            for part in slices(batch, key_columns[0]):
+                add(counters, *(part.column(k).to_pylist() for k in key_columns))
+                if sum(map(len, counters.values())) > HELD_COUNTS:
+                    yield from flushed()
+        yield from flushed()
 
 
 def count_words(rows: DataFrame) -> DataFrame:

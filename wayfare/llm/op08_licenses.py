@@ -2,15 +2,20 @@
 
 Base phrases are found as consecutive words. For the fuzzy part each notice with at most k errors is split into k + 1
 pieces (pigeonhole): one of them must occur exactly. One Aho-Corasick automaton over all pieces gives the candidate
-places, and the regex library's bounded-error matching verifies a window around each and gives its span and edits.
-Everything needs one document at a time, so there is no shuffle.
-
-Defined cases: null text is empty (no words, no labels, score 0, first and last word null); equal rows give equal rows;
-other columns are ignored. Words and places are counted over the whole text.
+places. Each place has a window of bounded size, so that time is linear in the text; windows that lack too many of the notice's
+trigrams are dropped, and the regex library's bounded-error matching verifies the others and gives spans and edits. Of
+overlapping spans of a notice the one with the fewest edits stays, the leftmost of equals. Everything needs one document
+at a time, so there is no shuffle.
+
+Defined cases: null text is empty (no words, no labels, score 0, first and last word null); equal rows and equal or null ids
+give rows of their own; a very long text is read whole; an empty table gives no rows; other columns are ignored. Words and
+places are counted over the whole text.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import re
 
 import ahocorasick
@@ -37,6 +42,21 @@ NOTICES = {
     "permission is hereby granted free of charge to any person": "mit",
     "subject to the terms of the mozilla public license": "mpl",
     "all rights reserved": "reserved",
+    "licensed under the bsd 2 clause license": "bsd",
+    "licensed under the isc license": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "distributed under the boost software license version 1 0": "boost",
+    "licensed under the eclipse public license": "epl",
+    "distributed under the terms of the eclipse public license": "epl",
+    "licensed under the gnu free documentation license": "gfdl",
+    "licensed under a creative commons attribution sharealike license": "cc-by-sa",
+    "licensed under a creative commons attribution noncommercial license": "cc-by-nc",
+    "licensed under cc by sa 4 0": "cc-by-sa",
+    "dedicated to the public domain under cc0 1 0": "cc0",
+    "licensed under the terms of the artistic license": "artistic",
+    "distributed under the terms of the gnu lesser general public license": "lgpl",
+    "licensed under the zlib license": "zlib",
+    "this source code form is subject to the terms of the mozilla public license": "mpl",
 }
 #: One error (insertion, deletion or substitution of a character) for so many characters of a notice.
 CHARS_PER_ERROR = 10
@@ -67,13 +87,23 @@ class Fuzzy:
         for i, (n, _, k) in enumerate(self.notices):
             for at, piece in pieces(n, k):
                 places.setdefault(piece, []).append((i, at, len(piece)))
+        self.trigrams = [_trigrams(n) for n, _, _ in self.notices]
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, where)
         self.automaton.make_automaton()
+        self.verify = functools.lru_cache(20_000)(self._verify)
+
+    def _verify(self, i: int, window: str) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the best match of a notice in a window."""
+        _, _, k = self.notices[i]
+        if len(self.trigrams[i] - _trigrams(window)) > 3 * k:  # an edit spoils three trigrams at most
+            return None
+        m = self.patterns[i].search(window)
+        return (*m.span(), sum(m.fuzzy_counts)) if m and m.end() > m.start() else None
 
     def find(self, text: str) -> list[tuple[int, int, int, str, float]]:
-        """(start, end, edits, label, similarity) of the verified notices, each place once for a notice."""
+        """(start, end, edits, label, similarity) of the verified notices; those of one notice do not overlap."""
         windows: dict[int, list[list[int]]] = {}
         for end, where in self.automaton.iter(text):
             for i, at, size in where:
@@ -81,25 +111,31 @@ class Fuzzy:
                 a = max(0, end + 1 - size - at - k)
                 b = min(len(text), a + len(n) + 3 * k)
                 mine = windows.setdefault(i, [])
-                if mine and a <= mine[-1][1] and b >= mine[-1][0]:
+                if mine and abs(a - mine[-1][0]) <= k:
                     mine[-1] = [min(a, mine[-1][0]), max(b, mine[-1][1])]
-                else:
-                    mine.append([a, b])
+                    if mine[-1][1] - mine[-1][0] <= len(n) + 5 * k:
+                        continue
+                    mine[-1][1] = mine[-1][0] + len(n) + 4 * k
+                mine.append([a, b])
         found = set()
         for i, spans in windows.items():
             n, label, _ = self.notices[i]
-            for a, b in spans:
-                left = [(a, b)]
-                while left:  # the best match comes first, then what lies on either side of it
-                    a, b = left.pop()
-                    m = self.patterns[i].search(text, a, b)
-                    if m and m.end() > m.start():
-                        edits = sum(m.fuzzy_counts)
-                        found.add((m.start(), m.end(), edits, label, 1 - edits / len(n)))
-                        left += [(a, m.start()), (m.end(), b)]
+            hits = {(m[2], a + m[0], a + m[1]) for a, b in spans if (m := self.verify(i, text[a:b]))}
+            taken_s, taken_e = [], []  # sorted and disjoint
+            for edits, s, e in sorted(hits):
+                at = bisect.bisect_right(taken_s, s)
+                if (at and taken_e[at - 1] > s) or (at < len(taken_s) and taken_s[at] < e):
+                    continue
+                taken_s.insert(at, s)
+                taken_e.insert(at, e)
+                found.add((s, e, edits, label, 1 - edits / len(n)))
         return sorted(found)
 
 
+def _trigrams(text: str) -> set[str]:
+    return {text[i : i + 3] for i in range(len(text) - 2)}
+
+
 def scan(text: str | None, fuzzy: Fuzzy) -> tuple:
     flat = (text or "").encode("utf-8", "replace").translate(_FOLD)
     inside = _IS_WORD[np.frombuffer(flat, np.uint8)]
@@ -107,11 +143,12 @@ def scan(text: str | None, fuzzy: Fuzzy) -> tuple:
     starts[1:] &= ~inside[:-1]
     n_words = int(np.count_nonzero(starts))
     base = [(m.start(), label) for first, p, label in _BASE if first in flat for m in p.finditer(flat)]
-    places = [int(np.count_nonzero(starts[:at])) for at, _ in base]
+    places = (np.cumsum(starts)[[at for at, _ in base]] - 1).tolist() if base else []
     own = b" ".join(flat.split()).decode("utf-8", "replace")
     near = fuzzy.find(own)
     labels = {label for _, label in base}
-    at_word = lambda at: own.count(" ", 0, at)
+    blanks = np.flatnonzero(np.frombuffer(own.encode("utf-32-le"), np.uint32) == 32) if near else []
+    at_word = lambda at: int(np.searchsorted(blanks, at))
     return (
         n_words,
         len(base),

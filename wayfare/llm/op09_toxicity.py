@@ -6,12 +6,14 @@ Both are learned by Spark from labelled documents of the training fold; so are t
 around a lexicon hit that only clean documents have. A document's sum of weights, taken as it is and normalised by
 length, goes through a logistic curve fitted on labelled documents that the lexicon has not seen.
 
-Only the learned lexicon (at most MAX_ENTRIES entries), the exceptions (as many at most) and a bounded number of feature
-rows reach the driver. Fitting takes at most MAX_LABELLED labelled documents, those with the smallest id hash.
+Fitting takes at most MAX_LABELLED labelled documents, those with the smallest id hash; that is the one bound. All entries
+and exceptions that these documents give are used: they are as few as the documents' own words. They and the feature
+rows of a quarter of the documents reach the driver.
 
 Defined cases: null and empty texts get the score of a text without hits; documents without label are scored like others;
-null labels are not learned from; a label table with several rows for a document counts each; without any labelled rows
-of either kind every score is the smoothed base rate; other columns are ignored.
+null labels are not learned from; a label table with several rows for a document, and several documents of an id, count
+each; without labelled rows of both kinds every score is the smoothed base rate; a very long text is read whole, and its
+hits see their true neighbours however far; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +24,14 @@ from collections import Counter
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import cut, map_texts, table
+from wayfare.llm.common import cut, map_texts, slices, table
 
 #: Labelled documents that fitting may use.
 MAX_LABELLED = 12_000
-#: Lexicon entries and exception phrases.
-MAX_ENTRIES = 3_000
 #: Documents with an entry, and its log odds, at least.
 LEAST_DOCS, LEAST_ODDS = 5, 2.5
 #: Lengths of word beginnings that may become entries; longer words are entries of their own.
@@ -89,18 +90,21 @@ class Lexicon:
     def sum(self, text: str) -> float:
         hits = self.hits(text)
         if hits and self.exceptions:
-            hits = {s: w for s, w in hits.items() if not self.exceptions.intersection(around(text, s))}
+            free = {s for s, pairs in around(text, hits).items() if not self.exceptions.intersection(pairs)}
+            hits = {s: w for s, w in hits.items() if s in free}
         return sum(hits.values())
 
 
-def around(text: str, start: int) -> list[tuple[str, str]]:
-    """The pairs of adjacent words that the word starting there is in."""
-    at = max(0, start - 60)
-    words = [(m.start() + at, m[0]) for m in _WORD.finditer(text[at : start + 120])]
-    i = next((i for i, (s, _) in enumerate(words) if s == start), None)
-    if i is None:
-        return []
-    return [(words[j][1], words[j + 1][1]) for j in (i - 1, i) if 0 <= j < len(words) - 1]
+def around(text: str, starts) -> dict[int, list[tuple[str, str]]]:
+    """For each word that starts at one of the places: the pairs of adjacent words that it is in."""
+    found = [(m.start(), m[0]) for m in _WORD.finditer(text)]
+    out: dict[int, list[tuple[str, str]]] = {s: [] for s in starts}
+    for (s, x), (t, y) in zip(found, found[1:]):
+        if s in out:
+            out[s].append((x, y))
+        if t in out:
+            out[t].append((x, y))
+    return out
 
 
 def features(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
@@ -121,17 +125,16 @@ def _counted(df: DataFrame, pairs_of) -> DataFrame:
     """(term, n_pos, n_neg) over _text and _toxic rows; pairs_of gives a document's distinct terms."""
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            pos, neg = Counter(), Counter()
-            for text, toxic in zip(batch.column("_text").to_pylist(), batch.column("_toxic").to_pylist()):
-                (pos if toxic else neg).update(pairs_of(fold(text or "")))
-            keys = list(pos | neg)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())],
-                names=["term", "n_pos", "n_neg"],
-            )
+            for part in slices(batch, "_text"):
+                pos, neg = Counter(), Counter()
+                for text, toxic in zip(part.column("_text").to_pylist(), part.column("_toxic").to_pylist()):
+                    (pos if toxic else neg).update(pairs_of(fold(text or "")))
+                keys = list(pos | neg)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())],
+                    names=["term", "n_pos", "n_neg"],
+                )
 
     parts = df.mapInArrow(run, "term string, n_pos long, n_neg long")
     return parts.groupBy("term").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
@@ -148,8 +151,6 @@ def learn(labelled: DataFrame) -> tuple[dict[str, float], set[tuple[str, str]]]:
         .filter((F.col("n_pos") >= LEAST_DOCS) & (F.length("term") >= STEMS[0]))
         .withColumn("odds", odds)
         .filter(F.col("odds") >= LEAST_ODDS)
-        .orderBy(F.desc(F.col("odds") * F.sqrt("n_pos")), "term")
-        .limit(MAX_ENTRIES)
         .collect()
     )
     weights: dict[str, float] = {}
@@ -162,13 +163,11 @@ def learn(labelled: DataFrame) -> tuple[dict[str, float], set[tuple[str, str]]]:
     lexicon = Lexicon(weights)
 
     def phrases(text: str) -> set[str]:
-        return {" ".join(p) for s in lexicon.hits(text) for p in around(text, s)}
+        return {" ".join(p) for pairs in around(text, lexicon.hits(text)).values() for p in pairs}
 
     clean = (
         _counted(labelled, phrases)
         .filter((F.col("n_pos") == 0) & (F.col("n_neg") >= 3))
-        .orderBy(F.desc("n_neg"), "term")
-        .limit(MAX_ENTRIES)
         .collect()
     )
     return weights, {tuple(r["term"].split(" ")) for r in clean}
