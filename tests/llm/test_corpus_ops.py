@@ -491,18 +491,96 @@ def test_pipeline_drops_near_copies_by_jaccard(spark):
                 root[i] = root[j]
     want = {i for i, r in enumerate(root) if i == r}
     assert 140 <= len(want) <= 165  # copies with eight edits are under 0.8 and stay
-    assert set(rows_of(cp.drop_near_copies(spark, docs_of(spark, texts), ""))) == want
+    got = set(rows_of(cp.drop_near_copies(spark, docs_of(spark, texts), "")))
+    assert got >= want and len(got - want) <= 2  # recall at 0.8 is 0.99; nothing else goes
 
 
 def test_near_copies_in_chains():
-    from wayfare.llm.near_copies import near_edges
+    from wayfare.llm.op06_simhash import jaccard_edges
 
     sets = [np.arange(i * 5, i * 5 + 100, dtype=np.uint64) for i in range(20)] + [np.arange(500, 600, dtype=np.uint64)]
     ids = [7 * i % 23 for i in range(21)]
-    edges = near_edges(ids, sets)
+    edges = jaccard_edges(ids, sets)
     assert {b for _, b in edges} == {min(ids[:20])} and {a for a, _ in edges} == set(ids[:20]) - {min(ids[:20])}
 
 
+def test_wide_keys_find_pairs_at_the_threshold():
+    from wayfare.llm import op06_simhash as op
+
+    rng = np.random.default_rng(3)
+    for overlap, least in ((8 / 9, 0.98), (19 / 20, 0.995)):  # Jaccard 0.8 and 0.905
+        n, hit, close = 300, 0, 0
+        for _ in range(n):
+            h = rng.integers(0, 1 << 63, 400, np.uint64)
+            same = round(300 * overlap)
+            a, b = (op.wide_print(np.unique(x)) for x in (h[:300], np.concatenate([h[:same], h[300 : 600 - same]])))
+            keys = op.wide_keys(op.decoded(np.array([a, b])))
+            hit += bool(set(keys[0].tolist()) & set(keys[1].tolist()))
+            close += int(((a < 0) != (b < 0)).sum()) <= op.WIDE_RADIUS
+        assert hit >= least * n and close >= 0.98 * n
+
+
+def test_hot_keys_are_cut_into_tiles(spark):
+    from wayfare.llm import op06_simhash as op
+
+    base = 0x0123456789ABCDEF
+    prints = sorted({base ^ (1 << i) ^ (1 << j) for i in range(24) for j in range(24)})
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "doc_id long, fp long")
+    got = {r.doc_id: r.component_id for r in op.near_duplicates(df, tile=20).collect()}
+    assert got == {i: 0 for i in range(len(prints))}
+    texts = [" ".join(words(1, 300)[:-1] + [f"x{i}"]) for i in range(60)]
+    rows = docs_of(spark, texts).select("doc_id", "text")
+    got = op.near_copies(rows, "doc_id", tile=10, tile_shingles=1500)
+    assert {r.group for r in got.collect()} == {0}
+
+
+def test_pipeline_as_plain_code(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as cp
+    from wayfare.llm import op01_secrets, op09_toxicity
+
+    rnd, passage = random.Random(4), " ".join(words(900, 50))
+    texts = [" ".join(words(i, 60)) for i in range(60)] + [" ".join(words(i, 30) + ["moron", "scumbag"] * 2) for i in range(60, 90)]
+    texts += [texts[1], None, "", "  ", f"{texts[2]} {passage}", f"{passage} {texts[3][:100]} api_key=abcdef99", " ".join(words(77, 3000))]
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    rows = [(i, texts[i], "en", "s", None if texts[i] is None else len(texts[i]), f"r{i}", -i) for i in order]
+    docs = spark.createDataFrame(rows, DOCS + ", row string, _rid long")  # extra columns with clashing names
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, int(60 <= i < 90)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    score = op09_toxicity.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).scorer()
+    left = {i: t for i, t in enumerate(texts) if score(t) < op09_toxicity.THRESHOLD}
+    assert set(left) >= set(range(60)) and len(left) < 75
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, kept = {i: shingles(t) for i, t in left.items()}, {}
+    for i in sorted(left):
+        if all(5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j]) or not sets[i] | sets[j] and False for j in kept) and not (not sets[i] and any(not sets[j] for j in kept)):
+            kept[i] = left[i]
+    want = {}
+    split = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in kept.items()}
+    seen = Counter(tuple(w[k : k + 35]) for w in split.values() for k in range(len(w) - 34))
+    for i, w in split.items():
+        gone = {k + d for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for d in range(35)}
+        text = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else kept[i]
+        want[i] = op01_secrets.masked(text, cp.MASK) or ""
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {}
+    for r in cp.run(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert set(got) == set(want)
+    for i, text in want.items():
+        ids = [*lib.encode(text, add_special_tokens=False).ids, 1]
+        pieces = sorted(got[i], key=lambda r: r.start)
+        assert [r.start for r in pieces] == [sum(p.length for p in pieces[:k]) for k in range(len(pieces))]
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in pieces)
+        assert sum(r.length for r in pieces) == len(ids)
+
+
 def test_language_model_has_all_words(spark):
     from wayfare.llm import op03_language as op
 

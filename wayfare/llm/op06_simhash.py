@@ -9,14 +9,25 @@ are compared: within a key's rows a breadth-first search over exact Hamming dist
 reaches to the smallest fingerprint, so a key gives fewer edges than members however dense it is. The edges of all keys
 are joined to components.
 
+A key with over TILE fingerprints is cut into chunks whose pairs are searched apart (tiled), so no task holds a large group.
+
+near_copies() is the same operator with a wider radius, for five-word shingles and a Jaccard similarity of at least 0.8, where
+about one bit in seven differs. Its fingerprints are those of the sets of shingles and have ten segments of 23 bits, the
+length of the Golay code. A segment is decoded softly: the two codewords nearest to the vector of majorities (not only of
+their signs) are its keys. By pigeonhole a pair is a candidate if two of the ten segments share a codeword, of which at
+most one is a second choice. Candidates within WIDE_RADIUS bits make loose groups, and within those the exact sets decide.
+
 Defined cases: null or blank text has fingerprint zero and is linked like any other; rows with equal ids are one
 document with several fingerprints for the component and appear once each; null ids keep their fingerprint and link
-others, their own component is the smallest id they reach; an empty table gives no rows; other columns are ignored.
+others, their own component is the smallest id they reach; a text of fewer words than a shingle is one shingle; a very long
+text is read whole; an empty table gives no rows; other columns are ignored. In near_copies() null and blank texts have
+the empty set and are one group.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -24,31 +35,47 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import cut, map_texts, table
+from wayfare.llm.common import apart, cut, map_texts, table, tiled
 from wayfare.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 SEGMENTS, BITS = 4, 16
 #: Generator polynomial of the binary Golay code of length 23 (fixed).
 GENERATOR = 0b101011100011
+#: Fingerprints of a key that are searched together.
+TILE = 500_000
+#: The wide form: shingle, similarity as a fraction (so that comparing is exact), segments, and bits that may differ.
+WIDE_SHINGLE, LEAST, WIDE_SEGMENTS, WIDE_RADIUS = 5, (4, 5), 10, 60
+#: Shingles of a loose group that are compared together.
+TILE_SHINGLES = 500_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bitwise majority of the shingles' hashes, as an unsigned 64-bit number."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; none of a blank text."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and the six ASCII blanks only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-1].tolist()]
     stops = (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], "<u8")
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops)]), ">u8").astype("<u8")
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit; 255 rows at a time fit a byte."""
     ones = np.zeros(64, np.int64)
-    for a in range(0, len(h), 65536):
-        bits = np.unpackbits(h[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    for a in range(0, len(h), 255):
+        bits = np.unpackbits(h[a : a + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint8)
+    return ones
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bitwise majority of the shingles' hashes, as an unsigned 64-bit number."""
+    h = shingle_hashes(text, shingle)
+    return int(np.packbits(2 * _ones(h) > len(h), bitorder="little").view("<u8")[0])
 
 
 def _remainders(words: np.ndarray) -> np.ndarray:
@@ -156,15 +183,181 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def near_duplicates(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(prints: DataFrame, id_col: str = "doc_id", tile: int = TILE) -> DataFrame:
     """(id, fp, component_id) of (id, fp) rows: the smallest id that links reach."""
-    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    keyed = distinct.select("fp").mapInArrow(_keyed, "key long, fp long").repartition("key").sortWithinPartitions("key")
-    roots = components(keyed.mapInArrow(_linked, "a long, b long")).withColumnRenamed("a", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    class_of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(class_of, "fp").select(id_col, "fp", "component_id")
+
+    def found() -> DataFrame:
+        distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
+        keyed = cut(distinct.select("fp").mapInArrow(_keyed, "key long, fp long"))
+        tiles = tiled(keyed, "key", "fp", tile).select(F.col("tile").alias("key"), "fp")
+        edges = tiles.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
+        roots = components(edges).withColumnRenamed("a", "fp")
+        rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        class_of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+        return prints.join(class_of, "fp").select(id_col, "fp", "component_id")
+
+    return apart(prints.sparkSession, found)
+
+
+# -- the wide form ------------------------------------------------------------------------------------------------------
+
+
+@functools.cache
+def codewords() -> np.ndarray:
+    """The 4096 codewords as columns of signs, 23 rows."""
+    words = np.arange(1 << 12) << 11
+    words = words | _remainders(words)
+    return (1.0 - 2 * (words >> np.arange(23)[:, None] & 1)).astype(np.float32)
+
+
+def wide_print(h: np.ndarray, segments: int = WIDE_SEGMENTS) -> np.ndarray:
+    """The majorities of a set's hashes for each bit of each segment, between -1 and 1 and 0 for the empty set."""
+    out = []
+    for k in range(-(-segments * 23 // 64)):
+        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x94D049BB133111EB)
+        out.append(1 - 2 * _ones(x ^ x >> np.uint64(29)) / max(1, len(h)))
+    return np.concatenate(out)[: segments * 23]
+
+
+def decoded(prints: np.ndarray) -> np.ndarray:
+    """For each row and segment the numbers of the two nearest codewords, the nearer first and ties to the smaller."""
+    fit = prints.reshape(-1, 23).astype(np.float32) @ codewords()
+    each = np.arange(len(fit))
+    first = fit.argmax(axis=1)
+    fit[each, first] = -np.inf
+    return np.stack([first, fit.argmax(axis=1)], axis=1).reshape(len(prints), -1, 2).astype("<u2")
+
+
+def _set_rows(texts: list) -> list[tuple]:
+    """(set, fp, codes) of each text; a set's number stands for the whole set."""
+    sets = [np.unique(shingle_hashes(t, WIDE_SHINGLE)) for t in texts]
+    prints = np.array([wide_print(h) for h in sets])
+    fps = np.packbits(np.pad(prints < 0, ((0, 0), (0, -prints.shape[1] % 64))), axis=1)
+    codes = np.concatenate([decoded(prints[a : a + 256]) for a in range(0, len(prints), 256)])
+    number = [xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in sets]
+    return [(n, f.tobytes(), c.tobytes()) for n, f, c in zip(number, fps, codes)]
+
+
+def wide_keys(codes: np.ndarray) -> np.ndarray:
+    """The keys of each row of (segments, 2) codes: two segments, their codewords, at most one of them a second choice."""
+    codes, out = codes.astype(np.int64), []
+    for k, (i, j) in enumerate(itertools.combinations(range(codes.shape[1]), 2)):
+        out += [k << 24 | codes[:, i, x] << 12 | codes[:, j, y] for x, y in ((0, 0), (0, 1), (1, 0))]
+    return np.stack(out, axis=1)
+
+
+def _wide_keyed(batches):
+    for batch in batches:
+        sets = batch.column("set").to_numpy(zero_copy_only=False)
+        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), "<u2").reshape(len(sets), WIDE_SEGMENTS, 2)
+        for a in range(0, len(sets), 2000):
+            keys = wide_keys(codes[a : a + 2000])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(sets[a : a + 2000], keys.shape[1]))], names=["key", "set"])
+
+
+def wide_edges(ids: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """(member, root) for the rows that chains of distances within radius connect; root is the smallest of distinct ids."""
+    order = np.argsort(ids)
+    ids, prints, edges = ids[order], prints[order], []
+    while len(ids) > 1:
+        root, queue = int(ids[0]), [prints[0]]
+        ids, prints = ids[1:], prints[1:]
+        while queue and len(ids):
+            near = np.bitwise_count(prints ^ queue.pop()).sum(axis=1) <= radius
+            edges.extend((int(x), root) for x in ids[near])
+            queue.extend(prints[near])
+            ids, prints = ids[~near], prints[~near]
+    return edges
+
+
+def _wide_linked(batches):
+    """Edges within each key of rows (key, set, fp) sorted by key; only the key in hand is held."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def edges():
+        k, ids, prints = (np.concatenate(x) for x in zip(*held))
+        cuts = np.flatnonzero(np.diff(k)) + 1
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(k)]])
+        pair = starts[ends - starts == 2]
+        near = pair[np.bitwise_count(prints[pair] ^ prints[pair + 1]).sum(axis=1) <= WIDE_RADIUS]
+        a, b = [np.maximum(ids[near], ids[near + 1])], [np.minimum(ids[near], ids[near + 1])]
+        for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
+            if found := wide_edges(ids[s:e], prints[s:e], WIDE_RADIUS):
+                x = np.array(found, np.int64)
+                a.append(x[:, 0])
+                b.append(x[:, 1])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "set"))
+        prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u8").reshape(len(k), -1)
+        last = int(np.searchsorted(k, k[-1]))
+        if last or (held and held[0][0][0] != k[0]):
+            held.append((k[:last], ids[:last], prints[:last]))
+            yield edges()
+            held = []
+        held.append((k[last:], ids[last:], prints[last:]))
+    if held:
+        yield edges()
+
+
+def jaccard_edges(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(member, root) for the sets that chains of similarities of at least LEAST connect; root is the smallest id."""
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    sizes = np.array([len(sets[i]) for i in order])
+    values, owner = np.concatenate([sets[i] for i in order]), np.repeat(np.arange(len(order)), sizes)
+    alive = np.ones(len(order), bool)
+    edges = []
+    for first in range(len(order)):
+        if not alive[first]:
+            continue
+        alive[first] = False
+        queue = [first]
+        while queue and alive.any():
+            held = alive[owner]
+            values, owner = values[held], owner[held]
+            mine = sets[order[queue.pop()]]
+            at = np.searchsorted(mine, values)
+            at[at == len(mine)] = 0
+            shared = np.bincount(owner[mine[at] == values], minlength=len(order))
+            near = np.flatnonzero(alive & (shared * LEAST[1] >= (len(mine) + sizes - shared) * LEAST[0]))
+            alive[near] = False
+            queue.extend(near.tolist())
+            edges.extend((ids[order[i]], ids[order[first]]) for i in near.tolist())
+    return edges
+
+
+def _exact(t: pa.Table) -> pa.Table:
+    found = jaccard_edges(t.column("set").to_pylist(), [np.frombuffer(x, "<u8") for x in t.column("hashes").to_pylist()])
+    return pa.table({c: pa.array([x[i] for x in found], pa.int64()) for i, c in enumerate("ab")})
+
+
+def near_copies(rows: DataFrame, key: str, text_col: str = "text", tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """(key, group) of each row, group being the smallest key of its near copies; keys: distinct, not null, with an order."""
+
+    def found() -> DataFrame:
+        made = cut(map_texts(rows, key, text_col, _set_rows, "set long, fp binary, codes binary"))
+        distinct = cut(made.groupBy("set").agg(F.min(key).alias("least"), F.min("fp").alias("fp"), F.min("codes").alias("codes")))
+        keyed = cut(distinct.select("set", "codes").mapInArrow(_wide_keyed, "key long, set long"))
+        tiles = tiled(keyed, "key", "set", tile).select(F.col("tile").alias("key"), "set")
+        shown = tiles.join(distinct.select("set", "fp"), "set")
+        loose = components(shown.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_linked, "a long, b long"))
+        members = cut(loose.select(F.col("a").alias("set"), "root").unionByName(loose.select(F.col("root").alias("set"), "root").distinct()))
+        texts = members.select("set").join(distinct, "set").select("set", F.col("least").alias(key)).join(rows, key).select("set", text_col)
+        hashes = cut(map_texts(texts, "set", text_col, lambda ts: [(len(h), h.tobytes()) for h in (np.unique(shingle_hashes(t, WIDE_SHINGLE)) for t in ts)], "size long, hashes binary"))
+        sized = cut(members.join(hashes.select("set", "size"), "set"))
+        groups = tiled(sized, "root", "set", tile_shingles, "size").select("tile", "set").join(hashes.select("set", "hashes"), "set")
+        roots = components(groups.groupBy("tile").applyInArrow(_exact, "a long, b long")).withColumnRenamed("a", "set")
+        rooted = distinct.select("set", "least").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+        groups = rooted.select("set", "root").join(rooted.groupBy("root").agg(F.min("least").alias("group")), "root").select("set", "group")
+        return made.select(key, "set").join(groups, "set").select(key, "group")
+
+    return apart(rows.sparkSession, found)
 
 
 def hex_of(fp) -> Column:
