@@ -162,17 +162,29 @@ def test_top_k_by_brute_force(spark):
     got = {}
     for x in top_k(df).collect():
         got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
-    ints = np.floor(64 * vs.astype(float)).astype(np.int64)
+    ints = np.floor(64 * np.concatenate([vs, vs[:1]]).astype(float)).astype(np.int64)  # the row without id is the last
     for q in range(0, 300, 20):
         s = ints @ ints[q]
-        best = [int(i) for i in np.lexsort((np.arange(300), -s)) if i != q][:20]
-        assert sorted(got[q]) == [(k + 1, i, int(s[i])) for k, i in enumerate(best)]
+        best = [int(i) for i in np.lexsort((np.arange(301), -s)) if i != q][:20]
+        assert sorted(got[q]) == [(k + 1, i if i < 300 else None, int(s[i])) for k, i in enumerate(best)]
     assert set(got) == set(range(0, 300, 20))
     few = spark.createDataFrame([(0, [1.0]), (20, [2.0]), (3, [1e12])], "vec_id long, embedding array<double>")
     assert {(x.query_id, x["rank"], x.vec_id) for x in top_k(few).collect()} == {(0, 1, 3), (0, 2, 20), (20, 1, 3), (20, 2, 0)}
     assert top_k(few.filter("vec_id < 0")).collect() == []
 
 
+def test_top_k_counts_every_row(spark):
+    from wayfare.llm.op04_topk import top_k
+
+    ids = [20, 1, 1, 2, None, 20]
+    df = spark.createDataFrame([(i, [1.0, float(k == 3)]) for k, i in enumerate(ids)], "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x["rank"], x.vec_id is None, x.vec_id, x.score) for x in top_k(df).collect())
+    one = [(20, r, i is None, i, 4096) for r, i in enumerate([1, 1, 2, 20, None], 1)]
+    assert got == sorted(one + one)  # two query rows of one id, each the other's candidate; the null id comes last
+    big = spark.createDataFrame([(i, [1e7, float(i)]) for i in range(30)], "vec_id long, embedding array<double>")
+    assert [x.vec_id for x in top_k(big, k=3).filter("query_id = 20").orderBy("rank").collect()] == [29, 28, 27]
+
+
 # -- op5 ----------------------------------------------------------------------------------------------------------------
 def test_bpe_as_the_library_does(spark):
     import tiktoken
@@ -395,10 +407,9 @@ def test_toxicity_exceptions():
 
 
 # -- op10 ---------------------------------------------------------------------------------------------------------------
-def test_forest_by_brute_force(spark, monkeypatch):
+def test_forest_by_brute_force(spark):
     from wayfare.llm import op10_forest as op
 
-    monkeypatch.setattr(op, "LEAF", 60)
     r = np.random.default_rng(9)
     v = r.standard_normal((600, 16))
     v[100:200] = v[100] + 0.02 * r.standard_normal((100, 16))
@@ -407,7 +418,7 @@ def test_forest_by_brute_force(spark, monkeypatch):
     label[100:330] = 1
     rows = [(i, x.tolist(), int(k)) for i, (x, k) in enumerate(zip(v, label))]
     rows += [(700, v[300].tolist(), None), (701, None, 1), (702, [0.0] * 16, 1), (703, [float("inf")] * 16, 1), (704, v[300].tolist()[:8], 1), (705, [], 1)]
-    got = rows_of(op.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id")
+    got = rows_of(op.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), leaf=20), "vec_id")
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     link = (u @ u.T >= 0.98) & (label[:, None] == label[None, :])
     n = link.sum(axis=1) - 1
@@ -420,18 +431,45 @@ def test_forest_by_brute_force(spark, monkeypatch):
     assert op.near_vectors(empty).collect() == []
 
 
-def test_tiles_lose_no_pair(spark, monkeypatch):
+def test_forest_of_any_depth_has_recall(spark):
+    from wayfare.llm import op10_forest as op
+
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((1000, 32))
+    v = np.repeat(centres, 4, axis=0) + 0.09 * r.standard_normal((4000, 32))  # cosines on both sides of the threshold
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    n = int((u @ u.T >= 0.98).sum()) - 4000
+    reps = spark.createDataFrame([(i, "1/32", 1, x.astype("<f8").tobytes()) for i, x in enumerate(v)], "rep long, label string, n long, v binary")
+    for leaf in (250, 8):  # depth 4 and depth 9, over one and two rounds
+        placed = op.cut(op.leaves(reps, 0.98, op.TREES, leaf))
+        sizes = [x["count"] for x in placed.groupBy("node").count().collect()]
+        assert len(sizes) >= 4 * 4000 / leaf and np.median(sizes) <= 1.2 * leaf
+        found = op.tile_links(placed, 0.98).groupBy().sum("links").first()[0]
+        assert 0.95 * n <= found <= n, (leaf, found, n)
+
+
+def test_forest_keeps_rows_without_own_ids(spark):
+    from wayfare.llm import op10_forest as op
+
+    v = [1.0, 2.0, 3.0]
+    rows = [(5, v, 1), (5, v, 1), (None, v, 1), (7, [3.0, -1.0, 0.0], 1), (None, [0.0, 0.0, 1.0], 2), (8, v, 2)]
+    got = op.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    show = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got)
+    assert show == sorted([("5", 2, "5", True), ("5", 2, "5", True), ("None", 2, "5", False), ("7", 0, "7", True), ("None", 0, "None", True), ("8", 0, "8", True)])
+
+
+def test_tiles_lose_no_pair(spark):
     """A leaf cut into chunks gives the same counts as one tile."""
     from wayfare.llm import op10_forest as op
 
     r = np.random.default_rng(2)
     v = r.standard_normal(8) + 0.05 * r.standard_normal((50, 8))
-    reps = spark.createDataFrame([(i, "1/64", 1, x.astype("<f8").tobytes()) for i, x in enumerate(v)], "rep long, label string, n long, v binary")
-    forest = op.Forest(op._unit([x.astype("<f8").tobytes() for x in v]), 1, 3)
+    reps = spark.createDataFrame([(i, "1/8", 1, x.astype("<f8").tobytes()) for i, x in enumerate(v)], "rep long, label string, n long, v binary")
+    placed = op.cut(op.leaves(reps, 0.98, 3, 20))
     sums = []
     for chunk in (1000, 7):
         c = Counter()
-        for x in op.forest_links(reps, forest, 0.98, chunk).collect():
+        for x in op.tile_links(placed, 0.98, chunk).collect():
             c[x.rep] += x.links
         sums.append(c)
     assert sums[0] == sums[1] and sum(sums[0].values()) > 0

@@ -92,18 +92,20 @@ def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "inn
 
 
 def tiled(rows: DataFrame, key: str, member: str, limit: int, size: str | None = None) -> DataFrame:
-    """rows of keys that at least two rows have, with a column `tile` (long): rows that share a key share a tile.
+    """rows of keys that at least two rows have, with columns tile, chunk, lo and hi (long): rows that share a key share a tile.
 
     A key of up to `limit` rows (or sizes in all) is one tile. One of more is cut into chunks by its members' hash, and every
-    pair of chunks is a tile, so that no task holds more than about two limits and no pair is lost. rows: a written table.
+    pair (lo, hi) of chunks is a tile, so that no task holds more than about two limits and no pair is lost. rows: a written
+    table.
     """
     weight = F.sum(size) if size else F.count("*")
     shared = rows.groupBy(key).agg(F.count("*").alias("n"), F.ceil(weight / limit).alias("chunks")).filter("n > 1")
     held = join_hot(rows, shared, [key])
-    chunk = F.pmod(F.xxhash64(F.lit("chunk"), member), F.col("chunks"))
+    held = held.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), member), F.col("chunks")))
     spread = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    pair = F.xxhash64(key, F.least(chunk, "other"), F.greatest(chunk, "other"))
-    return spread.withColumn("tile", F.when(F.col("chunks") == 1, F.col(key)).otherwise(pair)).drop("chunks", "other")
+    spread = spread.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
+    tile = F.when(F.col("chunks") == 1, F.col(key)).otherwise(F.xxhash64(key, "lo", "hi"))
+    return spread.withColumn("tile", tile).drop("chunks", "other")
 
 
 @contextlib.contextmanager

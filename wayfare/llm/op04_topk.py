@@ -1,17 +1,20 @@
 """Operator 4, exact top-k search by distributed histogram selection.
 
-Vectors become integer components, so scores are integers with a known bound. Queries and candidates are packed into
-blocks; every (query block, candidate block) tile is one matrix product inside a task. A pass scores all tiles and keeps
-for each query a histogram of the scores in its current interval, summed within the task before anything is shuffled;
+Vectors become integer components, so scores are integers with a known bound. Candidates are dealt to large blocks by the
+hash of their row, queries to small ones, and a task holds one candidate block while the query blocks pass by: each tile is
+one matrix product. A pass scores all tiles and makes, for each query, a histogram of the scores in its current interval;
 the bin that holds the k-th score is the next interval. When intervals are single values each k-th score is known; a last
 pass keeps scores not below it (per tile the k best at most, which loses none of the k best overall) and ranks them with ties
 to the smaller id.
 
-Only scalars (counts, the largest norm and length) reach the driver. Tiles are dealt by an equi-join on the query block.
+Of the two sides the smaller one moves: in each pass a candidate goes once to its block, and a query once to every candidate
+block. Only scalars (counts, the largest norm and length) reach the driver. A histogram is passed on as soon as its
+tile is done, and sums are made of one query block after another, so no task's memory grows with the table.
 
 Defined cases: vectors that are null, empty or have null or non-finite components take no part; shorter vectors are
-padded with zeros; rows that repeat an id count once (the smallest vector); ids that are null take no part; fewer than k
-candidates give all of them; an empty table gives no rows; other columns are ignored.
+padded with zeros; every row counts: rows that repeat an id are candidates and queries of their own, and a row is not its own
+candidate; a row with a null id is a candidate, after all others at equal score, and no query; fewer than k candidates give
+all of them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,21 +26,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfare.llm.common import cut, table
+from wayfare.llm.common import apart, cut, table
 
 SCALE, K, QUERY_EVERY = 64, 20, 20
-#: Rows of a query block and of a candidate block; candidates scored at once; bins of a histogram.
-QUERIES, CANDIDATES, AT_ONCE, BINS = 2048, 2048, 512, 128
+#: Components of a candidate block and of a row of it or a query block; rows scored at once; bins of a histogram.
+HELD, PART, AT_ONCE, BINS = 1 << 22, 1 << 15, 1024, 128
 #: Scores under this bound are exact in double precision, so BLAS may make them.
 EXACT = 2.0**52
 
 
 def integers(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v): components floor(scale * x) as little-endian 64-bit integers, of the vectors that take part."""
-    x = F.col(vec_col)
+    """(row, id, v): components floor(scale * x) as little-endian 64-bit integers, of the vectors that take part."""
+    src = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("x"))
+    x = F.col("x")
     whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    src = df.filter(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & whole)
-    src = src.select(F.col(id_col).cast("long").alias("id"), x.cast("array<double>").alias("x"))
+    src = src.filter(x.isNotNull() & (F.size(x) > 0) & whole)
 
     def run(batches):
         for batch in batches:
@@ -46,120 +49,153 @@ def integers(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
             flat = np.clip(flat, -(2.0**62), 2.0**62).astype("<i8")
             at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
             rows = [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], names=["id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(rows, pa.binary())], names=["row", "id", "v"])
 
-    return src.mapInArrow(run, "id long, v binary").groupBy("id").agg(F.min("v").alias("v"))
+    return src.select("row", "id", x.cast("array<double>").alias("x")).mapInArrow(run, "row long, id long, v binary")
 
 
-def blocks(vectors: DataFrame, size: int, dim: int) -> DataFrame:
-    """Rows (block, ids, m): up to `size` vectors of a partition as one matrix."""
+#: A block: rows, ids (0 for null), which ids are null, and the matrix, as bytes.
+BLOCK = "rows binary, ids binary, nulls binary, m binary"
+
+
+def blocks(vectors: DataFrame, dim: int, name: str) -> DataFrame:
+    """(name, rows, ids, nulls, m): some vectors of a partition as a matrix; of one value of `name` if vectors have it."""
+    size, dealt = max(1, PART // dim), name in vectors.columns
 
     def run(batches):
-        part, made, ids, rows = TaskContext.get().partitionId(), 0, [], []
+        part, made = TaskContext.get().partitionId(), 0
+        key, held = None, []
 
         def packed():
-            m = np.zeros((len(rows), dim), "<i8")
-            for i, r in enumerate(rows):
-                m[i, : len(r) // 8] = np.frombuffer(r, "<i8")
+            row, ids, vs = zip(*held)
+            m = np.zeros((len(held), dim), "<i8")
+            for i, v in enumerate(vs):
+                m[i, : len(v) // 8] = np.frombuffer(v, "<i8")
+            null = np.array([x is None for x in ids])
+            bytes_of = (np.array(row, "<i8"), np.array([x or 0 for x in ids], "<i8"), null, m)
+            number = key if dealt else (part << 32) + made
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([(part << 32) + made], pa.int64()),
-                    pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
-                    pa.array([m.tobytes()], pa.binary()),
-                ],
-                names=["block", "ids", "m"],
+                [pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in bytes_of)], names=[name, "rows", "ids", "nulls", "m"]
             )
 
         for batch in batches:
-            for i, r in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist()):
-                ids.append(i)
-                rows.append(r)
-                if len(rows) == size:
+            keys = batch.column(name).to_pylist() if dealt else [None] * batch.num_rows
+            for k, *row in zip(keys, *(batch.column(c).to_pylist() for c in ("row", "id", "v"))):
+                if held and (k != key or len(held) == size):
                     yield packed()
-                    made, ids, rows = made + 1, [], []
-        if rows:
+                    made, held = made + 1, []
+                key = k
+                held.append(row)
+        if held:
             yield packed()
 
-    return vectors.mapInArrow(run, "block long, ids binary, m binary")
+    return vectors.mapInArrow(run, f"{name} long, {BLOCK}")
 
 
-def _matrix(raw: bytes, n: int, fast: bool) -> np.ndarray:
-    m = np.frombuffer(raw, "<i8").reshape(n, -1)
-    return m.astype(np.float64) if fast else m.astype(object)
+class _Block:
+    def __init__(self, parts: list[tuple], fast: bool):
+        self.rows, self.ids = (np.frombuffer(b"".join(p[i] for p in parts), "<i8") for i in (0, 1))
+        self.nulls = np.frombuffer(b"".join(p[2] for p in parts), bool)
+        m = np.frombuffer(b"".join(p[3] for p in parts), "<i8").reshape(len(self.rows), -1)
+        self.m = m.astype(np.float64) if fast else m.astype(object)
 
 
-def _scores(batches, fast: bool):
-    """For each tile and part of its candidates: block, query ids, candidate ids, scores, own-row mask, lo and above."""
+def _tiles(batches, fast: bool):
+    """(query block's number, query block, lo, above, candidate block) of each tile; a candidate block's rows come first."""
+    held, number, block = [], None, None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("block", "q_ids", "q_m", "c_ids", "c_m", "lo", "above")]
-        for block, q_raw, q_m, c_raw, c_m, lo, above in zip(*columns):
-            q_ids, c_ids = np.frombuffer(q_raw, "<i8"), np.frombuffer(c_raw, "<i8")
-            q, c = _matrix(q_m, len(q_ids), fast), _matrix(c_m, len(c_ids), fast)
-            lo, above = np.frombuffer(lo, "<i8"), np.frombuffer(above, "<i8")
-            order = np.argsort(q_ids)
-            for a in range(0, len(c_ids), AT_ONCE):
-                ids = c_ids[a : a + AT_ONCE]
-                s = q @ c[a : a + AT_ONCE].T
-                s = s.astype(np.int64) if fast else np.clip(s, -(2**63), 2**63 - 1).astype(np.int64)
-                at = np.minimum(np.searchsorted(q_ids, ids, sorter=order), len(q_ids) - 1)
-                own = np.flatnonzero(q_ids[order[at]] == ids)
-                yield block, q_ids, ids, s, (order[at[own]], own), lo, above
-
-
-def _tiles(queries: DataFrame, candidates: DataFrame, parts: int) -> DataFrame:
-    """Every candidate block beside every query block, by a join on the query block."""
-    every = F.array_sort(F.lit([r["block"] for r in queries.select("block").collect()]))  # block numbers: N / (20 * 2048)
-    spread = candidates.select(F.explode(every).alias("block"), F.col("ids").alias("c_ids"), F.col("m").alias("c_m"))
-    held = queries.select("block", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), "lo", "above")
-    return spread.repartition(parts).join(held, "block")
-
-
-def _narrowed(queries: DataFrame, candidates: DataFrame, width: int, k: int, fast: bool, parts: int) -> tuple[DataFrame, int]:
+        columns = [batch.column(c).to_pylist() for c in ("c", "q", "rows", "ids", "nulls", "m", "lo", "above")]
+        for c, q, rows, ids, nulls, m, lo, above in zip(*columns):
+            if c != number:
+                number, held, block = c, [], None
+            if q is None:
+                held.append((rows, ids, nulls, m))
+                continue
+            if not held:
+                continue
+            block = block or _Block(held, fast)
+            yield q, _Block([(rows, ids, nulls, m)], fast), np.frombuffer(lo, "<i8"), np.frombuffer(above, "<i8"), block
+
+
+def _scores(query: _Block, block: _Block, fast: bool):
+    """(first candidate, scores, (query, candidate) places of rows that meet themselves) for parts of a block."""
+    order = np.argsort(query.rows)
+    for a in range(0, len(block.rows), AT_ONCE):
+        rows = block.rows[a : a + AT_ONCE]
+        s = query.m @ block.m[a : a + AT_ONCE].T
+        s = s.astype(np.int64) if fast else np.clip(s, -(2**63), 2**63 - 1).astype(np.int64)
+        at = np.minimum(np.searchsorted(query.rows, rows, sorter=order), len(order) - 1)
+        own = np.flatnonzero(query.rows[order[at]] == rows)
+        yield a, s, (order[at[own]], own)
+
+
+def _meeting(queries: DataFrame, candidates: DataFrame, n_blocks: int) -> DataFrame:
+    """Every query block behind the rows of every candidate block; partitions hold whole candidate blocks."""
+    none = F.lit(None)
+    held = candidates.select("c", none.cast("long").alias("q"), "rows", "ids", "nulls", "m", none.cast("binary").alias("lo"), none.cast("binary").alias("above"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("c")
+    passing = queries.select(every, "q", "rows", "ids", "nulls", "m", "lo", "above")
+    return held.unionByName(passing).repartition(n_blocks, "c").sortWithinPartitions("c", F.col("q").asc_nulls_first())
+
+
+def _narrowed(queries: DataFrame, candidates: DataFrame, n_blocks: int, width: int, k: int, fast: bool) -> tuple[DataFrame, int]:
     """One pass: each query's interval [lo, lo + width) shrinks to the bin with its k-th score."""
     step = -(-width // BINS)
 
     def count(batches):
-        sums: dict[int, np.ndarray] = {}
-        for block, q_ids, ids, s, (qi, ci), lo, _ in _scores(batches, fast):
-            bins = (s - lo[:, None]) // step
-            inside = (bins >= 0) & (s - lo[:, None] < width)
-            inside[qi, ci] = False
-            flat = (bins + BINS * np.arange(len(q_ids))[:, None])[inside]
-            if block not in sums:
-                sums[block] = np.zeros(len(q_ids) * BINS, "<i8")
-            sums[block] += np.bincount(flat, minlength=len(q_ids) * BINS)
-        for block, n in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n.tobytes()], pa.binary())], names=["block", "n"])
+        for q, query, lo, _, block in _tiles(batches, fast):
+            sums = np.zeros(len(lo) * BINS, np.int64)
+            for _, s, (qi, ci) in _scores(query, block, fast):
+                bins = (s - lo[:, None]) // step
+                inside = (bins >= 0) & (s - lo[:, None] < width)
+                inside[qi, ci] = False
+                sums += np.bincount((bins + BINS * np.arange(len(lo))[:, None])[inside], minlength=len(sums))
+            yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), pa.array([sums.astype("<i4").tobytes()], pa.binary())], names=["q", "n"])
+
+    def add(batches):
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["q", "n"])
+
+        key, total = None, None
+        for batch in batches:
+            for q, n in zip(batch.column("q").to_pylist(), batch.column("n").to_pylist()):
+                n = np.frombuffer(n, "<i4").astype(np.int64)
+                if q == key:
+                    total += n
+                    continue
+                if key is not None:
+                    yield row()
+                key, total = q, n
+        if key is not None:
+            yield row()
 
     def choose(batches):
-        sums: dict[int, np.ndarray] = {}
-        rest: dict[int, tuple] = {}
         for batch in batches:
-            for block, n, lo, above in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "lo", "above"))):
-                n = np.frombuffer(n, "<i8")
-                sums[block] = sums[block] + n if block in sums else n
-                rest[block] = (np.frombuffer(lo, "<i8"), np.frombuffer(above, "<i8"))
-        for block, n in sums.items():
-            lo, above = rest[block]
-            n = n.reshape(len(lo), BINS)
-            down = above[:, None] + np.cumsum(n[:, ::-1], axis=1)[:, ::-1]  # scores in this bin or higher
-            b = np.maximum((down >= k).sum(axis=1) - 1, 0)  # the highest bin that reaches k; the lowest if none does
-            each = np.arange(len(lo))
-            new_above = down[each, b] - n[each, b]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([(lo + b * step).astype("<i8").tobytes()], pa.binary()), pa.array([new_above.astype("<i8").tobytes()], pa.binary())],
-                names=["block", "lo", "above"],
-            )
-
-    counted = _tiles(queries, candidates, parts).mapInArrow(count, "block long, n binary")
-    state = counted.join(queries.select("block", "lo", "above"), "block").repartition("block").mapInArrow(choose, "block long, lo binary, above binary")
-    return cut(queries.drop("lo", "above").join(state, "block")), step
+            los, aboves = [], []
+            for n, lo, above in zip(*(batch.column(c).to_pylist() for c in ("n", "lo", "above"))):
+                lo, above = np.frombuffer(lo, "<i8"), np.frombuffer(above, "<i8")
+                n = np.frombuffer(n, "<i8").reshape(len(lo), BINS)
+                down = above[:, None] + np.cumsum(n[:, ::-1], axis=1)[:, ::-1]  # scores in this bin or higher
+                b = np.maximum((down >= k).sum(axis=1) - 1, 0)  # the highest bin that reaches k; the lowest if none does
+                each = np.arange(len(lo))
+                los.append((lo + b * step).astype("<i8").tobytes())
+                aboves.append((down[each, b] - n[each, b]).astype("<i8").tobytes())
+            names = ["q", "rows", "ids", "nulls", "m"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(los, pa.binary()), pa.array(aboves, pa.binary())], names=[*names, "lo", "above"])
+
+    counted = _meeting(queries, candidates, n_blocks).mapInArrow(count, "q long, n binary")
+    sums = counted.repartition("q").sortWithinPartitions("q").mapInArrow(add, "q long, n binary")
+    return cut(queries.join(sums, "q").mapInArrow(choose, f"q long, {BLOCK}, lo binary, above binary")), step
 
 
 def top_k(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, every: int = QUERY_EVERY, scale: int = SCALE
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each row whose id is divisible by `every`."""
+    return apart(vectors.sparkSession, lambda: _top_k(vectors, id_col, vec_col, k, every, scale))
+
+
+def _top_k(vectors: DataFrame, id_col: str, vec_col: str, k: int, every: int, scale: int) -> DataFrame:
     spark = vectors.sparkSession
     ints = cut(integers(vectors, id_col, vec_col, scale))
 
@@ -179,10 +215,10 @@ def top_k(
     bound = norm * norm + 1
     fast = bound < EXACT
     limit = int(min(bound, 2.0**62))
-    query_parts = -(-n_queries // QUERIES)
-    candidates = cut(blocks(ints, CANDIDATES, dim))
-    queries = blocks(ints.filter(is_query).repartition(query_parts), QUERIES, dim)
-    size = F.octet_length("ids") / 8
+    n_blocks = max(spark.sparkContext.defaultParallelism, -(-n * dim // HELD))
+    dealt = ints.withColumn("c", F.pmod(F.xxhash64("row"), F.lit(n_blocks).cast("long")))
+    candidates = cut(blocks(dealt.repartition(n_blocks, "c").sortWithinPartitions("c"), dim, "c"))
+    queries = blocks(ints.filter(is_query), dim, "q")
 
     def start(batches):
         for batch in batches:
@@ -191,28 +227,29 @@ def top_k(
             above = [np.zeros(s, "<i8").tobytes() for s in sizes]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lo, pa.binary()), pa.array(above, pa.binary())], names=[*batch.schema.names, "lo", "above"])
 
-    queries = cut(queries.filter(size > 0).mapInArrow(start, "block long, ids binary, m binary, lo binary, above binary"))
+    queries = cut(queries.mapInArrow(start, f"q long, {BLOCK}, lo binary, above binary"))
     width = 2 * limit + 1
-    parts = max(spark.sparkContext.defaultParallelism, min(4096, -(-n * query_parts // (8 * CANDIDATES))))
     while width > 1:
-        queries, width = _narrowed(queries, candidates, width, k, fast, parts)
+        queries, width = _narrowed(queries, candidates, n_blocks, width, k, fast)
 
     def keep(batches):
-        for _, q_ids, ids, s, (qi, ci), lo, _ in _scores(batches, fast):
-            inside = s >= lo[:, None]
-            inside[qi, ci] = False
-            qs, cs = np.nonzero(inside)
-            score = s[qs, cs]
-            order = np.lexsort((ids[cs], -score, qs))
-            qs, cs, score = qs[order], cs[order], score[order]
-            first = np.searchsorted(qs, qs)  # qs is sorted: place within the query
-            best = np.arange(len(qs)) - first < k
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[qs[best]]), pa.array(ids[cs[best]]), pa.array(score[best])], names=["query_id", "vec_id", "score"]
-            )
-
-    kept = _tiles(queries, candidates, parts).mapInArrow(keep, "query_id long, vec_id long, score long")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        for _, query, lo, _, block in _tiles(batches, fast):
+            for a, s, (qi, ci) in _scores(query, block, fast):
+                inside = s >= lo[:, None]
+                inside[qi, ci] = False
+                qs, cs = np.nonzero(inside)
+                score, cs = s[qs, cs], cs + a
+                order = np.lexsort((block.rows[cs], block.ids[cs], block.nulls[cs], -score, qs))
+                qs, cs, score = qs[order], cs[order], score[order]
+                best = np.arange(len(qs)) - np.searchsorted(qs, qs) < k  # qs is sorted: place within the query
+                qs, cs, score = qs[best], cs[best], score[best]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(query.rows[qs]), pa.array(query.ids[qs]), pa.array(block.rows[cs]), pa.array(block.ids[cs], mask=block.nulls[cs]), pa.array(score)],
+                    names=["q", "query_id", "row", "vec_id", "score"],
+                )
+
+    kept = _meeting(queries, candidates, n_blocks).mapInArrow(keep, "q long, query_id long, row long, vec_id long, score long")
+    by = Window.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "row")
     ranked = kept.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

@@ -1,17 +1,22 @@
 """Operator 10, embedding near-duplicates by a forest of random projection trees.
 
-Equal vectors of a label are merged into one with a count. Trees of random hyperplanes, split at medians of a bounded
-sample, send every vector to a leaf; vectors near a split go to both sides (spill overlap), and so a close pair shares a leaf
-of some tree almost surely. Rows of a leaf and label meet in tiles of bounded size (a leaf of many rows is cut into
-chunks and every pair of chunks becomes a tile, so no row is dropped and no task holds a large group). A tile is a
-matrix of exact cosines; pairs at or above the threshold are links. A pair that shares several leaves counts in the
-smallest of them only, so link counts need no pair to be written; a tile passes on a count for each vector and fewer edges
-than vectors, which are then joined to components.
+Equal vectors of a label are merged into one with a count. Every label grows TREES trees from its own vectors: a node of over
+LEAF vectors is split at the median of a random direction, and vectors near the split go to both sides (spill overlap), so a
+close pair shares a leaf of some tree almost surely. Trees grow by LEVELS levels a round, as deep as the data need: the
+splits of a node are fitted in a task on about FIT of its vectors and joined back to all of them, and nodes that are still
+too large are split again in the next round. Directions follow from the node's number, so only medians are passed on. A
+node is a leaf early only if no direction separates it, as in a group of near copies.
+
+Rows of a leaf meet in tiles of bounded size (a leaf of over CHUNK rows is cut into chunks and every pair of chunks becomes
+a tile, so no row is dropped and no task holds a large group). A tile is a matrix of exact cosines; pairs at or above the
+threshold are links. A pair that shares several leaves counts in the smallest of them only, so link counts need no
+pair to be written; a tile passes on a count for each vector and fewer edges than vectors, which are then joined to components.
 
 Recall follows the number of trees and the spill margin (tests measure it against all pairs); precision is exact.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label,
-link with nothing; vectors of different lengths never link; rows that repeat an id count like different ones; equal
+link with nothing; vectors of different lengths never link; rows that repeat an id, or have none, are vectors of their own
+like any others; a component that has only null ids has a null component_id, and kept compares null-safely; equal
 cosines need no tie rule; an empty table gives no rows; other columns are ignored.
 """
 
@@ -19,54 +24,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import cut, table
+from wayfare.llm.common import apart, cut, join_hot, table, tiled
 from wayfare.llm.components import components
 
 COSINE = 0.98
-#: Trees, vectors of a label that a leaf should have, sample rows that the splits are fitted on, and the seed.
-TREES, LEAF, SAMPLE, SEED = 6, 1000, 20_000, 17
-#: Sample rows that a leaf keeps at least: bounds the depth, and so the model, whatever the input.
-LEAF_SAMPLE = 32
+#: Trees, vectors that a leaf should have, and the seed.
+TREES, LEAF, SEED = 4, 100, 17
+#: Levels of a round, vectors of a node that its splits are fitted on, and directions that a split chooses from.
+LEVELS, FIT, CHOICES = 6, 4000, 4
+#: A split that leaves more than this share of a node on one side is none.
+SHARE = 0.8
 #: Rows of a chunk; a tile has two at most.
 CHUNK = 2000
 #: Half width of the spill band, in standard deviations of a borderline pair's difference along a random direction.
 SPILL = 0.75
-
-
-class Forest:
-    """For each tree a complete binary tree of hyperplanes: directions (nodes x dim) and thresholds."""
-
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = SEED, cosine: float = COSINE):
-        self.depth, self.dim = depth, sample.shape[1]
-        rng = np.random.default_rng(seed)
-        nodes = (1 << depth) - 1
-        self.directions = rng.standard_normal((trees, nodes, self.dim))
-        self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
-        self.thresholds = np.zeros((trees, nodes))
-        self.margin = SPILL * np.sqrt(2 * (1 - cosine) / self.dim)
-        for t in range(trees):
-            inside = {0: np.arange(len(sample))}
-            for node in range(nodes):
-                rows = inside.pop(node)
-                p = sample[rows] @ self.directions[t, node]
-                self.thresholds[t, node] = cut_at = np.median(p) if len(p) else 0.0
-                inside[2 * node + 1], inside[2 * node + 2] = rows[p <= cut_at], rows[p > cut_at]
-
-    def leaves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) pairs; leaves are numbered over all trees."""
-        out_r, out_l = [], []
-        for t in range(len(self.directions)):
-            rows, nodes = np.arange(len(unit)), np.zeros(len(unit), np.int64)
-            for _ in range(self.depth):
-                p = np.einsum("ij,ij->i", unit[rows], self.directions[t, nodes]) - self.thresholds[t, nodes]
-                left, right = p <= self.margin, p >= -self.margin
-                rows, nodes = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * nodes[left] + 1, 2 * nodes[right] + 2])
-            out_r.append(rows)
-            out_l.append(nodes - ((1 << self.depth) - 1) + (t << self.depth))
-        return np.concatenate(out_r), np.concatenate(out_l)
+_NODES = (1 << LEVELS) - 1
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -76,29 +52,133 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def usable(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(id, label, v): the vectors that can link, as little-endian doubles."""
-    x = F.col(vec_col)
+def usable(rows: DataFrame) -> DataFrame:
+    """(rid, id, label, v): the vectors that can link, as little-endian doubles; only equal labels and lengths compare."""
+    x = F.col("x")
     whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    rows = df.filter(x.isNotNull() & F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & whole & F.exists(x, lambda c: c != 0))
-    rows = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), x.cast("array<double>").alias("x"))
+    some = rows.filter(x.isNotNull() & F.col("label").isNotNull() & whole & F.exists(x, lambda c: c != 0))
+    some = some.select("rid", "id", F.concat_ws("/", "label", F.size(x)).alias("label"), x.cast("array<double>").alias("x"))
 
     def run(batches):
         for batch in batches:
             flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype("<f8") + 0.0
             at = np.concatenate([[0], np.cumsum(batch.column("x").value_lengths().to_numpy(zero_copy_only=False))]).tolist()
             v = [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(v, pa.binary())], names=["id", "label", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), batch.column("label"), pa.array(v, pa.binary())], names=["rid", "id", "label", "v"])
+
+    return some.mapInArrow(run, f"rid long, id {dict(rows.dtypes)['id']}, label string, v binary")
+
+
+# -- trees --------------------------------------------------------------------------------------------------------------
+
+
+def _directions(node: int, dim: int) -> np.ndarray:
+    d = np.random.default_rng(node & (1 << 64) - 1).standard_normal((_NODES, CHOICES, dim))
+    return d / np.linalg.norm(d, axis=2, keepdims=True)
+
+
+def fit_splits(node: int, unit: np.ndarray, n: int, leaf: int, margin: float) -> np.ndarray:
+    """(threshold, choice) of each split of the node's subtree; the threshold is NaN where a vector stays."""
+    out, directions = np.full((_NODES, 2), np.nan), _directions(node, unit.shape[1])
+    inside, enough = {0: np.arange(len(unit))}, leaf * len(unit) / n
+    for k in range(_NODES):
+        rows = inside.pop(k, None)
+        if rows is None or len(rows) <= max(enough, 8):
+            continue
+        p = unit[rows] @ directions[k].T
+        at = np.median(p, axis=0)
+        sides = [(p[:, c] <= at[c] + margin, p[:, c] >= at[c] - margin) for c in range(CHOICES)]
+        share = [max(x.mean(), y.mean()) for x, y in sides]
+        c = int(np.argmin(share))
+        if share[c] <= SHARE:
+            out[k] = at[c], c
+            inside[2 * k + 1], inside[2 * k + 2] = rows[sides[c][0]], rows[sides[c][1]]
+    return out
+
+
+def descend(node: int, unit: np.ndarray, splits: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place within the subtree, whether the subtree's last level was reached) for each leaf that a row comes to."""
+    directions, choice = _directions(node, unit.shape[1]), np.nan_to_num(splits[:, 1]).astype(int)
+    rows, at = np.arange(len(unit)), np.zeros(len(unit), np.int64)
+    out_r, out_at = [], []
+    for _ in range(LEVELS):
+        stays = np.isnan(splits[at, 0])
+        out_r.append(rows[stays])
+        out_at.append(at[stays])
+        rows, at = rows[~stays], at[~stays]
+        p = np.einsum("ij,ij->i", unit[rows], directions[at, choice[at]]) - splits[at, 0]
+        left, right = p <= margin, p >= -margin
+        rows, at = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * at[left] + 1, 2 * at[right] + 2])
+    deep = np.repeat([False, True], [sum(map(len, out_r)), len(rows)])
+    return np.concatenate([*out_r, rows]), np.concatenate([*out_at, at]), deep
+
+
+def _child(node: np.ndarray, at: np.ndarray) -> np.ndarray:
+    x = (node.astype(np.int64).view(np.uint64) ^ at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    return np.where(at == 0, node, (x ^ x >> np.uint64(29)).view(np.int64))
+
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, label string, v binary")
+_ROW = "rep long, label string, n long, v binary, node long"
+
+
+def leaves(reps: DataFrame, cosine: float, trees: int, leaf: int) -> DataFrame:
+    """(rep, label, n, v, node): a row for each leaf that a representative is in."""
+
+    def margin(dim: int) -> float:
+        return SPILL * np.sqrt(2 * (1 - cosine) / dim)
+
+    def fit(key, t):
+        unit, n = _unit(t.column("v").to_pylist()), t.column("size")[0].as_py()
+        splits = fit_splits(key[0].as_py(), unit, n, leaf, margin(unit.shape[1]))
+        return pa.table({"node": [key[0]], "n": [n], "splits": pa.array([splits.tobytes()], pa.binary())})
+
+    def grow(batches):
+        for batch in batches:
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            raw, splits = batch.column("v").to_pylist(), batch.column("splits").to_pylist()
+            order = np.argsort(nodes, kind="stable")
+            for of in np.split(order, np.flatnonzero(np.diff(nodes[order])) + 1):
+                if not len(of):
+                    continue
+                r, at, deep = of, np.zeros(len(of), np.int64), np.zeros(len(of), bool)
+                if splits[of[0]] is not None:
+                    unit = _unit([raw[i] for i in of])
+                    r, at, deep = descend(int(nodes[of[0]]), unit, np.frombuffer(splits[of[0]], "<f8").reshape(-1, 2), margin(unit.shape[1]))
+                    r = of[r]
+                take = pa.array(r)
+                columns = [batch.column(c).take(take) for c in ("rep", "label", "n", "v")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(_child(nodes[r], at)), pa.array(deep)], names=["rep", "label", "n", "v", "node", "deep"])
+
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    now = cut(reps.select("rep", "label", "n", "v", tree.alias("tree")).withColumn("node", F.xxhash64(F.lit(SEED), "label", "tree")).drop("tree"))
+    done = []
+    while True:
+        large = cut(now.groupBy("node").agg(F.count("*").alias("size")).filter(F.col("size") > leaf).withColumn("n", F.col("size")))
+        if large.isEmpty():
+            done.append(now)
+            break
+        picked = join_hot(now.drop("n"), large.select("node", "n", "size"), ["node"])
+        picked = picked.filter(F.pmod(F.xxhash64("rep", F.lit("fit")), F.ceil(F.col("size") / FIT)) == 0).select("node", "size", "v")
+        splits = picked.groupBy("node").applyInArrow(fit, "node long, n long, splits binary")
+        grown = cut(join_hot(now, splits, ["node"], "left").mapInArrow(grow, _ROW + ", deep boolean"))
+        done.append(grown.filter("not deep").drop("deep"))
+        now = grown.filter("deep").drop("deep")
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+# -- tiles --------------------------------------------------------------------------------------------------------------
 
 
 def _owned(i: np.ndarray, j: np.ndarray, lists: np.ndarray, leaf: int) -> np.ndarray:
-    """Whether `leaf` is the smallest leaf that the pair shares; lists: sorted leaves of each row, padded with -1."""
+    """Whether `leaf` is the smallest leaf that the pair shares; lists: leaves of each row, padded with the greatest number."""
     out = np.ones(len(i), bool)
     for a in range(0, len(i), 20_000):
         x, y = lists[i[a : a + 20_000]], lists[j[a : a + 20_000]]
-        same = (x[:, :, None] == y[:, None, :]) & ((x >= 0) & (x < leaf))[:, :, None]
+        same = (x[:, :, None] == y[:, None, :]) & (x < leaf)[:, :, None]
         out[a : a + 20_000] = ~same.any(axis=(1, 2))
     return out
 
@@ -133,89 +213,55 @@ def _tile(ids: np.ndarray, n: np.ndarray, unit: np.ndarray, chunk: np.ndarray, l
     return ids[some], links[some], ids[root[some]]
 
 
-def forest_links(reps: DataFrame, forest: Forest, cosine: float, chunk: int = CHUNK) -> DataFrame:
-    """(rep, links, root) rows, several for a representative; reps: (rep, label, n, v)."""
-    held = reps.sparkSession.sparkContext.broadcast(forest)  # under TREES * SAMPLE / LEAF_SAMPLE vectors
-
-    def place(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            r, leaf = held.value.leaves(_unit(batch.column("v").to_pylist()))
-            order = np.lexsort((leaf, r))
-            r, leaf = r[order], leaf[order]
-            ends = np.searchsorted(r, np.arange(batch.num_rows), "right")
-            lists = np.split(leaf.astype("<i4"), ends[:-1])
-            packed = pa.array([x.tobytes() for x in lists], pa.binary())
-            at = pa.array(r)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rep").take(at), batch.column("label").take(at), batch.column("n").take(at), batch.column("v").take(at), packed.take(at), pa.array(leaf)],
-                names=["rep", "label", "n", "v", "lists", "leaf"],
-            )
-
-    placed = cut(reps.mapInArrow(place, "rep long, label string, n long, v binary, lists binary, leaf long"))
-    sizes = placed.groupBy("label", "leaf").agg(F.count("*").alias("rows"))
-    chunks = placed.join(sizes, ["label", "leaf"]).withColumn("chunks", F.ceil(F.col("rows") / chunk).cast("int"))
-    chunks = chunks.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    tiles = chunks.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select(
-        "label", "leaf", "rep", "n", "v", "lists", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
-    )
+def tile_links(placed: DataFrame, cosine: float, chunk: int = CHUNK) -> DataFrame:
+    """(rep, links, root) rows, several for a representative; placed: a written table of leaves()."""
+    lists = placed.groupBy("rep").agg(F.collect_set("node").alias("nodes"))
+    tiles = tiled(placed, "node", "rep", chunk).join(lists, "rep")
 
     def link(key, t):
-        _, leaf, lo, hi = (k.as_py() for k in key)
-        t = t.sort_by("rep")
-        raw = t.column("lists").to_pylist()
-        lists = np.full((len(raw), max(len(x) // 4 for x in raw)), -1, np.int64)
-        for i, x in enumerate(raw):
-            lists[i, : len(x) // 4] = np.frombuffer(x, "<i4")
-        ids, n, of = (t.column(c).to_numpy() for c in ("rep", "n", "chunk"))
-        rep, links, root = _tile(ids, n, _unit(t.column("v").to_pylist()), of, lists, leaf, (lo, hi), cosine)
-        return pa.table({"rep": rep, "links": links, "root": root})
+        out = []
+        for label in t.column("label").unique():  # one, but for two nodes of equal number
+            own = t.filter(pc.equal(t.column("label"), label)).sort_by("rep")
+            raw = own.column("nodes").to_pylist()
+            nodes = np.full((len(raw), max(map(len, raw))), np.iinfo(np.int64).max)
+            for i, x in enumerate(raw):
+                nodes[i, : len(x)] = x
+            ids, n, of = (own.column(c).to_numpy() for c in ("rep", "n", "chunk"))
+            leaf, lo, hi = (own.column(c)[0].as_py() for c in ("node", "lo", "hi"))
+            out.append(_tile(ids, n, _unit(own.column("v").to_pylist()), of, nodes, leaf, (lo, hi), cosine))
+        return pa.table({c: pa.array(np.concatenate(x), pa.int64()) for c, x in zip(("rep", "links", "root"), zip(*out))})
 
-    return tiles.groupBy("label", "leaf", "lo", "hi").applyInArrow(link, "rep long, links long, root long")
+    return tiles.groupBy("tile").applyInArrow(link, "rep long, links long, root long")
 
 
 def near_vectors(
-    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, trees: int = TREES
+    df: DataFrame,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    label_col: str = "label",
+    cosine: float = COSINE,
+    trees: int = TREES,
+    leaf: int = LEAF,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for each row."""
-    rows = cut(usable(df, id_col, vec_col, label_col))
-    reps = rows.groupBy("label", "v").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("n"))
-    reps = cut(reps.withColumn("label", F.concat_ws("/", "label", F.octet_length("v"))))  # only equal lengths compare
-    largest = reps.groupBy("label").count().agg(F.max("count")).first()[0]
-    every = df.select(F.col(id_col).alias(id_col))
-    if not largest:
-        return every.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    picked = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
-    by_size: dict[int, list] = {}
-    for v in picked:
-        by_size.setdefault(len(v), []).append(v)
-    depth = max(0, min(int(np.ceil(np.log2(largest / LEAF))), int(np.log2(max(1, len(picked) / LEAF_SAMPLE)))))
-    parts = []
-    for size, sample in sorted(by_size.items()):
-        forest = Forest(_unit(sample), depth, trees, cosine=cosine)
-        parts.append(forest_links(reps.filter(F.octet_length("v") == size), forest, cosine))
-    unseen = reps.filter(~F.octet_length("v").isin(list(by_size)))  # lengths that the sample has not met: leaves of all rows
-    for r in unseen.groupBy(F.octet_length("v").alias("size")).count().collect():
-        parts.append(forest_links(reps.filter(F.octet_length("v") == r["size"]), Forest(np.zeros((1, r["size"] // 8)), 0, 1), cosine))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = cut(found)
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("a", "rep")
-    of_rep = reps.join(links, "rep", "left").join(roots, "rep", "left")
-    of_rep = of_rep.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    labelled = rows.withColumn("label", F.concat_ws("/", "label", F.octet_length("v")))
-    linked = labelled.join(of_rep, ["label", "v"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = every.join(linked.withColumnRenamed("id", id_col), id_col, "left")
-    component = F.coalesce("component_id", F.col(id_col).cast("long"))
-    return out.select(
-        id_col,
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col(id_col), F.lit(True)).alias("kept"),
-    )
+
+    def found() -> DataFrame:
+        columns = (F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("x"))
+        every = cut(df.select(F.monotonically_increasing_id().alias("rid"), *columns))
+        rows = cut(usable(every))
+        reps = cut(rows.groupBy("label", "v").agg(F.min("rid").alias("rep"), F.min("id").alias("least"), F.count("*").alias("n")))
+        links = cut(tile_links(cut(leaves(reps, cosine, trees, leaf)), cosine))
+        roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("a", "rep")
+        counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
+        of_rep = reps.join(counts, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        of_rep = of_rep.join(of_rep.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+        of_rep = of_rep.select("label", "v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", F.lit(True).alias("linked"))
+        linked = join_hot(rows, of_rep, ["label", "v"]).select("rid", "n_links", "component_id", "linked")
+        out = every.select("rid", "id").join(linked, "rid", "left")
+        component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).cast("long")
+        return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+    return apart(df.sparkSession, found)
 
 
 def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
