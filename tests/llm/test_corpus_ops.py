@@ -440,7 +440,7 @@ def test_forest_of_any_depth_has_recall(spark):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     n = int((u @ u.T >= 0.98).sum()) - 4000
     reps = spark.createDataFrame([(i, "1/32", 1, x.astype("<f8").tobytes()) for i, x in enumerate(v)], "rep long, label string, n long, v binary")
-    for leaf in (250, 8):  # depth 4 and depth 9, over one and two rounds
+    for leaf in (250, 8):  # depth 4 and depth 9, over one round and over three
         placed = op.cut(op.leaves(reps, 0.98, op.TREES, leaf))
         sizes = [x["count"] for x in placed.groupBy("node").count().collect()]
         assert len(sizes) >= 4 * 4000 / leaf and np.median(sizes) <= 1.2 * leaf

@@ -33,11 +33,11 @@ from wayfare.llm.components import components
 
 COSINE = 0.98
 #: Trees, vectors that a leaf should have, and the seed.
-TREES, LEAF, SEED = 4, 100, 17
+TREES, LEAF, SEED = 4, 400, 17
 #: Levels of a round, vectors of a node that its splits are fitted on, and directions that a split chooses from.
-LEVELS, FIT, CHOICES = 6, 4000, 4
+LEVELS, FIT, CHOICES = 4, 4000, 3
 #: A split that leaves more than this share of a node on one side is none.
-SHARE = 0.8
+SHARE = 0.65
 #: Rows of a chunk; a tile has two at most.
 CHUNK = 2000
 #: Half width of the spill band, in standard deviations of a borderline pair's difference along a random direction.
