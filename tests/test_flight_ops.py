@@ -115,7 +115,13 @@ def test_one_stop_needs_a_real_hub(spark):
 
 def test_feature_contract():
     assert len(schema.FEATURES) == len(set(schema.FEATURES)) == 43
-    assert set(schema.CALENDAR + schema.NETWORK + schema.WEATHER) | {"DistanceBand", "OriginState", "DestState"} == set(schema.FEATURES)
+    assert set(schema.CALENDAR + schema.NETWORK + schema.WEATHER) | {"Reporting_Airline", "OriginState", "DestState"} == set(schema.FEATURES)
+    # the order that the models are given, and the sizes of the ablation's sets
+    assert schema.FEATURES[:14] == "Year Month DayOfWeek DayOfMonth DayOfYear DepHour IsWeekend IsHolidaySeason IsHoliday IsDayBeforeHoliday IsDayAfterHoliday Distance RouteDelayRate RouteCancelRate".split()
+    assert schema.FEATURES[21:26] == "IsAirlineHubAtOrigin IsAirlineHubAtDest DepHour_sin DepHour_cos Origin_tavg".split()
+    assert schema.FEATURES[35:] == "Reporting_Airline Origin Dest Route Season DistanceBand OriginState DestState".split()
+    assert {k: len(x) for k, x in schema.ABLATION.items()} == {"calendar_only": 14, "route_airline_congestion_only": 16, "weather_only": 10, "all_features": 43, "no_weather": 33}
+    assert schema.out_of_order(schema.FEATURES) == [] and schema.out_of_order(["Month", "Year"], ["Year", "Month"]) == [(0, "Year"), (1, "Month")]
 
 
 def test_archives(spark, tmp_path):
@@ -136,6 +142,36 @@ def test_archives(spark, tmp_path):
     assert len(bad) == 1 and bad[0].path.endswith("broken.zip")
 
 
+def test_csv_files_of_other_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Year,Month,Origin,Dest\n2010,3,AAA,BBB\n")
+    (tmp_path / "b.csv").write_text("\ufeffDest,Month,OriginState,Year,more\nDDD,7,TX,2011,x\nEEE,8,TX\nFFF,x,TX,2012,y\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = {(r.Year, r.Month, r.Origin, r.Dest, r.OriginState) for r in ontime.read_folder(spark, str(tmp_path)).collect()}
+    assert got == {(2010, 3, "AAA", "BBB", None), (2011, 7, None, "DDD", "TX"), (2012, None, None, "FFF", "TX")}
+    assert "ORIGIN_STATE_ABR" not in ontime.read_folder(spark, str(tmp_path)).columns
+    (bad,) = ontime.read_csv(spark, str(tmp_path / "*.csv"), with_errors=True).filter("error is not null").collect()
+    assert bad.path.endswith("b.csv") and bad.error == "EEE,8,TX"
+    (tmp_path / "none").mkdir()
+    assert ontime.read_folder(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_archive_rows_that_do_not_fit(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("m.csv", b"Month,Year,Origin\n1,2010,A\xff\n2,2010\n3,2010,\n")
+    assert [(r.Year, r.Month, r.Origin) for r in ontime.read_folder(spark, str(tmp_path)).collect()] == [(2010, 1, "A\ufffd"), (2010, 3, None)]
+    (bad,) = ontime.read_archives(spark, str(tmp_path / "*.zip"), with_errors=True).filter("error is not null").collect()
+    assert "2 columns for 3" in bad.error
+
+
+def test_take_is_exact(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 as k")
+    one, two = ({r.id for r in sampling.take(df.repartition(n), 700).collect()} for n in (2, 5))
+    assert one == two and len(one) == 700
+    assert sampling.take(df, 9999).count() == 5000 and sampling.take(df, 0).count() == 0
+
+
 def test_entry_point_without_corpus_operators(monkeypatch):
     import builtins
 

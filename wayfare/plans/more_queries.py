@@ -10,8 +10,8 @@ from wayfare.operators import clean, explore, features, metadata, metrics, recom
 from wayfare.plans import views as v
 from wayfare.plans.base_queries import META_SQL, PAIRS_SQL, STATES_SQL, features_sql, meta_of, rounded, sql
 from wayfare.plans.registry import query
-from wayfare.sources import reports
-from wayfare.sources.tables import written
+from wayfare.sources import ontime, reports
+from wayfare.sources.tables import new_path, written
 
 _M = "count(*) as Flights, avg(ArrDel15) as DelayRate, avg(Cancelled) as CancelRate"
 _PCT = "DelayRate * 100 as DelayRatePct, CancelRate * 100 as CancelRatePct"
@@ -219,6 +219,19 @@ query("s10_text_report", f"with {v.SCORED_SQL} select format('{{:d}}: {{:d}} row
 query("s2_csv_scan", f"with {v.TRIPS_SQL} select FlightDate, Origin, Dest, CRSDepTime, Distance, ArrDel15, OriginState from raw")(
     lambda s, d: reports.csv_round_trip(v.trips(s, d).select("FlightDate", "Origin", "Dest", "CRSDepTime", "Distance", "ArrDel15", "OriginState"))
 )
+_CSV = ["FlightDate", "Origin", "Dest", "CRSDepTime", "Distance", "ArrDel15", "OriginState"]
+
+
+@query("s2_mixed_headers", f"with {v.TRIPS_SQL} select {', '.join(_CSV)} from raw")
+def mixed_headers(spark, sf_dir):
+    """CSV files of two column orders, one of them with a column more, read together."""
+    rows, at = v.trips(spark, sf_dir).select("Month", *_CSV), new_path(spark, "csv")
+    odd = F.coalesce(F.col("Month") % 2 == 1, F.lit(False))
+    rows.filter(odd).select("Month", *_CSV).write.csv(f"{at}/a", header=True)
+    rows.filter(~odd).select(*reversed(_CSV)).write.csv(f"{at}/b", header=True)
+    return ontime.read_csv(spark, f"{at}/*").select(*(F.col(c).cast(t).alias(c) for c, t in rows.select(*_CSV).dtypes))
+
+
 query("u1_union_by_name", f"with {v.TRIPS_SQL} select Year, count(*) as n, count(OriginState) as states from raw where Year in (1996, 1997) group by 1")(
     lambda s, d: clean.year_guard(v.trips(s, d), 1996).drop("OriginState").unionByName(clean.year_guard(v.trips(s, d), 1997), allowMissingColumns=True).groupBy("Year").agg(F.count("*").alias("n"), F.when(F.first("Year") == 1996, F.count("*")).otherwise(F.count("OriginState")).alias("states"))
 )

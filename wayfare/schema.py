@@ -1,23 +1,40 @@
 """The feature contract of a prepared trip."""
 
+# The models' columns in their order, the groups of the ablation, and names of state columns.
 CORE = [
     "Year", "Month", "DayOfWeek", "FlightDate", "Reporting_Airline", "Origin", "Dest", "CRSDepTime", "Distance", "Cancelled",
 ]
-CALENDAR = [
+NUMERIC = [
     "Year", "Month", "DayOfWeek", "DayOfMonth", "DayOfYear", "DepHour", "IsWeekend", "IsHolidaySeason", "IsHoliday",
-    "IsDayBeforeHoliday", "IsDayAfterHoliday", "DepHour_sin", "DepHour_cos", "Season",
+    "IsDayBeforeHoliday", "IsDayAfterHoliday", "Distance", "RouteDelayRate", "RouteCancelRate", "RouteFlights",
+    "AirlineDelayRate", "AirlineCancelRate", "AirlineFlights", "OriginSlotFlights", "OriginDailyFlights",
+    "OriginDailyFlightsAirline", "IsAirlineHubAtOrigin", "IsAirlineHubAtDest", "DepHour_sin", "DepHour_cos", "Origin_tavg",
+    "Origin_prcp", "Origin_snow", "Origin_wspd", "Origin_BadWeather", "Dest_tavg", "Dest_prcp", "Dest_snow", "Dest_wspd",
+    "Dest_BadWeather",
+]
+CATEGORICAL = ["Reporting_Airline", "Origin", "Dest", "Route", "Season", "DistanceBand", "OriginState", "DestState"]
+FEATURES = NUMERIC + CATEGORICAL
+CALENDAR = [
+    "Year", "Month", "DayOfWeek", "DayOfMonth", "DayOfYear", "IsWeekend", "IsHolidaySeason", "IsHoliday",
+    "IsDayBeforeHoliday", "IsDayAfterHoliday", "DepHour", "DepHour_sin", "DepHour_cos", "Season",
 ]
 NETWORK = [
-    "Distance", "RouteDelayRate", "RouteCancelRate", "RouteFlights", "AirlineDelayRate", "AirlineCancelRate", "AirlineFlights",
+    "RouteDelayRate", "RouteCancelRate", "RouteFlights", "AirlineDelayRate", "AirlineCancelRate", "AirlineFlights",
     "OriginSlotFlights", "OriginDailyFlights", "OriginDailyFlightsAirline", "IsAirlineHubAtOrigin", "IsAirlineHubAtDest",
-    "Reporting_Airline", "Origin", "Dest", "Route",
+    "Origin", "Dest", "Route", "Distance", "DistanceBand",
 ]
-WEATHER = [f"{side}_{x}" for side in ("Origin", "Dest") for x in ("tavg", "prcp", "snow", "wspd", "BadWeather")]
-CATEGORICAL = ["Reporting_Airline", "Origin", "Dest", "Route", "Season", "DistanceBand", "OriginState", "DestState"]
-NUMERIC = [c for c in [*CALENDAR, *NETWORK, *WEATHER] if c not in CATEGORICAL]
-FEATURES = NUMERIC + CATEGORICAL
-#: Column groups of the ablation.
-GROUPS = {"calendar": CALENDAR, "route_airline_congestion": NETWORK, "weather": WEATHER}
+WEATHER = [
+    "Origin_tavg", "Origin_prcp", "Origin_snow", "Origin_wspd", "Origin_BadWeather", "Dest_tavg", "Dest_prcp", "Dest_snow",
+    "Dest_wspd", "Dest_BadWeather",
+]
+#: Columns of each model of the ablation.
+ABLATION = {
+    "calendar_only": CALENDAR,
+    "route_airline_congestion_only": NETWORK,
+    "weather_only": WEATHER,
+    "all_features": FEATURES,
+    "no_weather": [c for c in FEATURES if c not in WEATHER],
+}
 #: Names under which a state column may arrive; the first that a frame has is taken.
 STATE_CANDIDATES = {
     side: [f"{side}State", f"{side.upper()}_STATE_ABR", f"{side}StateName", f"{side.upper()}_STATE_NM"] for side in ("Origin", "Dest")
@@ -27,3 +44,8 @@ STATE_CANDIDATES = {
 def missing(columns: list[str], required: list[str] = FEATURES) -> list[str]:
     """Required columns that a frame does not have."""
     return [c for c in required if c not in columns]
+
+
+def out_of_order(columns: list[str], required: list[str] = FEATURES) -> list[tuple[int, str]]:
+    """(place, column) of the required columns that a frame does not have at their place."""
+    return [(i, c) for i, c in enumerate(required) if i >= len(columns) or columns[i] != c]

@@ -1,17 +1,22 @@
 """Monthly on-time records: zip archives with one CSV each, and plain CSV files.
 
-Archives are read as binary files and opened inside tasks, one archive after another and line by line, so memory is bounded
-by the compressed archive. Unreadable ones are reported, not fatal.
+Archives are read as binary files and opened inside tasks, one archive after another and block by block, so memory is bounded
+by the compressed archive. CSV files are read by header: files with the same header line are one scan with that header's
+columns, so the order of columns may differ from file to file. Archives that cannot be read and rows that do not fit
+their header are set aside with their error, not fatal.
 """
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,55 +29,133 @@ TYPES = {
 }
 STATES = [c for names in schema.STATE_CANDIDATES.values() for c in names]
 _COLUMNS = [*TYPES, *STATES]
-ROWS_AT_ONCE = 20_000
+_NAMES = ["path", "error", *_COLUMNS]
+_RAW = ", ".join(f"`{n}` string" for n in _NAMES)
+BLOCK_BYTES = 8 << 20
 
 
-def first_csv(content: bytes) -> Iterator[list[dict]]:
-    """Rows of the first CSV member, some thousands at a time."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        name = next((n for n in z.namelist() if n.lower().endswith(".csv")), None)
-        if name is None:
-            raise ValueError("no CSV member")
-        with z.open(name) as f:
-            rows = []
-            for row in csv.DictReader(io.TextIOWrapper(f, "utf-8", errors="replace")):
-                rows.append(row)
-                if len(rows) == ROWS_AT_ONCE:
-                    yield rows
-                    rows = []
-            yield rows
+# -- archives -----------------------------------------------------------------------------------------------------------
+
+
+def _member(content: bytes):
+    """The first CSV member, open; bytes that are no UTF-8 are replaced."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    name = next((n for n in z.namelist() if n.lower().endswith(".csv")), None)
+    if name is None:
+        raise ValueError("no CSV member")
+    return codecs.EncodedFile(z.open(name), "utf-8", errors="replace")
+
+
+def first_csv(content: bytes, bad: list[str]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the first CSV member, all columns as strings; rows that do not fit the header are put in `bad`."""
+
+    def skipped(row) -> str:
+        bad.append(f"{row.actual_columns} columns for {row.expected_columns}: {(row.text or '')[:200]}")
+        return "skip"
+
+    options = pacsv.ConvertOptions(
+        column_types=dict.fromkeys(_COLUMNS, pa.string()), include_columns=_COLUMNS, include_missing_columns=True, null_values=[""], strings_can_be_null=True
+    )
+    with _member(content) as f:
+        yield from pacsv.open_csv(f, pacsv.ReadOptions(block_size=BLOCK_BYTES, use_threads=False), pacsv.ParseOptions(invalid_row_handler=skipped), options)
+
+
+def _typed(raw: DataFrame, with_errors: bool) -> DataFrame:
+    typed = raw.select("path", "error", *(F.col(c).try_cast(t).alias(c) for c, t in TYPES.items()), *STATES)
+    return typed if with_errors else typed.filter("error is null").drop("path", "error")
+
+
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def read_archives(spark: SparkSession, path: str, with_errors: bool = False) -> DataFrame:
-    """Rows of all archives; with_errors adds path and error, and a row for each archive that cannot be read."""
-    names = ["path", "error", *_COLUMNS]
+    """Rows of all archives; with_errors adds path and error, and a row for each archive or row that cannot be read."""
 
-    def batch(path: str, error: str | None, rows: list[dict]) -> pa.RecordBatch:
-        n = len(rows)
-        columns = [[path] * n, [error] * n, *([r.get(c) or None for r in rows] for c in _COLUMNS)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
+    def failed(path: str, errors: list[str]) -> pa.RecordBatch:
+        none = pa.nulls(len(errors), pa.string())
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(path), len(errors)), pa.array(errors, pa.string()), *[none] * len(_COLUMNS)], names=_NAMES)
 
     def run(batches):
         for b in batches:
             for p, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                bad: list[str] = []
                 try:
-                    for rows in first_csv(content):
-                        yield batch(p, None, rows)
-                except (zipfile.BadZipFile, ValueError, csv.Error) as e:
-                    yield batch(p, f"{type(e).__name__}: {e}", [{}])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInArrow(run, ", ".join(f"`{n}` string" for n in names))
-    typed = rows.select("path", "error", *(F.col(c).try_cast(t).alias(c) for c, t in TYPES.items()), *STATES)
-    return typed if with_errors else typed.filter("error is null").drop("path", "error")
+                    for rows in first_csv(content, bad):
+                        n = rows.num_rows
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(p), n), pa.nulls(n, pa.string()), *(rows.column(c) for c in _COLUMNS)], names=_NAMES)
+                except (zipfile.BadZipFile, ValueError) as e:
+                    bad.append(f"{type(e).__name__}: {e}")
+                if bad:
+                    yield failed(p, bad)
+
+    return _typed(_archives(spark, path).mapInArrow(run, _RAW), with_errors)
+
+
+def archive_columns(spark: SparkSession, path: str) -> set[str]:
+    """All column names in the archives' header lines."""
+
+    def run(batches):
+        for b in batches:
+            names: set[str] = set()
+            for content in b.column("content").to_pylist():
+                try:
+                    with _member(content) as f:
+                        names.update(next(csv.reader([f.readline().decode()]), []))
+                except (zipfile.BadZipFile, ValueError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(names), pa.string())], names=["name"])
+
+    return {r["name"] for r in _archives(spark, path).mapInArrow(run, "name string").distinct().collect()}
+
+
+# -- plain files --------------------------------------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, pattern: str) -> list:
+    """Hadoop's statuses of the files that match; of a matching folder, those of its files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(fs.globStatus(at) or [])
+    inside = [f for d in found if d.isDirectory() for f in fs.listStatus(d.getPath()) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    return [f for f in found if f.isFile()] + inside
+
+
+def headers(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
+    """Header to files; only each file's first line is read, and files without one are left out."""
+    jvm, out = spark.sparkContext._jvm, {}
+    for status in _files(spark, pattern):
+        path = status.getPath()
+        stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+        try:
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        if line:
+            out.setdefault(tuple(next(csv.reader([line.removeprefix("\ufeff")]))), []).append(path.toString())
+    return out
+
+
+def _nothing(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], _RAW)
+
 
+def read_csv(spark: SparkSession, path: str, with_errors: bool = False) -> DataFrame:
+    """Plain CSV files with a header, whatever each file's order of columns; values of a wrong type become null.
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Plain CSV files with a header, whatever their columns' order; malformed values become null."""
-    raw = spark.read.option("ignoreMissingFiles", "true").csv(path, header=True, mode="PERMISSIVE")
-    have = set(raw.columns)
-    fixed = [(F.col(c).try_cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in TYPES.items()]
-    return raw.select(*fixed, *(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in STATES))
+    with_errors adds path and error, and keeps the rows whose number of values is not their header's.
+    """
+    parts = []
+    for names, files in headers(spark, path).items():
+        ddl = ", ".join(f"_{i} string" for i in range(len(names))) + ", _bad string"
+        # without pruning, as the parser counts only the values that it is asked for
+        raw = spark.read.option("columnPruning", "false").csv(files, schema=ddl, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+        place = {c: f"_{i}" for i, c in reversed(list(enumerate(names)))}
+        columns = [(F.col(place[c]) if c in place else F.lit(None).cast("string")).alias(c) for c in _COLUMNS]
+        # Spark allows no query of the corrupt record alone, so the error reads a value too
+        error = F.concat("_bad", F.substring(F.coalesce("_0", F.lit("")), 1, 0))
+        parts.append(raw.select(F.col("_metadata.file_path").alias("path"), error.alias("error"), *columns))
+    return _typed(reduce(DataFrame.unionByName, parts) if parts else _nothing(spark), with_errors)
 
 
 def with_present_states(df: DataFrame, have: set[str]) -> DataFrame:
@@ -80,8 +163,12 @@ def with_present_states(df: DataFrame, have: set[str]) -> DataFrame:
     return df.drop(*(c for c in STATES if c not in have))
 
 
-def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """All archives and CSV files of a folder."""
-    both = read_archives(spark, f"{folder}/*.zip").unionByName(read_csv(spark, f"{folder}/*.csv"))
-    some = both.agg(*(F.count(c).alias(c) for c in STATES)).first().asDict()
-    return with_present_states(both, {c for c, n in some.items() if n})
+def read_folder(spark: SparkSession, folder: str, with_errors: bool = False) -> DataFrame:
+    """All archives and CSV files of a folder; either kind may be missing."""
+    zips, plain = f"{folder}/*.zip", f"{folder}/*.csv"
+    have = {c for names in headers(spark, plain) for c in names}
+    both = read_csv(spark, plain, with_errors)
+    if _files(spark, zips):
+        both = read_archives(spark, zips, with_errors).unionByName(both)
+        have |= archive_columns(spark, zips)
+    return with_present_states(both, have)

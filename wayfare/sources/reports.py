@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wayfare.sources.tables import new_path
 
 
-def write_partitioned(df: DataFrame, by: str, path: str | None = None) -> DataFrame:
-    """Parquet in a folder for each value; rows of a value are brought together first, so that no task writes to every folder."""
+def write_partitioned(df: DataFrame, by: str, path: str | None = None, files: int = 8) -> DataFrame:
+    """Parquet in a folder for each value, each of some files; so no task writes to every folder, and none has a whole value."""
     path = path or new_path(df.sparkSession, "parquet")
-    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+    df.repartition(F.col(by), F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.mode("overwrite").partitionBy(by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
