@@ -633,6 +633,78 @@ def test_language_model_has_all_words(spark):
     assert all(few[i].lang_pred == x.lang_pred and abs(few[i].score - x.score) < 1e-9 for i, x in many.items()) and len(few) == len(many)
 
 
+def test_repetitive_texts_take_linear_time():
+    import time
+
+    from wayfare.llm import op01_secrets, op08_licenses
+
+    fuzzy = op08_licenses.Fuzzy(op08_licenses.NOTICES, op08_licenses.CHARS_PER_ERROR)
+    for scan, unit in ((op01_secrets.scan, "http:"), (lambda t: op08_licenses.scan(t, fuzzy), "licensed under the "), (lambda t: op08_licenses.scan(t, fuzzy), "cc by ")):
+        start = time.process_time()
+        scan(unit * (300_000 // len(unit)) + " x://y")
+        assert time.process_time() - start < 10  # hours where time is quadratic
+
+
+def test_fuzzy_notices_by_edit_distance():
+    from wayfare.llm import op08_licenses as op
+
+    def least(notice, text):
+        row = [0] * (len(text) + 1)  # edits to the best end of a match at each place
+        for i, c in enumerate(notice, 1):
+            new = [i]
+            for j, d in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row)
+
+    fuzzy, r = op.Fuzzy(op.NOTICES, op.CHARS_PER_ERROR), random.Random(6)
+    for k in range(120):
+        notice = list(r.choice(list(op.NOTICES)))
+        for _ in range(r.randrange(0, 9)):
+            at = r.randrange(len(notice))
+            notice[at : at + r.randrange(2)] = r.choice(["", "x", "q"])
+        text = " ".join(" ".join([*words(k, 8), "".join(notice), *words(k + 1, 8)]).split())
+        want = {label for n, label in op.NOTICES.items() if least(n, text) <= max(1, len(n) // op.CHARS_PER_ERROR)}
+        assert {x[3] for x in fuzzy.find(text)} == want, text
+
+
+def test_toxicity_learns_as_plain_counting_and_holds_out(spark):
+    from wayfare.llm import op09_toxicity as op
+
+    r = random.Random(12)
+    plain, foul = [f"word{i}" for i in range(300)], ["m0ron", "scumbаg", "scumbags", "idiot"]  # one with a look-alike letter
+    texts, toxic = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        w = [r.choice(plain) for _ in range(40)]
+        if bad:
+            w[r.randrange(40)] = r.choice(foul)
+            w.append(r.choice(foul))
+        elif i % 10 == 1:
+            w[5:7] = ["idiot", "board"]  # an exception phrase
+        texts.append(" ".join(w))
+        toxic.append(int(bad))
+    rows = spark.createDataFrame(list(zip(texts, map(bool, toxic))), "_text string, _toxic boolean")
+    weights, exceptions = op.learn(rows)
+    n1, n0 = sum(toxic), 600 - sum(toxic)
+    pos, neg = Counter(), Counter()
+    for t, y in zip(texts, toxic):
+        (pos if y else neg).update({x for w in set(re.findall(r"[^\W\d_]+", op.fold(t))) for x in op.terms(w)})
+    odds = {t: math.log((pos[t] + 0.5) / (n1 + 1)) - math.log((neg[t] + 0.5) / (n0 + 1)) for t in pos if pos[t] >= op.LEAST_DOCS and len(t) >= 3}
+    want = {}
+    for t in sorted((t for t in odds if odds[t] >= op.LEAST_ODDS), key=len):
+        if all(odds[t] > want[t[:k]] + 1.0 for k in range(3, len(t)) if t[:k] in want):
+            want[t] = odds[t]
+    assert weights.keys() == want.keys() and all(math.isclose(weights[t], want[t]) for t in want)
+    assert all(isinstance(x, tuple) and len(x) == 2 for x in exceptions)
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, 0, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    got = rows_of(op.score_toxicity(docs, op.fit(docs, labels)))
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    pairs = [(got[i].score, got[j].score) for i in held for j in held if toxic[i] > toxic[j]]
+    assert sum((x > y) + 0.5 * (x == y) for x, y in pairs) / len(pairs) > 0.95
+
+
 def test_license_copies_side_by_side():
     from wayfare.llm import op08_licenses as op
 
