@@ -238,13 +238,14 @@ def test_safer_hours_of_all_requests(spark, monkeypatch):
 
 
 def test_bootstrap_queries_take_scores_as_they_are(spark, monkeypatch):
+    from wayfare.plans import all_queries
     from wayfare.plans import views as v
-    from wayfare.plans.registry import QUERIES
 
+    queries = all_queries()[0]
     rows = [(i % 2, 0.5 + i * 1e-4 * (1 if i % 2 else -1), 0.5) for i in range(40)]  # p_a ranks perfectly, but not at two digits
     monkeypatch.setattr(v, "scored", lambda s, d: s.createDataFrame(rows, "label int, p_a double, p_b double"))
     for name in ("e18_bootstrap", "e18_bootstrap_auc"):
-        r = QUERIES[name](spark, "").first()
+        r = queries[name](spark, "").first()
         assert r.replicates == 400
     assert abs(r.mean_difference + 0.5) < 1e-9 and abs(r.low + 0.5) < 1e-9 and abs(r.high + 0.5) < 1e-9
 
@@ -293,3 +294,13 @@ def test_quantiles_by_ranks(spark):
     want = df.agg(F.percentile("p", F.array(*map(F.lit, qs))).alias("c")).first().c
     assert all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(found.first().cut, want))
     assert metrics.quantile(df.limit(0), 0.9).first().cut is None
+
+
+def test_score_ranges_are_even_however_close_scores_lie(spark):
+    df = spark.range(20_000).select((F.lit(0.001) + F.col("id") * 1e-9).alias("p"), (F.col("id") % 7 == 0).cast("int").alias("label"))
+    sizes = metrics.ranged(df).groupBy("_r").agg(F.count("*").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")).orderBy("_r").collect()
+    assert len(sizes) > 0.9 * metrics.RANGES and max(r.n for r in sizes) < 60
+    assert all(x.hi < y.lo for x, y in zip(sizes, sizes[1:])) and sum(r.n for r in sizes) == 20_000
+    assert abs(metrics.ranking(df).first().roc_auc - 0.5) < 0.01
+    outside = spark.createDataFrame([(-5.0, 0), (7.0, 1), (7.5, 0), (9.0, 1)], "p double, label int")
+    assert metrics.ranking(outside).first().roc_auc == 0.75
