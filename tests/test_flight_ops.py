@@ -304,3 +304,26 @@ def test_score_ranges_are_even_however_close_scores_lie(spark):
     assert abs(metrics.ranking(df).first().roc_auc - 0.5) < 0.01
     outside = spark.createDataFrame([(-5.0, 0), (7.0, 1), (7.5, 0), (9.0, 1)], "p double, label int")
     assert metrics.ranking(outside).first().roc_auc == 0.75
+
+
+def test_metric_rows_and_their_report(spark):
+    from wayfare.sources import reports
+
+    scored = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1)], "label int, p double")
+    one = metrics.metric_row(scored, "trees", "test", 0.5, top=0.9)
+    none = metrics.metric_row(scored.filter("p > 2"), "trees", "val", 0.5)
+    assert one.columns == ["context", "split", "threshold", "roc_auc", "pr_auc", "brier", "top_bucket_rate", "top_bucket_quantile", "accuracy", "precision_pos", "recall_pos", "f1_pos"]
+    r = one.first()
+    assert (r.roc_auc, r.top_bucket_rate, r.top_bucket_quantile, r.accuracy, r.recall_pos) == (0.75, 1.0, 0.9, 0.75, 1.0)
+    lines = [x.value for x in reports.metric_lines(one.unionByName(none)).collect()]
+    assert lines[:3] == ["trees / test", "Threshold: 0.500", "ROC-AUC: 0.7500"]
+    assert lines[9:12] == ["Top 10% bucket positive rate: 1.0000", "trees / val", "Threshold: 0.500"]
+    assert lines[12] == "ROC-AUC: N/A" and not any(x.startswith("Top") for x in lines[12:])
+
+
+def test_backtest_summary_lines(spark):
+    from wayfare.sources import reports
+
+    core = metrics.core(spark.createDataFrame([(0, 0.9), (0, 0.2)], "label int, p double")).select(F.lit("Cancelled").alias("task"), "*")
+    lines = [x.value for x in reports.backtest_lines(core).collect()]
+    assert lines == ["Task: Cancelled", "Samples: 2", "Base rate: 0.0000", "ROC-AUC: N/A", "PR-AUC: N/A", "Brier: 0.4250", "Top bucket positive rate: 0.0000", "Share of all events in top bucket: N/A"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,12 +80,17 @@ _REASONS = """list_filter([case when Month in (11, 12, 1) then 'holiday_season'
 query("r1_explain", f"with {META_SQL}, {v.REQUESTS_SQL}, {features_sql('requests')} select request_id, array_to_string({_REASONS}, ',') as reasons from (select built.*, g.global_delay_rate as gd, g.global_cancel_rate as gc, g.global_slot_mean as gs from built cross join defaults g)")(
     lambda s, d: (lambda meta: recommend.explain(features.build_features(_some_requests(s, d), meta), meta.defaults).select("request_id", F.concat_ws(",", "reasons").alias("reasons")))(meta_of(s, d))
 )
-_OTHER_HOURS = "other as (select * exclude (DepHour), cast(h as int) as DepHour, DepHour as own from requests, range(24) t(h) where Origin = 'NATION_1')"
-query("r2_safer_hours", sql(f"{META_SQL}, {v.REQUESTS_SQL}, {_OTHER_HOURS}, {features_sql('other')}", f"select request_id, cast(place as int) as place, DepHour, p from (select *, row_number() over (partition by request_id order by round(p, 9), DepHour) as place from (select request_id, DepHour, {SCORE_SQL} as p from built where DepHour <> own)) where place <= 3", "p"))(
-    lambda s, d: recommend.safer_hours(_some_requests(s, d).filter("Origin = 'NATION_1'"), meta_of(s, d), lambda x: expression_score(x).withColumn("p", F.round("p", 9)))
-)
-# the SQL above is of one origin; this query is of all requests and has none, tests compare it with brute force
-query("r2_safer_hours_all")(lambda s, d: recommend.safer_hours(_some_requests(s, d), meta_of(s, d), lambda x: expression_score(x).withColumn("p", F.round("p", 9))))
+_OTHER_HOURS = "other as (select * exclude (DepHour), cast(h as int) as DepHour, DepHour as own from requests, range(24) t(h))"
+_SAFER_SQL = sql(f"{META_SQL}, {v.REQUESTS_SQL}, {_OTHER_HOURS}, {features_sql('other')}", f"select request_id, cast(place as int) as place, DepHour, p from (select *, row_number() over (partition by request_id order by round(p, 9), DepHour) as place from (select request_id, DepHour, {SCORE_SQL} as p from built where DepHour <> own)) where place <= 3", "p")
+
+
+@query("r2_safer_hours", _SAFER_SQL)
+@query("r2_safer_hours_all", _SAFER_SQL)
+def safer_hours(spark, sf_dir):
+    """For all requests; scores equal to nine digits are ties."""
+    return recommend.safer_hours(_some_requests(spark, sf_dir), meta_of(spark, sf_dir), lambda x: expression_score(x).withColumn("p", F.round("p", 9)))
+
+
 _OTHER_AIRLINES = "other as (select r.* exclude (Reporting_Airline), m.Reporting_Airline, r.Reporting_Airline as own from requests r join m9 m on m.Origin = r.Origin and m.Dest = r.Dest where m.RouteFlights > 0)"
 query("r3_safer_airlines", sql(f"{META_SQL}, {v.REQUESTS_SQL}, {_OTHER_AIRLINES}, {features_sql('other')}", f"select request_id, cast(place as int) as place, Reporting_Airline, p from (select *, row_number() over (partition by request_id order by round(p, 9), Reporting_Airline) as place from (select request_id, Reporting_Airline, {SCORE_SQL} as p from built where Reporting_Airline <> own)) where place <= 3", "p"))(
     lambda s, d: recommend.safer_airlines(_some_requests(s, d), meta_of(s, d), lambda x: expression_score(x).withColumn("p", F.round("p", 9)))
@@ -197,6 +204,24 @@ query("e20_metric_rows", sql(v.SCORED_SQL, "select 'all' as context, cast(null a
         metrics.brier(v.scored(s, d), ["Year"]).select(F.lit("year").alias("context"), "Year", "brier")
     ))
 )
+_ROWS_CUM = _CUM.format(v=_MODELS, k="model, split,", t="models", w="partition by model, split")
+_ROWS_SQL = f"""{_ROWS_CUM}, areas as (select model, split, {_AUC} as roc_auc, {_AP} as pr_auc from c group by 1, 2),
+cuts as (select model, split, quantile_cont(p, 0.9) as t from models group by 1, 2),
+sums as (select model, split, avg((p - label) * (p - label)) as brier, avg(label) filter (p >= t) as top, count(*) as n, count(*) filter (p >= 0.4::double and label = 1) as tp,
+  count(*) filter (p >= 0.4::double) as up, count(*) filter (label = 1) as pos, count(*) filter ((p >= 0.4::double) = (label = 1)) as good from models join cuts using (model, split) group by 1, 2),
+met as (select model as context, split, 0.4::double as threshold, roc_auc, pr_auc, brier, case when model = 'score' then top end as top_bucket_rate, case when model = 'score' then 0.9::double end as top_bucket_quantile,
+  good / n as accuracy, coalesce(tp / nullif(up, 0), 0) as precision_pos, coalesce(tp / nullif(pos, 0), 0) as recall_pos, coalesce(2 * tp / nullif(up + pos, 0), 0) as f1_pos from areas join sums using (model, split))"""
+
+
+def _metric_table(s, d) -> DataFrame:
+    """Rows of two models on two splits; the top bucket is asked of one model."""
+    rows = written(_two_models(s, d))
+    of = lambda model, split: rows.filter((F.col("model") == model) & (F.col("split") == split))
+    tops = {"score": 0.9, "hour": None}
+    return reduce(DataFrame.unionByName, [metrics.metric_row(of(m, x), m, x, 0.4, top) for m, top in tops.items() for x in ("val", "test")])
+
+
+query("e20_metric_table", sql(_ROWS_SQL, "select * from met", "roc_auc pr_auc brier top_bucket_rate accuracy precision_pos recall_pos f1_pos"))(lambda s, d: rounded(_metric_table(s, d)))
 query("e23_quality", f"with {v.SCORED_SQL} select 'p' as \"check\", count(*) filter (p is null) as bad from scored union all select 'p_b', count(*) filter (p_b is null) from scored union all select 'p outside 0..1', count(*) filter (p < 0 or p > 1) from scored")(
     lambda s, d: metrics.quality(v.scored(s, d), ["p", "p_b"], "p")
 )
@@ -216,6 +241,30 @@ query("s9_csv_report", sql(v.SCORED_SQL, "select Year, count(*) as n, round(avg(
 query("s10_text_report", f"with {v.SCORED_SQL} select format('{{:d}}: {{:d}} rows, base rate {{:.4f}}', cast(Year as bigint), count(*), avg(label)) as value from scored group by Year")(
     lambda s, d: reports.write_text(v.scored(s, d).groupBy("Year").agg(F.count("*").alias("n"), F.avg("label").alias("r")).select(F.format_string("%d: %d rows, base rate %.4f", "Year", "n", "r").alias("value")))
 )
+_F4 = lambda label, c: f"'{label}: ' || coalesce(format('{{:.4f}}', round({c}, 9)), 'N/A')"
+_MET_LINES = ", ".join(["context || ' / ' || split", "'Threshold: ' || format('{:.3f}', threshold)", *(_F4(k, c) for k, c in reports.METRIC_LINES.items()),
+    "case when top_bucket_quantile is not null then 'Top ' || cast(cast(round((1 - top_bucket_quantile) * 100) as int) as varchar) || '% bucket positive rate: ' || coalesce(format('{:.4f}', round(top_bucket_rate, 9)), 'N/A') end"])
+query("s10_metric_report", f"with {_ROWS_SQL} select value from (select unnest([{_MET_LINES}]) as value from met) where value is not null")(
+    lambda s, d: reports.write_text(reports.metric_lines(rounded(_metric_table(s, d))))
+)
+_TASKS = f"""{v.CLEAN_SQL}, tasks as (select 'ArrDel15' as task, cast(ArrDel15 as int) as label, score as p from clean where Year = 2001 and Cancelled = 0 and ArrDel15 is not null
+  union all select 'Cancelled', cast(Cancelled as int), score from clean where Year = 2001 and Cancelled in (0, 1))"""
+_TASKS_CUM = _CUM.format(v=_TASKS, k="task,", t="tasks", w="partition by task")
+_BACK_SQL = f"""{_TASKS_CUM}, areas as (select task, {_AUC} as roc_auc, {_AP} as pr_auc from c group by 1), cuts as (select task, quantile_cont(p, 0.9) as t from tasks group by 1),
+sums as (select task, count(*) as n, avg(label) as base_rate, avg((p - label) * (p - label)) as brier, avg(label) filter (p >= t) as top_rate, sum(label) filter (p >= t) / nullif(sum(label), 0) as event_share from tasks join cuts using (task) group by 1),
+back as (select * from areas join sums using (task))"""
+_BACK_LINES = ", ".join(["'Task: ' || task", "'Samples: ' || cast(n as varchar)", *(_F4(k, c) for k, c in reports.BACKTEST_LINES.items())])
+
+
+@query("s10_backtest_summary", f"with {_BACK_SQL} select unnest([{_BACK_LINES}]) as value from back")
+def backtest_summary(spark, sf_dir):
+    """Summary of both tasks on the last year's trips, with the fixed score in the place of a model's."""
+    rows = written(clean.year_guard(v.cleaned(spark, sf_dir), 2001))
+    tasks = (("ArrDel15", clean.delay_labelled(rows)), ("Cancelled", clean.cancel_labelled(rows)))
+    cores = [metrics.core(x.select(F.col(c).cast("int").alias("label"), F.col("score").alias("p"))).select(F.lit(c).alias("task"), "*") for c, x in tasks]
+    return reports.write_text(reports.backtest_lines(rounded(cores[0].unionByName(cores[1]))))
+
+
 query("s2_csv_scan", f"with {v.TRIPS_SQL} select FlightDate, Origin, Dest, CRSDepTime, Distance, ArrDel15, OriginState from raw")(
     lambda s, d: reports.csv_round_trip(v.trips(s, d).select("FlightDate", "Origin", "Dest", "CRSDepTime", "Distance", "ArrDel15", "OriginState"))
 )

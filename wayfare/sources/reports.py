@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.sources.tables import new_path
@@ -29,6 +29,39 @@ def write_text(lines: DataFrame, path: str | None = None) -> DataFrame:
     return lines.sparkSession.read.text(path)
 
 
+def _value(c: str) -> Column:
+    return F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)).otherwise("N/A")
+
+
+def _lines(rows: DataFrame, order: list[str], lines: list[Column]) -> DataFrame:
+    """The lines of each row in order, null ones left out; reports are small, so one task sorts them."""
+    numbered = rows.select(*order, F.posexplode(F.array(*lines)).alias("_n", "value")).filter("value is not null")
+    return numbered.coalesce(1).sortWithinPartitions(*order, "_n").select("value")
+
+
+#: Labels of a metric row's lines.
+METRIC_LINES = {"ROC-AUC": "roc_auc", "PR-AUC": "pr_auc", "Brier": "brier", "Accuracy": "accuracy", "Precision": "precision_pos", "Recall": "recall_pos", "F1 (pos)": "f1_pos"}
+
+
+def metric_lines(rows: DataFrame) -> DataFrame:
+    """Text of a metric table: a heading and a line a metric for each row; missing values are N/A, an unasked top bucket has no line."""
+    head = [F.concat_ws(" / ", F.col("context"), F.col("split")), F.concat(F.lit("Threshold: "), F.format_string("%.3f", "threshold"))]
+    body = [F.concat(F.lit(f"{label}: "), _value(c)) for label, c in METRIC_LINES.items()]
+    share = F.round((1 - F.col("top_bucket_quantile")) * 100).cast("int")
+    top = F.when(F.col("top_bucket_quantile").isNotNull(), F.concat(F.lit("Top "), share.cast("string"), F.lit("% bucket positive rate: "), _value("top_bucket_rate")))
+    return _lines(rows, ["context", "split"], [*head, *body, top])
+
+
+#: Labels of a backtest's lines.
+BACKTEST_LINES = {"Base rate": "base_rate", "ROC-AUC": "roc_auc", "PR-AUC": "pr_auc", "Brier": "brier", "Top bucket positive rate": "top_rate", "Share of all events in top bucket": "event_share"}
+
+
+def backtest_lines(core: DataFrame) -> DataFrame:
+    """Text of a backtest: a block for each task with its rows, base rate, ranking metrics, Brier score and top bucket."""
+    head = [F.concat(F.lit("Task: "), F.col("task")), F.concat(F.lit("Samples: "), F.col("n").cast("string"))]
+    return _lines(core, ["task"], [*head, *(F.concat(F.lit(f"{label}: "), _value(c)) for label, c in BACKTEST_LINES.items())])
+
+
 def csv_round_trip(df: DataFrame, path: str | None = None) -> DataFrame:
     """CSV files with a header, read with the frame's own schema."""
     path = path or new_path(df.sparkSession, "csv")
