@@ -1,10 +1,10 @@
 """Operator 10, embedding near-duplicates by a forest of random projection trees.
 
 Equal vectors of a label are merged into one with a count. Every label grows TREES trees from its own vectors: a node of over
-LEAF vectors is split at the median of a random direction, and vectors near the split go to both sides (spill overlap), so a
-close pair shares a leaf of some tree almost surely. Trees grow by LEVELS levels a round, as deep as the data need: the
+LEAF vectors is split at a place of a random direction, the median if vectors lie evenly, else beside what is dense (best_cut),
+and vectors near the split go to both sides (spill overlap), so a close pair shares a leaf of some tree almost surely. Trees grow by LEVELS levels a round, as deep as the data need: the
 splits of a node are fitted in a task on about FIT of its vectors and joined back to all of them, and nodes that are still
-too large are split again in the next round. Directions follow from the node's number, so only medians are passed on. A
+too large are split again in the next round. Directions follow from the node's number, so only places are passed on. A
 node is a leaf early only if no direction separates it, as in a group of near copies.
 
 Rows of a leaf meet in tiles of bounded size (a leaf of over CHUNK rows is cut into chunks and every pair of chunks becomes
@@ -36,8 +36,9 @@ COSINE = 0.98
 TREES, LEAF, SEED = 4, 400, 17
 #: Levels of a round, vectors of a node that its splits are fitted on, and directions that a split chooses from.
 LEVELS, FIT, CHOICES = 4, 4000, 3
-#: A split that leaves more than this share of a node on one side is none.
-SHARE = 0.65
+#: Places that a split may have on its direction, as quantiles; rows that both sides get may be this many times those that the
+#: smaller side has alone; of the rows fitted on, so many at least must be on either side alone.
+PLACES, OVERLAP, ALONE = np.linspace(0.01, 0.99, 99), 1.5, 2
 #: Rows of a chunk; a tile has two at most.
 CHUNK = 2000
 #: Half width of the spill band, in standard deviations of a borderline pair's difference along a random direction.
@@ -77,6 +78,26 @@ def _directions(node: int, dim: int) -> np.ndarray:
     return d / np.linalg.norm(d, axis=2, keepdims=True)
 
 
+def best_cut(p: np.ndarray, margin: float, least: float) -> tuple[float, int]:
+    """(threshold, direction) of the cut that leaves the fewest pairs; NaN where none separates. p: projections, a column a direction.
+
+    A median inside a dense group would send the group to both sides, so places off the middle count too: beside the
+    group the cut takes a part of the other vectors away, whatever the group's share. A cut that mostly copies is none.
+    """
+    best, out = 1.0, (np.nan, 0)
+    for c, x in enumerate(np.sort(p, axis=0).T):
+        at = np.unique(np.quantile(x, PLACES))
+        left = np.searchsorted(x, at + margin, side="right") / len(x)
+        right = 1 - np.searchsorted(x, at - margin, side="left") / len(x)
+        alone = np.minimum(1 - left, 1 - right)
+        good = (alone >= least) & (left + right - 1 <= OVERLAP * alone)
+        work = np.where(good, left**2 + right**2, 1.0)
+        i = int(np.argmin(work))
+        if work[i] < best:
+            best, out = work[i], (float(at[i]), c)
+    return out
+
+
 def fit_splits(node: int, unit: np.ndarray, n: int, leaf: int, margin: float) -> np.ndarray:
     """(threshold, choice) of each split of the node's subtree; the threshold is NaN where a vector stays."""
     out, directions = np.full((_NODES, 2), np.nan), _directions(node, unit.shape[1])
@@ -86,13 +107,10 @@ def fit_splits(node: int, unit: np.ndarray, n: int, leaf: int, margin: float) ->
         if rows is None or len(rows) <= max(enough, 8):
             continue
         p = unit[rows] @ directions[k].T
-        at = np.median(p, axis=0)
-        sides = [(p[:, c] <= at[c] + margin, p[:, c] >= at[c] - margin) for c in range(CHOICES)]
-        share = [max(x.mean(), y.mean()) for x, y in sides]
-        c = int(np.argmin(share))
-        if share[c] <= SHARE:
-            out[k] = at[c], c
-            inside[2 * k + 1], inside[2 * k + 2] = rows[sides[c][0]], rows[sides[c][1]]
+        at, c = best_cut(p, margin, max(ALONE, enough / 4) / len(rows))
+        if not np.isnan(at):
+            out[k] = at, c
+            inside[2 * k + 1], inside[2 * k + 2] = rows[p[:, c] <= at + margin], rows[p[:, c] >= at - margin]
     return out
 
 
