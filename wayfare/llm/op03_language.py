@@ -8,7 +8,8 @@ document are joined with the tables; each distinct unseen word is scored once. H
 Training rows: crc32(id as text) mod 5 is not 0, with text and language. Prediction uses the text alone.
 
 Defined cases: text that is null or has no letter, and any text when nothing was learned, give `und` with score 0;
-languages equal in score go to the first by name; equal rows give equal rows; other columns are ignored.
+languages equal in score go to the first by name; equal rows give equal rows; very long texts are read whole, and very long words
+cost as much as their letters; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import cut, map_texts, slices, table, uncollected
+from wayfare.llm.common import apart, cut, map_texts, slices, table, uncollected
 
 #: Words that are sent to all tasks and need no join: the most frequent ones.
 HOT_WORDS = 100_000
@@ -137,20 +138,44 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, words, grams, hot, logs)
 
 
+def _grams(words: DataFrame, k: int) -> DataFrame:
+    """(wid, term, times): the distinct n-grams of each numbered word, made in time and space linear in the word."""
+
+    def made(held):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(held, (pa.int64(), pa.string(), pa.int64()))], names=["wid", "term", "times"])
+
+    def run(batches):
+        held: tuple[list, list, list] = ([], [], [])
+        for batch in batches:
+            for wid, word in zip(batch.column("wid").to_pylist(), batch.column("word").to_pylist()):
+                for term, times in Counter(grams_of(word, k)).items():
+                    for x, v in zip(held, (wid, term, times)):
+                        x.append(v)
+                if len(held[0]) > 50_000:
+                    yield made(held)
+                    held = ([], [], [])
+        yield made(held)
+
+    return words.select("wid", "word").mapInArrow(run, "wid long, term string, times long")
+
+
 def _unseen(words: DataFrame, model: Model) -> DataFrame:
-    """(word, logs) of words that were not learned: the mean over their known n-grams of the greatest length that has any."""
-    n, marked, parts, left = len(model.langs), F.concat(F.lit("^"), "word", F.lit("$")), [], words
-    mean = F.array(*(F.avg(F.col("logs")[i]) for i in range(n)))
+    """(word, logs) of words that were not learned: the mean over their known n-grams of the greatest length that has any.
+
+    Only a word's number moves with its n-grams, and equal ones of a word count once with their times, so a word of a million
+    letters is a million letters of work.
+    """
+    numbered = cut(words.withColumn("wid", F.monotonically_increasing_id()))
+    n, parts, left = len(model.langs), [], numbered
+    mean = F.array(*(F.sum(F.col("times") * F.col("logs")[i]) / F.sum("times") for i in range(n)))
     for k in GRAMS:
-        source, length = (marked, F.length("word") + 2) if k > 1 else (F.col("word"), F.length("word"))
-        grams = left.filter(length >= k).select("word", F.explode(F.transform(F.sequence(F.lit(1), length - k + 1), lambda i: F.substr(source, i, F.lit(k)))).alias("term"))
-        found = cut(grams.join(model.grams.select("term", "logs"), "term").groupBy("word").agg(mean.alias("logs")))
+        found = cut(_grams(left, k).join(model.grams.select("term", "logs"), "term").groupBy("wid").agg(mean.alias("logs")))
         parts.append(found)
-        left = cut(left.join(found, "word", "left_anti"))
+        left = cut(left.join(found, "wid", "left_anti"))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out
+    return numbered.join(out, "wid").select("word", "logs")
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,5 +231,5 @@ def _rest(id_col: str, mod: int):
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs, fit(docs))
+    found = apart(spark, lambda: identify(docs, fit(docs)))
     return found.select("doc_id", (_rest("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
