@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from tests.llm.test_corpus_ops import DOCS, EDGE, EMPTY_SHA, docs_of, rows_of
@@ -276,3 +277,103 @@ def test_op13_and_op4_queries_by_sql(spark):
         df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.01")
         want = con.execute(f"select {', '.join(df.columns)} from ({sql})").fetchall()
         assert sorted(map(tuple, df.collect())) == sorted(want) and want
+
+
+# -- op10 and op3: clustered labels, long words ---------------------------------------------------------------------------
+def clustered(share, n, dim=32, seed=3, spread=0.06):
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((n, dim))
+    k = int(share * n)
+    x[:k] = r.standard_normal(dim) + spread * r.standard_normal((k, dim))
+    far = x[k:]
+    pairs = np.arange(0, len(far) - 1, 10)
+    far[pairs + 1] = far[pairs] + 0.02 * r.standard_normal((len(pairs), dim))  # close pairs among the others
+    return x, k
+
+
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.7, 0.9])
+def test_forest_splits_beside_a_dense_group(spark, share):
+    from wayfare.llm import op10_forest as op
+
+    x, k = clustered(share, 6000)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(8)
+    reps = df.select(F.col("vec_id").alias("rid"), F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("x"))
+    reps = op.cut(op.usable(reps).select(F.col("rid").alias("rep"), "label", F.lit(1).cast("long").alias("n"), "v"))
+    placed = op.cut(op.leaves(reps, 0.98, op.TREES, op.LEAF))
+    others = placed.filter(F.col("rep") >= k).groupBy("node").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert others <= 2 * op.LEAF  # no leaf keeps vectors that directions could separate
+    assert placed.count() <= 3 * op.TREES * len(x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    got = rows_of(op.near_vectors(df), "vec_id")
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert (links <= near.sum(axis=1)).all()
+    assert links[:k].sum() >= 0.95 * near[:k].sum() and links[k:].sum() >= 0.95 * near[k:].sum() > 0
+
+
+def plain_language(model_rows, text, n_langs, words, grams):
+    """The backoff by plain counting: log frequencies of known words, else of the longest known n-grams."""
+    from wayfare.llm import op03_language as op
+
+    total = np.zeros(n_langs)
+    for w in op.words_of(text or ""):
+        if w in words:
+            total += words[w]
+            continue
+        for k in op.GRAMS:
+            known = [grams[g] for g in op.grams_of(w, k) if g in grams] if len(w) + 2 * (k > 1) >= k else []
+            if known:
+                total += np.mean(known, axis=0)
+                break
+    return total
+
+
+def test_language_by_plain_counting(spark):
+    from wayfare.llm import op03_language as op
+
+    rnd = random.Random(2)
+    stems = {x: ["".join(rnd.choice(x + "e") for _ in range(rnd.randrange(2, 8))) for _ in range(60)] for x in ("abc", "cdf", "fgh")}
+    texts, langs = [], []
+    for i in range(120):
+        lang = rnd.choice(list(stems))
+        texts.append(" ".join(rnd.choice(stems[lang]) + rnd.choice(["", "", "x", "q"]) for _ in range(6)))
+        langs.append(lang)
+    texts += [None, "", "123", "zzzz öö", "a" * 30]
+    langs += ["abc"] * 5
+    docs = docs_of(spark, texts, langs=langs)
+    model = op.fit(docs, hot_words=20)
+    table = lambda df: {r.term: np.array(r.logs) for r in df.select("term", "logs").collect()}
+    words, grams = table(model.words), table(model.grams)
+    for i, r in rows_of(op.identify(docs, model)).items():
+        n = len(op.words_of(texts[i] or ""))
+        if not n:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        logits = plain_language(None, texts[i], 3, words, grams) * min(n, op.EVIDENCE) / n
+        share = np.exp(logits - logits.max())
+        assert r.lang_pred == model.langs[int(np.argmax(np.round(logits, 9)))] and abs(r.score - 1 / share.sum()) < 1e-9
+    assert op.identify(spark.createDataFrame([], DOCS), model).count() == 0
+
+
+def test_language_of_a_very_long_word(spark):
+    import time
+
+    from wayfare.llm import op03_language as op
+
+    rnd = random.Random(4)
+    docs = docs_of(spark, ["abab baba"] * 8 + ["cdcd dcdc"] * 8, langs=["ab"] * 8 + ["cd"] * 8)
+    model = op.fit(docs)
+    long = docs_of(spark, ["".join(rnd.choice("cd") for _ in range(1_000_000)), "x" * 1_000_000])
+    start = time.time()
+    got = rows_of(op.identify(long, model))
+    assert got[0].lang_pred == "cd" and time.time() - start < 90
+
+
+def test_language_on_held_out_rows(spark):
+    from wayfare.llm import op03_language as op
+
+    got = op.op3_language(spark, "/root/testdata/sf0.01").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    by = got.filter("lang is not null and lang_pred <> 'und'").groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.count("*").alias("n")).collect()
+    assert len(by) >= 4 and all(r.a >= 0.95 for r in by if r.n >= 20)

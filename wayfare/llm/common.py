@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,19 +36,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: For each make() that apart() is running: the tables that cut() has written for it.
-_OPEN: list[list[str]] = []
+class _Open(threading.local):
+    """For each make() that apart() is running in this thread: the tables that cut() has written for it."""
+
+    def __init__(self):
+        self.made: list[list[str]] = []
+
+
+_OPEN = _Open()
 
 
 def apart(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """What make() gives, as a written table; the tables that were cut on the way are deleted."""
-    _OPEN.append([])
-    made = _OPEN[-1]
+    _OPEN.made.append([])
+    made = _OPEN.made[-1]
     try:
         try:
             df = make()
         finally:
-            _OPEN.pop()
+            _OPEN.made.pop()
         return cut(df)
     finally:
         for path in made:
@@ -57,8 +64,8 @@ def apart(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: later steps neither recompute it nor depend on an executor."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.made:
+        _OPEN.made[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
