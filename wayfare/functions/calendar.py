@@ -1,73 +1,62 @@
-"""Holiday calendars generated as small dimensions (about a dozen rows a year)."""
+"""Holidays by rule, as expressions of a date of any year; nothing is joined."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 #: (month, day, first year) of holidays on a fixed date.
 FIXED = [(1, 1, 0), (6, 19, 2021), (7, 4, 0), (11, 11, 0), (12, 25, 0)]
 #: (month, weekday, n-th) of holidays on a weekday; n = -1 is the last one.
 FLOATING = [(1, "Mon", 3), (2, "Mon", 3), (5, "Mon", -1), (9, "Mon", 1), (10, "Mon", 2), (11, "Thu", 4)]
 
 
-def _years(spark: SparkSession, first: int, last: int) -> DataFrame:
-    return spark.range(first, last + 1).select(F.col("id").cast("int").alias("y"))
-
-
-def _date(month: int, day: int) -> Column:
-    return F.make_date("y", F.lit(month), F.lit(day))
-
-
-def _floating(month: int, weekday: str, n: int) -> Column:
-    if n > 0:
-        return F.date_add(F.next_day(F.date_sub(_date(month, 1), 1), weekday), 7 * (n - 1))
-    return F.next_day(F.date_sub(F.last_day(_date(month, 1)), 7), weekday)
-
-
-def _observed(day: Column) -> Column:
-    return F.when(F.weekday(day) == 5, F.date_sub(day, 1)).when(F.weekday(day) == 6, F.date_add(day, 1)).otherwise(day)
+def _on_fixed(day: Column, later: bool) -> Column:
+    """Whether the day is a holiday of fixed date; later: also those that began in some year, from then on."""
+    hits = [(F.month(day) == m) & (F.dayofmonth(day) == d) & (F.year(day) >= since) for m, d, since in FIXED if later or not since]
+    return reduce(Column.__or__, hits)
 
 
-def observed_holidays(spark: SparkSession, first: int, last: int) -> DataFrame:
-    """(holiday): federal holidays; those on a Saturday are kept on Friday, those on a Sunday on Monday."""
-    fixed = [F.when(F.col("y") >= since, _observed(_date(m, d))) for m, d, since in FIXED]
-    days = [*fixed, *(_floating(*x) for x in FLOATING)]
-    out = _years(spark, first, last).select(F.explode(F.array_compact(F.array(*days))).alias("holiday"))
-    return out.distinct()
+def _on_floating(day: Column) -> Column:
+    """Whether the day is the n-th, or last, such weekday of its month."""
+    of_month = F.dayofmonth(day)
+    place = lambda n: F.ceil(of_month / 7) == n if n > 0 else of_month + 7 > F.dayofmonth(F.last_day(day))
+    return reduce(Column.__or__, [(F.month(day) == m) & (F.weekday(day) == _WEEKDAYS.index(w)) & place(n) for m, w, n in FLOATING])
 
 
-def plain_holidays(spark: SparkSession, first: int, last: int) -> DataFrame:
-    """(y, holiday): the same days without observance and without those that began later."""
-    days = [*(_date(m, d) for m, d, since in FIXED if not since), *(_floating(*x) for x in FLOATING)]
-    return _years(spark, first, last).select("y", F.explode(F.array(*days)).alias("holiday")).distinct()
+def is_observed_holiday(day: Column) -> Column:
+    """Federal holidays as they are kept: those on a Saturday on Friday, those on a Sunday on Monday. From the date itself, of any year."""
+    weekday = F.weekday(day)
+    kept = (weekday < 5) & _on_fixed(day, True)
+    kept |= (weekday == 4) & _on_fixed(F.date_add(day, 1), True)
+    kept |= (weekday == 0) & _on_fixed(F.date_sub(day, 1), True)
+    return kept | _on_floating(day)
 
 
-def _flags(df: DataFrame, date: str, calendar: DataFrame) -> DataFrame:
-    """calendar: (day, IsHoliday, IsDayBeforeHoliday, IsDayAfterHoliday), one row a day; absent days get zeros."""
-    out = df.join(calendar, F.col(date) == F.col("_day"), "left").drop("_day")
-    names = ["IsHoliday", "IsDayBeforeHoliday", "IsDayAfterHoliday"]
-    return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
+def is_plain_holiday(day: Column) -> Column:
+    """The same days without observance and without those that began later."""
+    return _on_fixed(day, False) | _on_floating(day)
 
 
-def _around(holidays: DataFrame, same_year: bool) -> DataFrame:
-    moves = F.explode(F.expr("array(struct(0 as move), struct(-1 as move), struct(1 as move))")).alias("m")
-    days = holidays.select("*", moves).withColumn("_day", F.date_add("holiday", F.col("m.move")))
-    if same_year:  # only the travel year's own holidays count for it
-        days = days.filter(F.year("_day") == F.col("y"))
-    hit = lambda move: F.max((F.col("m.move") == move).cast("int"))
-    return days.groupBy("_day").agg(
-        hit(0).alias("IsHoliday"), hit(-1).alias("IsDayBeforeHoliday"), hit(1).alias("IsDayAfterHoliday")
-    )
+def _flags(df: DataFrame, date: str, holiday: Callable[[Column], Column], same_year: bool) -> DataFrame:
+    day = F.col(date)
+    near = {0: holiday(day)}
+    for move in (1, -1):
+        other = F.date_add(day, move)
+        near[move] = holiday(other) & (F.year(other) == F.year(day)) if same_year else holiday(other)
+    names = {"IsHoliday": 0, "IsDayBeforeHoliday": 1, "IsDayAfterHoliday": -1}
+    return df.withColumns({n: F.coalesce(near[m].cast("int"), F.lit(0)) for n, m in names.items()})
 
 
-def add_observed_flags(df: DataFrame, date: str = "FlightDate", first: int = 1970, last: int = 2070) -> DataFrame:
-    """Holiday, day-before and day-after flags by the calendar with observance."""
-    calendar = _around(observed_holidays(df.sparkSession, first, last), False)
-    return _flags(df.drop("IsHoliday", "IsDayBeforeHoliday", "IsDayAfterHoliday"), date, F.broadcast(calendar))
+def add_observed_flags(df: DataFrame, date: str = "FlightDate") -> DataFrame:
+    """Holiday, day-before and day-after flags by the calendar with observance; zeros where there is no date."""
+    return _flags(df, date, is_observed_holiday, False)
 
 
-def add_plain_flags(df: DataFrame, date: str = "FlightDate", first: int = 1970, last: int = 2070) -> DataFrame:
+def add_plain_flags(df: DataFrame, date: str = "FlightDate") -> DataFrame:
     """The same flags by the plain calendar; December 31 is no day before, as next year's holidays are not looked at."""
-    calendar = _around(plain_holidays(df.sparkSession, first, last), True)
-    return _flags(df.drop("IsHoliday", "IsDayBeforeHoliday", "IsDayAfterHoliday"), date, F.broadcast(calendar))
+    return _flags(df, date, is_plain_holiday, True)

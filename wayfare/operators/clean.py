@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from wayfare import schema
 from wayfare.functions import calendar, flight
 
 
+def union_frames(frames: list[DataFrame]) -> DataFrame:
+    """All rows of monthly or yearly frames, by the names of their columns; a column that a frame lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def drop_missing_core(df: DataFrame) -> DataFrame:
     """Rows with all core predictors; the label may be missing."""
     return df.na.drop(subset=[c for c in schema.CORE if c in df.columns])

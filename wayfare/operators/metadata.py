@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.operators import stats
 from wayfare.schema import WEATHER
+from wayfare.sources.tables import written
 
 
 def mean_table(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -70,3 +71,71 @@ def airport_states(df: DataFrame) -> DataFrame:
     mode = lambda side: df.groupBy(F.col(side).alias("airport")).agg(F.mode(F.col(f"{side}State"), True).alias(f"_{side}"))
     both = mode("Origin").join(mode("Dest"), "airport", "full_outer")
     return both.select("airport", F.coalesce("_Origin", "_Dest").alias("state")).filter(F.col("state").isNotNull())
+
+
+class Lattice:
+    """Three tables of sums and counts from which all lookup tables roll up, so that prepared trips are read three times.
+
+    months: by airline, both airports with their states, and month; days: by origin, airline and day; slots: by origin, month,
+    weekday and hour. Their sizes follow the network and the calendar, not the number of trips; each is written once.
+    """
+
+    _MEANS = ["RouteDelayRate", "RouteCancelRate", "RouteFlights", "AirlineDelayRate", "AirlineCancelRate", "AirlineFlights", "Distance", *WEATHER]
+
+    def __init__(self, prepared: DataFrame):
+        known = {c: F.col(c).cast("double") for c in [*self._MEANS, "Cancelled"]} | {"ArrDel15": F.nanvl("ArrDel15", F.lit(None).cast("double"))}
+        sums = [x for c, v in known.items() for x in (F.sum(v).alias(f"{c}_sum"), F.count(v).alias(f"{c}_n"))]
+        states = [c for c in ("OriginState", "DestState") if c in prepared.columns]
+        self.months = written(prepared.groupBy("Reporting_Airline", "Origin", "Dest", *states, "Month").agg(*sums, F.count("*").alias("n")))
+        self.days = written(prepared.groupBy("Origin", "Reporting_Airline", "FlightDate", "Month", "DayOfWeek").agg(F.count("*").alias("n")))
+        slot = F.col("OriginSlotFlights").cast("double")
+        self.slots = written(prepared.groupBy(*stats.SLOT).agg(F.sum(slot).alias("slot_sum"), F.count(slot).alias("slot_n")))
+
+    @staticmethod
+    def _mean(c: str) -> Column:
+        return F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_n"))
+
+    def means(self, keys: list[str], columns: list[str]) -> DataFrame:
+        return self.months.groupBy(*keys).agg(*(self._mean(c).alias(c) for c in columns))
+
+    def slot(self) -> DataFrame:
+        return self.slots.groupBy(*stats.SLOT).agg(self._mean("slot").alias("OriginSlotFlights"))
+
+    def daily(self, by_airline: bool = False) -> DataFrame:
+        extra = ["Reporting_Airline"] if by_airline else []
+        counts = self.days.groupBy("Origin", *extra, "FlightDate", "Month", "DayOfWeek").agg(F.sum("n").alias("_n"))
+        return counts.groupBy("Origin", *extra, "Month", "DayOfWeek").agg(F.avg("_n").alias("OriginDailyFlightsAirline" if by_airline else "OriginDailyFlights"))
+
+    def hubs(self, airport: str, name: str, share: float, least: int) -> DataFrame:
+        return stats.hubs_of(self.months.groupBy(airport, "Reporting_Airline").agg(F.sum("n").alias("_n")), airport, name, share, least)
+
+    def pairs(self) -> DataFrame:
+        of = {"Distance": "Distance", "ArrDel15": "DelayRate", "Cancelled": "CancelRate"}
+        rates = {name: self._mean(c).alias(name) for c, name in of.items()}
+        return self.months.groupBy("Origin", "Dest").agg(rates["Distance"], F.sum("n").alias("Flights"), rates["DelayRate"], rates["CancelRate"])
+
+    def climatology(self, side: str) -> DataFrame:
+        return self.means([side, "Month"], [c for c in WEATHER if c.startswith(f"{side}_")])
+
+    def states(self) -> DataFrame:
+        """As airport_states()."""
+
+        def mode(side: str) -> DataFrame:
+            counts = self.months.filter(F.col(f"{side}State").isNotNull()).groupBy(F.col(side).alias("airport"), F.col(f"{side}State").alias("s")).agg(F.sum("n").alias("n"))
+            return counts.groupBy("airport").agg(F.min_by("s", F.struct((-F.col("n")).alias("n"), "s")).alias(f"_{side}"))
+
+        both = mode("Origin").join(mode("Dest"), "airport", "full_outer")
+        return both.select("airport", F.coalesce("_Origin", "_Dest").alias("state"))
+
+    def defaults(self) -> DataFrame:
+        """As defaults()."""
+        one = self.months.agg(
+            F.coalesce(self._mean("ArrDel15"), F.lit(0.2)).alias("global_delay_rate"),
+            F.coalesce(self._mean("Cancelled"), F.lit(0.0)).alias("global_cancel_rate"),
+            self._mean("Distance").alias("global_distance_mean"),
+            *(self._mean(c).alias(f"global_{c}") for c in WEATHER),
+        )
+        slot = self.slots.agg(self._mean("slot").alias("global_slot_mean"))
+        daily = self.daily().agg(F.avg("OriginDailyFlights").alias("global_daily_mean"))
+        daily_airline = self.daily(True).agg(F.avg("OriginDailyFlightsAirline").alias("global_daily_airline_mean"))
+        return one.crossJoin(slot).crossJoin(daily).crossJoin(daily_airline)  # one row each

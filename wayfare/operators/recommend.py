@@ -64,16 +64,13 @@ def reason_texts(reasons: Column) -> Column:
 
 def safer_hours(requests: DataFrame, meta: Metadata, score: Scorer, id_col: str = "request_id", k: int = 3, lower_only: bool = False) -> DataFrame:
     """The k hours of lowest score for each request, its own hour left out; ties to the earlier hour."""
-    other = requests.withColumn("_own", F.col("DepHour")).withColumn("DepHour", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    scored = score(build_features(other, meta, [id_col, "_own"]))
+    scored = score(build_features(requests.withColumn("_own", F.col("DepHour")), meta, [id_col, "_own"], hours=list(range(24))))
     return _lowest(scored, F.col("DepHour") == F.col("_own"), id_col, ["DepHour"], k, lower_only)
 
 
 def safer_airlines(requests: DataFrame, meta: Metadata, score: Scorer, id_col: str = "request_id", k: int = 3, lower_only: bool = False) -> DataFrame:
     """The k airlines of lowest score that fly the request's route, its own left out; ties by name."""
-    flown = meta.route.filter("RouteFlights > 0").select("Origin", "Dest", F.col("Reporting_Airline").alias("_other"))
-    every = requests.join(flown, ["Origin", "Dest"]).withColumn("_own", F.col("Reporting_Airline")).withColumn("Reporting_Airline", F.col("_other")).drop("_other")
-    scored = score(build_features(every, meta, [id_col, "_own"]))
+    scored = score(build_features(requests.withColumn("_own", F.col("Reporting_Airline")), meta, [id_col, "_own"], airlines=True))
     return _lowest(scored, F.col("Reporting_Airline") == F.col("_own"), id_col, ["Reporting_Airline"], k, lower_only)
 
 

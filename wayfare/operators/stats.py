@@ -41,7 +41,11 @@ def volume(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def hubs(df: DataFrame, airport: str, name: str, share: float = 0.25, least: int = 10_000) -> DataFrame:
     """(airport, airline, 0/1): airlines with a share of the airport's trips and enough of them."""
-    counts = df.groupBy(airport, "Reporting_Airline").agg(F.count("*").alias("_n"))
+    return hubs_of(df.groupBy(airport, "Reporting_Airline").agg(F.count("*").alias("_n")), airport, name, share, least)
+
+
+def hubs_of(counts: DataFrame, airport: str, name: str, share: float, least: int) -> DataFrame:
+    """The same of counted trips, (airport, Reporting_Airline, _n)."""
     total = F.sum("_n").over(Window.partitionBy(airport))
     hub = ((F.col("_n") / total >= share) & (F.col("_n") >= least)).cast("int")
     return counts.select(airport, "Reporting_Airline", hub.alias(name))
