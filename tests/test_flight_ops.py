@@ -222,7 +222,8 @@ def test_safer_hours_of_all_requests(spark, monkeypatch):
     names = "Reporting_Airline string, Origin string, Dest string, DepHour int, FlightDate date, Distance double, Year int"
     rows = [("A", f"NATION_{i % 3}", "X", i % 24, dt.date(1998 + i % 4, 1, 1), 10.0, 1998 + i % 4) for i in range(30)]
     price = lambda h: float(h * 7 % 24)
-    build = lambda other, meta, keep: other.withColumn("p", F.pmod(F.col("DepHour") * 7, F.lit(24)).cast("double"))
+    every = lambda hours: F.explode(F.array(*map(F.lit, hours)))
+    build = lambda rows, meta, keep, hours: rows.withColumn("DepHour", every(hours)).withColumn("p", F.pmod(F.col("DepHour") * 7, F.lit(24)).cast("double"))
     monkeypatch.setattr(recommend, "build_features", build)
     monkeypatch.setattr(v, "cleaned", lambda s, d: s.createDataFrame(rows, names))
     for module in (more_queries, ml_queries):
@@ -327,3 +328,261 @@ def test_backtest_summary_lines(spark):
     core = metrics.core(spark.createDataFrame([(0, 0.9), (0, 0.2)], "label int, p double")).select(F.lit("Cancelled").alias("task"), "*")
     lines = [x.value for x in reports.backtest_lines(core).collect()]
     assert lines == ["Task: Cancelled", "Samples: 2", "Base rate: 0.0000", "ROC-AUC: N/A", "PR-AUC: N/A", "Brier: 0.4250", "Top bucket positive rate: 0.0000", "Share of all events in top bucket: N/A"]
+
+
+# -- training -----------------------------------------------------------------------------------------------------------
+def learnable(spark, n, first=0, flip=False):
+    """Rows of all features; the label follows the hour (or its opposite), whatever else."""
+    h = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0
+    rows = spark.range(first, first + n).select("id", *(F.lit(0.5).alias(c) for c in schema.NUMERIC if c != "DepHour"), (F.col("id") % 24).cast("double").alias("DepHour"), *(F.concat(F.lit("v"), F.col("id") % 3).alias(c) for c in schema.CATEGORICAL))
+    up = h < F.col("DepHour") / 24.0
+    return rows.withColumn("label", (~up if flip else up).cast("double")).drop("id")
+
+
+def test_every_fit_refuses_one_class(spark):
+    from wayfare.ml import models
+
+    rows = learnable(spark, 50).withColumn("label", F.lit(0.0))
+    for fit in (models.fit_logistic, models.fit_trees, lambda t: models.fit_trees_on_grid(t, t), lambda t: models.fit_network(t, t)):
+        with pytest.raises(models.OneClass):
+            fit(rows)
+
+
+def test_crossfit_means_hold_no_own_label(spark):
+    from wayfare.ml import models
+
+    rows = spark.range(600).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("g"), F.col("id") % 4)).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).cast("double").alias("label"), (F.col("id") % 5).cast("int").alias("fold"))
+    got = models.crossfit_means(rows, ["key", "g"], smoothing=10.0).collect()
+    assert len(got) == 600
+    for r in got[:60]:
+        other = [x for x in got if x.fold != r.fold]
+        prior = sum(x.label for x in other) / len(other)
+        same = [x.label for x in other if x.g == r.g]
+        assert math.isclose(r.key_enc, prior) and math.isclose(r.g_enc, (sum(same) + 10 * prior) / (len(same) + 10))
+    # an id has no signal: within a fold all rows have one value
+    assert all(len({round(x.key_enc, 12) for x in got if x.fold == f}) == 1 for f in range(5))
+
+
+def test_tree_grid_reports_every_setting(spark):
+    from wayfare.ml import models
+
+    train, val = learnable(spark, 1500), learnable(spark, 600, 5000)
+    grid = (models.Trees(1, 1, 0.1, 700), models.Trees(3, 4), models.Trees(2, 3, 0.3))
+    for stopping in (False, True):
+        model, rows = models.fit_trees_on_grid(train, val, grid, stopping)
+        rows = rows.collect()
+        assert [(r.depth, r.rounds, r.step, r.least) for r in rows] == [(1, 1, 0.1, 700), (3, 4, 0.1, 20), (2, 3, 0.3, 20)]
+        assert [r.chosen for r in rows].count(True) == 1 and next(r for r in rows if r.chosen).val_auc == max(r.val_auc for r in rows) > 0.7
+        assert metrics.ranking(models.score(model, val)).first().roc_auc > 0.7
+
+
+def test_network_keeps_its_best_stage(spark, monkeypatch):
+    from wayfare.ml import models
+
+    train, val = learnable(spark, 1200), learnable(spark, 500, 5000)
+    model, rows = models.fit_network(train, val, (4,), stages=3, epochs=8)
+    assert [r.kept for r in rows.collect()].count(True) == 1 and metrics.ranking(models.score(model, val)).first().roc_auc > 0.7
+    # what is worse later is dropped, and training ends after `patience` stages
+    aucs, seen = iter([0.6, 0.9, 0.8, 0.7, 0.95]), []
+    monkeypatch.setattr(models, "_auc", lambda m, _: (seen.append(m), next(aucs))[1])
+    model, rows = models.fit_network(train, val, (4,), stages=5, epochs=2, patience=2)
+    assert [(r.stage, r.kept) for r in rows.collect()] == [(0, False), (1, True), (2, False), (3, False)]
+    assert model.stages[-1].weights == seen[1].weights != seen[3].weights
+
+
+def test_balanced_rows_weigh_the_same(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from wayfare.ml import models
+
+    rows = spark.range(4000).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), (F.col("id") % 8 == 0).cast("double").alias("label"))
+    rows = rows.withColumn("weight", F.when(F.col("label") == 1, 2.6).otherwise(1.0))
+    n = dict(models.balanced(rows).groupBy("label").count().collect())
+    assert n[0.0] == 3500 and abs(n[1.0] - 1300) < 60
+
+
+def test_bundle_is_whole_after_loading(spark, tmp_path):
+    from wayfare.ml import models
+
+    train, val = learnable(spark, 1500), learnable(spark, 800, 5000)
+    made = models.Bundle.of(models.fit_logistic(train), val, "ArrDel15")
+    made.save(str(tmp_path / "b"))
+    again = models.Bundle.load(str(tmp_path / "b"))
+    assert (again.task, again.columns, again.threshold) == (made.task, tuple(schema.FEATURES), made.threshold)
+    a, b = (sorted((r.DepHour, r.p, r.alarm) for r in x(val).collect()) for x in (made, again))
+    assert a == b and all(0 <= p <= 1 and alarm == (p >= made.threshold) for _, p, alarm in a)
+    by_p = models.score(again.model, val).groupBy("p").agg(F.avg("label").alias("rate")).collect()
+    assert all(abs(r.p - r.rate) < 0.2 for r in by_p)  # isotonic on these very rows
+    with pytest.raises(ValueError, match="Dest_snow"):
+        again(val.drop("Dest_snow"))
+
+
+@pytest.mark.parametrize("metric", ["roc_auc", "brier"])
+def test_bootstrap_by_plain_weights(spark, monkeypatch, metric):
+    """Against a replicate at a time with the same weights; ties, repeated rows and many small parts included."""
+    import numpy as np
+
+    from wayfare.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "_ENTRIES", 7 * 30)
+    rnd = np.random.default_rng(4)
+    rows = [(int(y), float(np.round(x, 1)), float(np.round(z + 0.3 * y, 2))) for y, x, z in zip(rnd.integers(0, 2, 500), rnd.random(500), rnd.random(500))]
+    rows += [(1, 0.5, 0.5)] * 40 + [(0, 0.5, 0.5)] * 3 + [(1, None, 0.5)]
+    df = spark.createDataFrame(rows, "label int, p_a double, p_b double")
+    got = bootstrap.bootstrap_difference(df, metric, 30, 9).first()
+    keys = spark.createDataFrame(rows, df.schema).na.drop().groupBy("label", "p_a", "p_b").agg(F.count("*").alias("n"), F.xxhash64(F.lit(9), "label", "p_a", "p_b").alias("k")).collect()
+    w = bootstrap.poisson_weights(np.array([r.k for r in keys]).view(np.uint64), np.array([r.n for r in keys]), 30)
+    y, a, b = (np.array([r[i] for r in keys], float) for i in range(3))
+
+    def auc(p, w):
+        pos, neg = y == 1, y == 0
+        more = (p[pos][:, None] > p[neg][None, :]) + (p[pos][:, None] == p[neg][None, :]) / 2
+        return w[pos] @ more @ w[neg] / (w[pos].sum() * w[neg].sum())
+
+    if metric == "brier":
+        d = [(w[:, i] @ ((a - y) ** 2 - (b - y) ** 2)) / w[:, i].sum() for i in range(30)]
+    else:
+        d = [auc(b, w[:, i]) - auc(a, w[:, i]) for i in range(30)]
+    assert math.isclose(got.mean_difference, np.mean(d), rel_tol=1e-9)
+    assert math.isclose(got.low, np.percentile(d, 2.5), rel_tol=1e-9) and math.isclose(got.high, np.percentile(d, 97.5), rel_tol=1e-9)
+
+
+def test_poisson_weights_have_their_moments():
+    import numpy as np
+
+    from wayfare.operators import bootstrap
+
+    for n in (1, 7, 400):
+        w = bootstrap.poisson_weights(np.arange(2000, dtype=np.uint64), np.full(2000, n), 50)
+        assert abs(w.mean() - n) < 0.02 * n + 0.01 and abs(w.var() - n) < 0.03 * n and (w == w.round()).all()
+
+
+# -- sources and sinks --------------------------------------------------------------------------------------------------
+def test_archives_are_a_data_source_that_reads_wanted_columns(spark, tmp_path):
+    rows = spark.range(5000).select((F.lit(2000) + F.col("id") % 2).cast("int").alias("Year"), (F.col("id") % 3 + 1).cast("int").alias("Month"), F.concat(F.lit("a,\"b"), F.col("id")).alias("Origin"), F.col("id").cast("double").alias("Distance"))
+    ontime.write_archives(rows, str(tmp_path / "z"), ["Year", "Month"])
+    ontime.write_archives(rows, str(tmp_path / "z"), ["Year", "Month"])  # replaces them
+    assert len(list((tmp_path / "z").iterdir())) == 6
+    got = ontime.read_archives(spark, f"file:{tmp_path}/z", columns=["Distance", "Origin", "ArrDel15"])
+    assert got.columns == ["Origin", "Distance", "ArrDel15"] and "OnTimeArchives" in got._jdf.queryExecution().toString() or "ontime_archives" in got._jdf.queryExecution().toString()
+    assert got.agg(F.count("*"), F.sum("Distance"), F.count("ArrDel15"), F.count_distinct("Origin")).first() == (5000, 4999 * 2500.0, 0, 5000)
+    assert got.rdd.getNumPartitions() == 6
+    ontime.cut_short(spark.createDataFrame([("2000-1",)], "name string"), str(tmp_path / "z"))
+    both = ontime.read_archives(spark, str(tmp_path / "z" / "*.zip"), with_errors=True, columns=["Distance"])
+    assert [(r.path.rsplit("/", 1)[1], "Bad" in r.error) for r in both.filter("error is not null").collect()] == [("2000-1.zip", True)]
+    assert both.filter("error is null").count() == rows.filter("Year <> 2000 or Month <> 1").count()
+    assert ontime.read_archives(spark, str(tmp_path / "none*.zip")).count() == 0
+
+
+def test_one_year_is_written_again(spark, tmp_path):
+    from wayfare.sources import reports
+
+    at = str(tmp_path / "t")
+    rows = spark.range(3000).select((F.col("id") % 3).cast("int").alias("Year"), "id")
+    reports.write_partitioned(rows, "Year", at, file_rows=200)
+    assert all(len(list((tmp_path / "t" / f"Year={y}").glob("*.parquet"))) >= 5 for y in range(3))  # by size, not by a fixed number
+    again = reports.write_partitioned(rows.filter("Year = 1 and id < 10"), "Year", at)
+    assert dict(again.groupBy("Year").count().collect()) == {0: 1000, 1: 3, 2: 1000}
+
+
+def test_checks_are_taken_while_writing(spark):
+    from wayfare.sources import reports
+
+    rows = spark.createDataFrame([(0.5, "a"), (float("nan"), "b"), (None, "c"), (7.0, "d")], "p double, name string")
+    table, checks = reports.write_observed(rows, ["p"], {"p": (0.0, 1.0)}, ["name", "p", "q"])
+    assert table.count() == 4
+    assert dict(checks.collect()) == {"rows": 4, "p": 2, "p outside 0..1": 2, "missing columns": 1, "columns out of place": 3}
+
+
+def test_holidays_of_any_year(spark):
+    """Against a list of days made by plain counting, for years far from today."""
+
+    def nth(y, m, wd, n):
+        days = [d for d in (dt.date(y, m, 1) + dt.timedelta(i) for i in range(31)) if d.month == m and d.weekday() == wd]
+        return days[n - 1] if n > 0 else days[-1]
+
+    fixed, moving = calendar.FIXED, calendar.FLOATING
+    names = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
+    for first in (1949, 2021, 2088):
+        kept, plain = set(), set()
+        for y in range(first - 1, first + 4):
+            for m, d, since in fixed:
+                day = dt.date(y, m, d)
+                if y >= since:
+                    kept.add(day + dt.timedelta({5: -1, 6: 1}.get(day.weekday(), 0)))
+                if not since:
+                    plain.add(day)
+            for m, wd, n in moving:
+                kept.add(nth(y, m, names.index(wd), n))
+                plain.add(nth(y, m, names.index(wd), n))
+        days = [dt.date(first, 1, 1) + dt.timedelta(i) for i in range(1000)]
+        df = spark.createDataFrame([(d,) for d in days] + [(None,)], "FlightDate date")
+        one = dt.timedelta(1)
+        for made, hits, same in ((calendar.add_observed_flags(df), kept, False), (calendar.add_plain_flags(df), plain, True)):
+            for r in made.collect():
+                d = r.FlightDate
+                near = lambda x: int(x in hits and (not same or x.year == d.year))
+                want = (near(d), near(d + one), near(d - one)) if d else (0, 0, 0)
+                assert (r.IsHoliday, r.IsDayBeforeHoliday, r.IsDayAfterHoliday) == want
+
+
+def lookups(spark):
+    rows = []
+    for i in range(600):
+        r = {c: float((i * 7 + k) % 5) for k, c in enumerate(schema.WEATHER)}
+        r |= {"Reporting_Airline": "AB"[i % 2], "Origin": "XYZ"[i % 3], "Dest": "XYZ"[(i // 3) % 3], "OriginState": [None, "s", "t"][i % 3], "DestState": "stu"[(i // 3) % 3]}
+        r |= {"FlightDate": dt.date(1998, 1 + i % 4, 1 + i % 25), "DepHour": i % 24, "Distance": 100.0 * (i % 4), "Cancelled": int(i % 10 == 0), "ArrDel15": None if i % 10 == 0 else float(i % 3 == 0)}
+        r |= {"RouteDelayRate": 0.1, "RouteCancelRate": 0.2, "RouteFlights": i % 3, "AirlineDelayRate": 0.3, "AirlineCancelRate": 0.1, "AirlineFlights": 5, "OriginSlotFlights": float(i % 6)}
+        rows.append(r)
+    df = spark.createDataFrame(rows, "Reporting_Airline string, Origin string, Dest string, OriginState string, DestState string, FlightDate date, DepHour int, Distance double, Cancelled int, ArrDel15 double, RouteDelayRate double, RouteCancelRate double, RouteFlights int, AirlineDelayRate double, AirlineCancelRate double, AirlineFlights int, OriginSlotFlights double, " + ", ".join(f"{c} double" for c in schema.WEATHER))
+    return df.withColumns(flight.date_parts("FlightDate"))
+
+
+def test_lattice_gives_the_tables_of_single_passes(spark):
+    rows = lookups(spark)
+    made = metadata.Lattice(rows)
+    same = lambda a, b: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in a.select(*b.columns).collect()), key=str) == sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in b.collect()), key=str)
+    assert same(made.means(stats.ROUTE, ["RouteDelayRate", "RouteCancelRate", "RouteFlights"]), metadata.route_meta(rows))
+    assert same(made.means(stats.AIRLINE, ["AirlineDelayRate", "AirlineCancelRate", "AirlineFlights"]), metadata.airline_meta(rows))
+    assert same(made.slot(), metadata.slot_meta(rows)) and same(made.daily(), metadata.daily_meta(rows)) and same(made.daily(True), metadata.daily_meta(rows, True))
+    assert same(made.hubs("Origin", "h", 0.3, 20), stats.hubs(rows, "Origin", "h", 0.3, 20)) and same(made.pairs(), metadata.route_pair_meta(rows))
+    assert same(made.climatology("Dest"), metadata.climatology(rows, "Dest")) and same(made.states(), metadata.airport_states(rows)) and same(made.defaults(), metadata.defaults(rows))
+
+
+def test_rows_multiply_behind_the_lookups(spark):
+    from wayfare.operators import features
+
+    rows = lookups(spark)
+    meta = features.Metadata(rows, 0.3, 20)
+    requests = rows.limit(40).select(F.monotonically_increasing_id().alias("request_id"), "FlightDate", "DepHour", "Reporting_Airline", "Origin", "Dest", "Distance")
+    late = features.build_features(requests, meta, ["request_id"], hours=list(range(24)))
+    early = features.build_features(requests.withColumn("DepHour", F.explode(F.sequence(F.lit(0), F.lit(23)))), meta, ["request_id"])
+    assert late.exceptAll(early).count() == 0 and early.exceptAll(late).count() == 0 and late.count() == 40 * 24
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    grown = plan.index("Generate explode(")
+    assert plan[:grown].count("Join LeftOuter") == 0 and plan[grown:].count("Join LeftOuter") >= 9
+    flown = meta.route.filter("RouteFlights > 0").select("Origin", "Dest", "Reporting_Airline")
+    early = features.build_features(requests.drop("Reporting_Airline").join(flown, ["Origin", "Dest"]), meta, ["request_id"])
+    late = features.build_features(requests, meta, ["request_id"], airlines=True)
+    assert late.exceptAll(early).count() == 0 and early.exceptAll(late).count() == 0 and late.count() > 40
+
+
+def test_queries_leave_only_their_result(spark):
+    import os
+
+    from wayfare.plans import all_queries
+    from wayfare.sources import tables
+
+    queries, at = all_queries()[0], tables.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    df = queries["p16_round_trip"](spark, "/root/testdata/sf0.001")
+    left = set(os.listdir(at)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("result-") and df.count() > 0
+    with pytest.raises(ZeroDivisionError):
+        tables.tidy(spark, lambda: (tables.written(df), 1 / 0)[0])
+    assert set(os.listdir(at)) - before == left
+    with tables.scope(spark):
+        assert tables.tidy(spark, lambda: tables.written(spark.range(5)).filter("id > 2")).count() == 2
+    assert set(os.listdir(at)) - before == left
+    queries["f2_diverted"](spark, "/root/testdata/sf0.001").count()  # writes nothing
+    assert set(os.listdir(at)) - before == left

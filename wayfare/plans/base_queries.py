@@ -33,6 +33,14 @@ def tally(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def _holed(trips: DataFrame) -> DataFrame:
+    """Trips without one of the core columns, or the label, by the minute of departure."""
+    minute = F.col("_minute")
+    rows = trips.withColumn("_minute", F.col("CRSDepTime") % 60)
+    holes = {c: F.when(minute != i, F.col(c)) for i, c in enumerate(schema.CORE)} | {"ArrDel15": F.when(minute != 30, F.col("ArrDel15"))}
+    return rows.withColumns(holes).drop("_minute")
+
+
 # -- sources and filters ------------------------------------------------------------------------------------------------
 query("s5_parquet_scan", f"with {v.TRIPS_SQL} select Origin, Year, count(*) as n from raw group by 1, 2")(
     lambda s, d: tally(v.trips(s, d), "Origin", "Year")
@@ -41,8 +49,11 @@ query("s6_weather_scan", sql(v.WX_SQL, "select Airport, time, tavg, prcp, snow,
 query("s3_projection", f"with {v.TRIPS_SQL} select {KEYS_SQL}, OriginState, DestState from raw")(
     lambda s, d: clean.standard_states(v.trips(s, d)).select(*KEYS, "OriginState", "DestState")
 )
-query("f1_missing_core", f"with {v.TRIPS_SQL} select {KEYS_SQL}, ArrDel15 from raw where Distance is not null and Cancelled is not null")(
-    lambda s, d: clean.drop_missing_core(v.trips(s, d)).select(*KEYS, "ArrDel15")
+# every core column is missing somewhere, and the label elsewhere, which keeps its row
+_HOLES = {c: f"CRSDepTime % 60 = {i}" for i, c in enumerate(schema.CORE)}
+_HOLES_SQL = ", ".join(f"case when not ({hole}) then {c} end as {c}" for c, hole in _HOLES.items() if c != "CRSDepTime")
+query("f1_missing_core", f"with {v.TRIPS_SQL}, holes as (select {_HOLES_SQL}, case when CRSDepTime % 60 <> {list(schema.CORE).index('CRSDepTime')} then CRSDepTime end as CRSDepTime, case when CRSDepTime % 60 <> 30 then ArrDel15 end as ArrDel15 from raw) select {KEYS_SQL}, ArrDel15 from holes where {' and '.join(f'{c} is not null' for c in schema.CORE)}")(
+    lambda s, d: clean.drop_missing_core(_holed(v.trips(s, d))).select(*KEYS, "ArrDel15")
 )
 query("f2_diverted", f"with {v.TRIPS_SQL} select {KEYS_SQL} from (select *, case when CRSDepTime % 7 = 0 then null else Diverted end as dv from raw) where dv is distinct from 1")(
     lambda s, d: clean.drop_diverted(v.trips(s, d).withColumn("Diverted", F.when(F.col("CRSDepTime") % 7 != 0, F.col("Diverted")))).select(*KEYS)
@@ -62,8 +73,9 @@ query("f5_year_guard", f"with {v.TRIPS_SQL} select {KEYS_SQL} from raw where Yea
 query("f6_delay_labelled", f"with {v.TRIPS_SQL} select {KEYS_SQL}, ArrDel15 from raw where Cancelled = 0 and ArrDel15 is not null")(
     lambda s, d: clean.delay_labelled(v.trips(s, d)).select(*KEYS, "ArrDel15")
 )
-query("f7_cancel_labelled", f"with {v.TRIPS_SQL} select {KEYS_SQL}, Cancelled from raw where Cancelled in (0, 1)")(
-    lambda s, d: clean.cancel_labelled(v.trips(s, d)).select(*KEYS, "Cancelled")
+_ODD = "case when CRSDepTime % 10 = 0 then null when CRSDepTime % 10 = 1 then 2 else Cancelled end"
+query("f7_cancel_labelled", f"with {v.TRIPS_SQL}, odd as (select * replace ({_ODD} as Cancelled) from raw) select {KEYS_SQL}, Cancelled from odd where Cancelled in (0, 1)")(
+    lambda s, d: clean.cancel_labelled(v.trips(s, d).withColumn("Cancelled", F.expr(_ODD))).select(*KEYS, "Cancelled")
 )
 query("f8_weather_endpoints", f"with {v.TRIPS_SQL}, {v.AIRPORTS_SQL} select {KEYS_SQL} from raw where Origin in (select iata from airports where lat is not null) and Dest in (select iata from airports where lat is not null)")(
     lambda s, d: weather.with_endpoints(v.trips(s, d), v.airports(s, d).filter("lat is not null")).select(*KEYS)
@@ -113,6 +125,25 @@ query("p11_holidays_observed", f"with {v.CLEAN_SQL} select distinct FlightDate,
     lambda s, d: v.cleaned(s, d).select("FlightDate", *_FLAGS).distinct()
 )
 _PLAIN = "case when exists (select 1 from plain where y = year(FlightDate) and h = FlightDate{}) then 1 else 0 end as {}"
+_ANY_YEAR_SQL = f"{v.HOLIDAYS_SQL}, {v.TRIPS_SQL}".replace("range(1970, 2071)", "range(1890, 2111)") + ", days as (select distinct FlightDate + cast((CRSDepTime % 3 - 1) * 33000 as int) as FlightDate from raw)"
+
+
+@query(
+    "p11_p12_any_year",
+    f"with {_ANY_YEAR_SQL} select FlightDate, "
+    + ", ".join(f"case when FlightDate in (select h {m} from observed) then 1 else 0 end as {c}" for c, m in zip(_FLAGS, ("", "- 1", "+ 1")))
+    + ", "
+    + ", ".join(f"case when FlightDate in (select cast(h {m} as date) from plain where year(h {m}) = y) then 1 else 0 end as Plain{c}" for c, m in zip(_FLAGS, ("", "- 1", "+ 1")))
+    + " from days",
+)
+def any_year(spark, sf_dir):
+    """Both calendars on days some ninety years before and after those of the trips too."""
+    moved = F.date_add("FlightDate", (F.col("CRSDepTime") % 3 - 1) * 33000)
+    days = v.trips(spark, sf_dir).select(moved.alias("FlightDate")).distinct()
+    plain = calendar.add_plain_flags(days).withColumnsRenamed({c: f"Plain{c}" for c in _FLAGS})
+    return calendar.add_observed_flags(plain)
+
+
 query(
     "p12_holidays_plain",
     f"with {v.CLEAN_SQL} select FlightDate, {_PLAIN.format('', _FLAGS[0])}, {_PLAIN.format(' + 1', _FLAGS[1])}, {_PLAIN.format(' - 1', _FLAGS[2])} from (select distinct FlightDate from raw)",

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfare import schema
 from wayfare.functions import flight
 from wayfare.operators import clean, explore, features, metadata, metrics, recommend
 from wayfare.plans import views as v
@@ -225,6 +226,18 @@ query("e20_metric_table", sql(_ROWS_SQL, "select * from met", "roc_auc pr_auc br
 query("e23_quality", f"with {v.SCORED_SQL} select 'p' as \"check\", count(*) filter (p is null) as bad from scored union all select 'p_b', count(*) filter (p_b is null) from scored union all select 'p outside 0..1', count(*) filter (p < 0 or p > 1) from scored")(
     lambda s, d: metrics.quality(v.scored(s, d), ["p", "p_b"], "p")
 )
+@query(
+    "e23_observed",
+    f"""with {v.PREPARED_SQL} select 'rows' as "check", count(*) as n from prepared union all select 'Distance', count(*) filter (Distance is null) from prepared
+  union all select 'ArrDel15', count(*) filter (ArrDel15 is null) from prepared union all select 'RouteDelayRate outside 0..1', count(*) filter (RouteDelayRate not between 0 and 1) from prepared
+  union all select 'missing columns', 0::bigint union all select 'columns out of place', 0::bigint""",
+)
+def observed(spark, sf_dir):
+    """Checks of the prepared trips, counted while they are written in the order of the feature contract."""
+    rows = v.prepared(spark, sf_dir).select(*schema.FEATURES, "ArrDel15")
+    return reports.write_observed(rows, ["Distance", "ArrDel15"], {"RouteDelayRate": (0.0, 1.0)}, schema.FEATURES)[1]
+
+
 query("l6_class_weights", sql(v.SCORED_SQL, "select 1.0::double as w0, count(*) filter (label = 0) / count(*) filter (label = 1) as w1 from scored", "w0 w1"))(lambda s, d: rounded(metrics.class_weights(v.scored(s, d), "label")))
 query("l8_ensemble_weight", sql(v.SCORED_SQL, "select weight, brier from (select w as weight, avg((w * p_a + (1 - w) * p_b - label) * (w * p_a + (1 - w) * p_b - label)) as brier from scored, (select unnest([0.3::double, 0.5, 0.7]) as w) group by 1) order by brier, weight limit 1", "brier"))(
     lambda s, d: rounded(metrics.ensemble_weight(v.scored(s, d)))
@@ -235,6 +248,16 @@ query("l10_two_classes", f"with {v.SCORED_SQL} select Year, count(distinct label
 query("s8_parquet_sink", f"with {v.CLEAN_SQL} select Year, count(*) as n from clean group by 1")(
     lambda s, d: reports.write_partitioned(v.cleaned(s, d), "Year").groupBy("Year").agg(F.count("*").alias("n"))
 )
+@query("s8_rerun_one_year", f"with {v.CLEAN_SQL} select Year, count(*) as n, sum(Distance) as Distance from clean where Year <> 1997 or Cancelled = 1 group by 1")
+def rerun_one_year(spark, sf_dir):
+    """Trips by year, of which one year is written again with its cancelled trips alone; the others stay as they were."""
+    rows = written(v.cleaned(spark, sf_dir))
+    at = new_path(spark, "parquet")
+    reports.write_partitioned(rows, "Year", at)
+    again = reports.write_partitioned(rows.filter("Year = 1997 and Cancelled = 1"), "Year", at)
+    return again.groupBy("Year").agg(F.count("*").alias("n"), F.sum("Distance").alias("Distance"))
+
+
 query("s9_csv_report", sql(v.SCORED_SQL, "select Year, count(*) as n, round(avg((p - label) * (p - label)), 9) as brier from scored group by 1"))(
     lambda s, d: reports.write_csv(rounded(v.scored(s, d).groupBy("Year").agg(F.count("*").alias("n"), F.avg((F.col("p") - F.col("label")) * (F.col("p") - F.col("label"))).alias("brier"))), "Year int, n bigint, brier double")
 )
@@ -281,9 +304,43 @@ def mixed_headers(spark, sf_dir):
     return ontime.read_csv(spark, f"{at}/*").select(*(F.col(c).cast(t).alias(c) for c, t in rows.select(*_CSV).dtypes))
 
 
-query("u1_union_by_name", f"with {v.TRIPS_SQL} select Year, count(*) as n, count(OriginState) as states from raw where Year in (1996, 1997) group by 1")(
-    lambda s, d: clean.year_guard(v.trips(s, d), 1996).drop("OriginState").unionByName(clean.year_guard(v.trips(s, d), 1997), allowMissingColumns=True).groupBy("Year").agg(F.count("*").alias("n"), F.when(F.first("Year") == 1996, F.count("*")).otherwise(F.count("OriginState")).alias("states"))
-)
+_PARTS = "Month % 5 = 0"
+
+
+def _archive_folder(spark, sf_dir) -> str:
+    """Archives by year, month and quarter of the minutes; those of every fifth month are no archives."""
+    at = new_path(spark, "archives")
+    rows = v.trips(spark, sf_dir).select("Year", "Month", *_CSV, (F.col("CRSDepTime") % 4).alias("part"))
+    ontime.write_archives(rows, at, ["Year", "Month", "part"])
+    damaged = rows.filter(_PARTS).select(F.concat_ws("-", "Year", "Month", "part").alias("name")).distinct()
+    ontime.cut_short(damaged, at)
+    return at
+
+
+@query("s1_archives", f"with {v.TRIPS_SQL} select Origin, Year, Month, CRSDepTime, count(*) as n, count(ArrDel15) as known, sum(Distance) as Distance from raw where not {_PARTS} group by 1, 2, 3, 4")
+def archives(spark, sf_dir):
+    """Trips written to archives and read again, only the columns that are asked for; damaged archives are left out."""
+    columns = ["Origin", "Year", "Month", "CRSDepTime", "Distance", "ArrDel15"]
+    rows = ontime.read_archives(spark, _archive_folder(spark, sf_dir), columns=columns)
+    return rows.groupBy("Origin", "Year", "Month", "CRSDepTime").agg(F.count("*").alias("n"), F.count("ArrDel15").alias("known"), F.sum("Distance").alias("Distance"))
+
+
+@query("s4_quarantine", f"with {v.TRIPS_SQL} select Year, count(distinct case when {_PARTS} then Month * 4 + CRSDepTime % 4 end) as damaged, count(*) filter (not {_PARTS}) as n from raw group by 1")
+def quarantine(spark, sf_dir):
+    """By year: archives that could not be read, and rows of the others."""
+    rows = ontime.read_archives(spark, _archive_folder(spark, sf_dir), with_errors=True, columns=["Year"])
+    year = F.coalesce("Year", F.regexp_extract("path", r"([0-9]+)-[0-9]+-[0-9]+[.]zip$", 1).cast("int"))
+    return rows.groupBy(year.alias("Year")).agg(F.count_distinct(F.when(F.col("error").isNotNull(), F.col("path"))).alias("damaged"), F.count_if(F.col("error").isNull()).alias("n"))
+
+
+@query("u1_union_by_name", f"with {v.TRIPS_SQL} select Year, count(*) as n, count(OriginState) filter (Year % 2 = 1) as states from raw group by 1")
+def union_by_name(spark, sf_dir):
+    """One frame for each year, of which even ones have no OriginState, put together by name."""
+    rows = written(v.trips(spark, sf_dir))
+    frames = [clean.year_guard(rows, y).drop(*(["OriginState"] if y % 2 == 0 else [])) for y in range(v.TRAIN[0], v.TEST[1] + 1)]
+    return clean.union_frames(frames).groupBy("Year").agg(F.count("*").alias("n"), F.count("OriginState").alias("states"))
+
+
 query("u3_distinct_states", f"with {v.TRIPS_SQL} select OriginState as state from raw union select DestState from raw")(
     lambda s, d: v.trips(s, d).select(F.col("OriginState").alias("state")).union(v.trips(s, d).select("DestState")).distinct()
 )

@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from wayfare import schema
 from wayfare.sources.tables import new_path
 
 
-def write_partitioned(df: DataFrame, by: str, path: str | None = None, files: int = 8) -> DataFrame:
-    """Parquet in a folder for each value, each of some files; so no task writes to every folder, and none has a whole value."""
+def write_partitioned(df: DataFrame, by: str, path: str | None = None, file_rows: int = 5_000_000) -> DataFrame:
+    """Parquet in a folder for each value; values that df does not have keep what was written before.
+
+    Rows are rebalanced by the value: small values share a task, and a large one is split into tasks, so files, of a size that
+    Spark's advisory partition size and file_rows set, grow in number and not in size.
+    """
     path = path or new_path(df.sparkSession, "parquet")
-    df.repartition(F.col(by), F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.mode("overwrite").partitionBy(by).parquet(path)
+    writer = df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", file_rows)
+    writer.partitionBy(by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def write_observed(df: DataFrame, numeric: list[str], ranges: dict[str, tuple[float, float]], order: list[str], path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(what was written, checks): a row for each check and its count, taken while the table is written, without a scan of its own.
+
+    Checks: rows; rows of each numeric column that are null, NaN or infinite; values outside their range; and, from the
+    schema alone, columns of the order that are missing or not at their place.
+    """
+    path = path or new_path(df.sparkSession, "observed")
+    odd = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    checks = {"rows": F.count("*")} | {c: F.count_if(odd(c)) for c in numeric}
+    checks |= {f"{c} outside {a:g}..{b:g}": F.count_if(~F.col(c).between(a, b)) for c, (a, b) in ranges.items()}
+    seen = Observation("quality")
+    df.observe(seen, *(x.alias(f"_{i}") for i, x in enumerate(checks.values()))).write.mode("overwrite").parquet(path)
+    found = [(name, seen.get[f"_{i}"]) for i, name in enumerate(checks)]
+    found += [("missing columns", len(schema.missing(df.columns, order))), ("columns out of place", len(schema.out_of_order(df.columns, order)))]
+    return df.sparkSession.read.parquet(path), df.sparkSession.createDataFrame(found, "check string, n long")
+
+
 def write_csv(df: DataFrame, schema: str, path: str | None = None) -> DataFrame:
     """A small report as one CSV file with a header."""
     path = path or new_path(df.sparkSession, "csv")

@@ -1,13 +1,26 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and deleting them."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class _Open(threading.local):
+    """The scopes that this thread has open, each with the paths that were made in it."""
+
+    def __init__(self):
+        self.scopes: list[list[str]] = []
+
+
+_OPEN = _Open()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own in local mode (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -20,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str = "table") -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN.scopes:
+        _OPEN.scopes[-1].append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -28,3 +44,35 @@ def written(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths that are made inside; all of them are deleted at its end, also after a failure."""
+    _OPEN.scopes.append([])
+    made = _OPEN.scopes[-1]
+    try:
+        yield made
+    finally:
+        _OPEN.scopes.pop()
+        for path in made:
+            delete(spark, path)
+
+
+def tidy(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives; if it wrote tables on the way, its result is written too and they are deleted."""
+    with scope(spark) as made:
+        df = make()
+        if not made:
+            return df
+        path = new_path(spark, "result")
+        made.remove(path)  # it outlives this scope, but not one around it
+        df.write.option("compression", "zstd").parquet(path)
+    if _OPEN.scopes:
+        _OPEN.scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
