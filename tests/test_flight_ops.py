@@ -586,3 +586,22 @@ def test_queries_leave_only_their_result(spark):
     assert set(os.listdir(at)) - before == left
     queries["f2_diverted"](spark, "/root/testdata/sf0.001").count()  # writes nothing
     assert set(os.listdir(at)) - before == left
+
+
+def test_backtest_sample_and_serving_states(spark):
+    from wayfare.ml import models
+
+    rows = spark.range(900).withColumn("k", F.col("id") % 7)
+    assert models.backtest_rows(rows, 100).count() == 100 and models.backtest_rows(rows) is rows
+    assert models.backtest_rows(rows, 100).exceptAll(models.backtest_rows(rows.repartition(7), 100)).count() == 0
+    df = spark.createDataFrame([("a", "b", "c")], "Origin_State string, OriginStateName string, DEST_STATE_NM string")
+    assert clean.standard_states(df, schema.SERVING_STATE_CANDIDATES).select("OriginState", "DestState").first() == ("a", "c")
+    assert clean.standard_states(df).select("OriginState", "DestState").first() == ("b", "c")
+
+
+def test_best_threshold_at_the_thresholds_themselves(spark):
+    rows = [(1, i / 100) for i in range(1, 100)] + [(0, i / 100 - 1e-12) for i in range(1, 100)] + [(0, 0.0), (1, 1.0), (0, -3.0), (1, 7.0), (0, None)]
+    got = metrics.best_threshold(spark.createDataFrame(rows, "label int, p double")).first()
+    f1 = lambda t: 2 * sum(y for y, p in rows if p is not None and p >= t) / (sum(p is not None and p >= t for _, p in rows) + sum(y for y, _ in rows))
+    best = max((f1(i / 100), -i) for i in range(1, 100))
+    assert got.threshold == -best[1] / 100 and math.isclose(got.f1, best[0])

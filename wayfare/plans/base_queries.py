@@ -101,6 +101,9 @@ query("f12_period_or_all", f"with {v.TRIPS_SQL} select 'some' as kind, Year, cou
 query("p1_states", f"with {v.TRIPS_SQL} select {KEYS_SQL}, OriginState, cast(null as varchar) as DestState from raw")(
     lambda s, d: clean.standard_states(v.trips(s, d).withColumnRenamed("OriginState", "ORIGIN_STATE_ABR").drop("DestState")).select(*KEYS, "OriginState", "DestState")
 )
+query("p1_serving_states", f"with {v.TRIPS_SQL} select {KEYS_SQL}, OriginState, DestState from raw")(
+    lambda s, d: clean.standard_states(v.trips(s, d).withColumnsRenamed({"OriginState": "OriginStateAbbr", "DestState": "Dest_State"}).withColumn("DestStateName", F.lit("later")), schema.SERVING_STATE_CANDIDATES).select(*KEYS, "OriginState", "DestState")
+)
 query("p2_types", f"with {v.TRIPS_SQL} select {KEYS_SQL}, Year, Month, DayOfWeek, Cancelled, ArrDel15, Distance from raw")(
     lambda s, d: clean.narrow_types(v.trips(s, d).withColumn("Year", F.col("Year").cast("string")).withColumn("Distance", F.col("Distance").cast("float"))).select(
         *KEYS, "Year", "Month", "DayOfWeek", "Cancelled", "ArrDel15", "Distance"

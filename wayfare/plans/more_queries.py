@@ -153,7 +153,7 @@ query("e5_class_report", sql(f"{v.SCORED_SQL}, {_C4.format(t='0.4::double')}, {_
 )
 query("e6_confusion", f"with {v.SCORED_SQL} select label, case when p >= 0.4::double then 1 else 0 end as pred, count(*) as n from scored group by 1, 2")(lambda s, d: metrics.confusion(v.scored(s, d), 0.4))
 query("e7_e12_top_bucket", sql(f"{v.SCORED_SQL}, q as (select quantile_cont(p, 0.9) as t from scored)", "select avg(label) filter (p >= t) as top_rate, avg(label) filter (p < t) as rest_rate, sum(label) filter (p >= t) / sum(label) as event_share from scored, q", "top_rate rest_rate event_share"))(
-    lambda s, d: rounded(metrics.top_bucket(v.scored(s, d), 0.9))
+    lambda s, d: rounded(metrics.top_bucket(written(v.scored(s, d)), 0.9))
 )
 query("e8_roc_curve", sql(_CUM_ALL, "select p as threshold, (nall - negb) / nall as fpr, (pall - posb) / pall as tpr from c", "threshold fpr tpr"))(lambda s, d: rounded(metrics.roc_curve(v.scored(s, d))))
 query("e9_pr_curve", sql(_CUM_ALL, "select p as threshold, (pall - posb) / ((pall - posb) + (nall - negb)) as precision, (pall - posb) / pall as recall, pall / (pall + nall) as prevalence from c", "threshold precision recall prevalence"))(
@@ -161,7 +161,7 @@ query("e9_pr_curve", sql(_CUM_ALL, "select p as threshold, (pall - posb) / ((pal
 )
 _EDGES = "[" + ", ".join(str(i / 20) for i in range(1, 20)) + "]"
 query("e10_calibration", sql(f"{v.SCORED_SQL}, q as (select quantile_cont(p, {_EDGES}) as e from scored)", "select cast(len(list_filter(e, lambda x: x < p)) as int) as bin, avg(p) as mean_p, avg(label) as rate, count(*) as n from scored, q group by 1", "mean_p rate"))(
-    lambda s, d: rounded(metrics.calibration(v.scored(s, d)))
+    lambda s, d: rounded(metrics.calibration(written(v.scored(s, d))))
 )
 query("e11_histogram", sql(f"{v.SCORED_SQL}, ends as (select label, min(p) as lo, max(p) as hi, count(*) as n from scored group by 1)", "select label, bin, count(*) as n, count(*) / (max(en) * max(w)) as density from (select label, cast(least(29, floor((p - lo) / ((hi - lo) / 30))) as int) as bin, e.n as en, (hi - lo) / 30 as w from scored join ends e using (label)) group by 1, 2", "density"))(
     lambda s, d: rounded(metrics.histogram(v.scored(s, d)))
@@ -173,7 +173,7 @@ query("e14_core_metrics", sql(f"{_CUM_ALL}, q as (select quantile_cont(p, 0.9) a
 )
 query("e15_stratification", sql(f"{v.SCORED_SQL}, f as (select unnest([0.05::double, 0.1, 0.2, 0.3, 0.5]) as share), q as (select share, (select quantile_cont(p, 0.95) from scored) as t from f where share = 0.05 union all select share, (select quantile_cont(p, 0.9) from scored) from f where share = 0.1 union all select share, (select quantile_cont(p, 0.8) from scored) from f where share = 0.2 union all select share, (select quantile_cont(p, 0.7) from scored) from f where share = 0.3 union all select share, (select quantile_cont(p, 0.5) from scored) from f where share = 0.5)",
   "select share, count(*) filter (p >= t) as n, avg(label) filter (p >= t) as event_rate, avg(label) filter (p >= t) / avg(label) as uplift, sum(label) filter (p >= t) / sum(label) as event_share from scored, q group by share", "event_rate uplift event_share"))(
-    lambda s, d: rounded(metrics.stratification(v.scored(s, d)))
+    lambda s, d: rounded(metrics.stratification(written(v.scored(s, d))))
 )
 _BY = lambda key: _CUM.format(v=v.SCORED_SQL, k=f"{key},", t="scored", w=f"partition by {key}")
 query("e16_by_group", sql(_BY("Reporting_Airline"), f"select Reporting_Airline, n_samples, auc, brier, prevalence from (select Reporting_Airline, count(*) as n_samples, avg((p - label) * (p - label)) as brier, avg(label) as prevalence from scored group by 1 having count(*) >= 1000) join (select Reporting_Airline, {_AUC} as auc from c group by 1) using (Reporting_Airline)", "auc brier prevalence"))(

@@ -40,6 +40,11 @@ STATE_CANDIDATES = {
     side: [f"{side}State", f"{side.upper()}_STATE_ABR", f"{side}StateName", f"{side.upper()}_STATE_NM"] for side in ("Origin", "Dest")
 }
 
+#: The same for tables that requests are served from, which know two more spellings.
+SERVING_STATE_CANDIDATES = {
+    side: [f"{side}State", f"{side.upper()}_STATE_ABR", f"{side}_State", f"{side}StateAbbr", f"{side}StateName", f"{side.upper()}_STATE_NM"] for side in ("Origin", "Dest")
+}
+
 
 def missing(columns: list[str], required: list[str] = FEATURES) -> list[str]:
     """Required columns that a frame does not have."""
