@@ -359,6 +359,12 @@ def test_crossfit_means_hold_no_own_label(spark):
         prior = sum(x.label for x in other) / len(other)
         same = [x.label for x in other if x.g == r.g]
         assert math.isclose(r.key_enc, prior) and math.isclose(r.g_enc, (sum(same) + 10 * prior) / (len(same) + 10))
+    whole = models.crossfit_means(rows, ["key", "g"], smoothing=10.0, plenty=100).collect()
+    overall = sum(x.label for x in got) / len(got)
+    for r in whole[:60]:  # large groups have one mean, small ones that of the other folds
+        same = [x.label for x in got if x.g == r.g]
+        assert math.isclose(r.g_enc, (sum(same) + 10 * overall) / (len(same) + 10))
+        assert math.isclose(r.key_enc, next(x.key_enc for x in got if x.key == r.key))
     # an id has no signal: within a fold all rows have one value
     assert all(len({round(x.key_enc, 12) for x in got if x.fold == f}) == 1 for f in range(5))
 
