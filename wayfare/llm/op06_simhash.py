@@ -9,7 +9,9 @@ are compared: within a key's rows a breadth-first search over exact Hamming dist
 reaches to the smallest fingerprint, so a key gives fewer edges than members however dense it is. The edges of all keys
 are joined to components.
 
-A key with over TILE fingerprints is cut into chunks whose pairs are searched apart (tiled), so no task holds a large group.
+A key's fingerprints beyond a thousand are grouped once more, by parts of the bits that they do not share yet, so that the
+search does not grow with the square of a key. A key with over TILE fingerprints is cut into chunks whose pairs are searched
+apart (tiled), so no task holds a large group.
 
 near_copies() is the same operator with a wider radius, for five-word shingles and a Jaccard similarity of at least 0.8, where
 about one bit in seven differs. Its fingerprints are those of the sets of shingles and have ten segments of 23 bits, the
@@ -42,8 +44,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 SEGMENTS, BITS = 4, 16
 #: Generator polynomial of the binary Golay code of length 23 (fixed).
 GENERATOR = 0b101011100011
-#: Fingerprints of a key that are searched together.
-TILE = 500_000
+#: Fingerprints of a key that are searched together, and so many that each is compared with all that are left.
+TILE, SEARCHED = 500_000, 1000
 #: The wide form: shingle, similarity as a fraction (so that comparing is exact), segments, and bits that may differ.
 WIDE_SHINGLE, LEAST, WIDE_SEGMENTS, WIDE_RADIUS = 5, (4, 5), 10, 60
 #: Shingles of a loose group that are compared together.
@@ -117,9 +119,8 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def near_edges(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(member, root) for distinct fingerprints that chains of distances within radius connect; root is the smallest."""
-    rest = np.sort(members)
+def _chained(rest: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """(member, root) for distinct sorted fingerprints that chains within radius connect; root is the smallest."""
     edges = []
     while len(rest) > 1:
         root, rest = rest[0], rest[1:]
@@ -133,6 +134,24 @@ def near_edges(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int
     return edges
 
 
+def near_edges(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Pairs (member, smaller member) that connect the distinct fingerprints which chains of distances within radius connect.
+
+    Of many members only those are compared that agree in one of radius + 1 interleaved parts of their bits: any two within
+    radius do (pigeonhole). Interleaved, as the members of a key agree in one run of bits already.
+    """
+    members = np.sort(members)
+    if len(members) <= SEARCHED:
+        return _chained(members, radius)
+    edges = []
+    for part in range(radius + 1):
+        bits = members & np.uint64(sum(1 << i for i in range(part, 64, radius + 1)))
+        order = np.argsort(bits, kind="stable")
+        for group in np.split(members[order], np.flatnonzero(np.diff(bits[order])) + 1):
+            edges += _chained(group, radius)
+    return edges
+
+
 def _keyed(batches):
     for batch in batches:
         prints = batch.column("fp").to_numpy(zero_copy_only=False)
@@ -144,7 +163,6 @@ def _keyed(batches):
 
 def _linked(batches):
     """Edges within each key of rows sorted by key; only the key in hand is held."""
-    held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def edges(k: np.ndarray, f: np.ndarray):
         cuts = np.flatnonzero(np.diff(k)) + 1
@@ -173,7 +191,7 @@ def _linked(batches):
         yield edges(np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done]))
         waiting = [(k[last:], f[last:])]
     if waiting:
-        yield edges(np.concatenate([held_k, *(x for x, _ in waiting)]), np.concatenate([held_f, *(x for _, x in waiting)]))
+        yield edges(np.concatenate([x for x, _ in waiting]), np.concatenate([x for _, x in waiting]))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
