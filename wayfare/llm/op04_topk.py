@@ -7,14 +7,17 @@ the bin that holds the k-th score is the next interval. When intervals are singl
 pass keeps scores not below it (per tile the k best at most, which loses none of the k best overall) and ranks them with ties
 to the smaller id.
 
-Of the two sides the smaller one moves: in each pass a candidate goes once to its block, and a query once to every candidate
-block. Only scalars (counts, the largest norm and length) reach the driver. A histogram is passed on as soon as its
+Components are held in the smallest integer type that fits and become floats a part at a time, so a block is large in rows and
+there are few blocks for the queries to visit. Of the two sides the smaller one moves: in each pass a candidate goes once to
+its block, and a query once to every candidate block. Only scalars (counts, the largest norm, component and length) reach the
+driver. A histogram is passed on as soon as its
 tile is done, and sums are made of one query block after another, so no task's memory grows with the table.
 
 Defined cases: vectors that are null, empty or have null or non-finite components take no part; shorter vectors are
 padded with zeros; every row counts: rows that repeat an id are candidates and queries of their own, and a row is not its own
 candidate; a row with a null id is a candidate, after all others at equal score, and no query; fewer than k candidates give
-all of them; an empty table gives no rows; other columns are ignored.
+all of them; components beyond 2^62 count as that, and scores beyond the range of a long as its ends; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ from pyspark.sql.window import Window
 from wayfare.llm.common import apart, cut, table
 
 SCALE, K, QUERY_EVERY = 64, 20, 20
-#: Components of a candidate block and of a row of it or a query block; rows scored at once; bins of a histogram.
-HELD, PART, AT_ONCE, BINS = 1 << 22, 1 << 15, 1024, 128
-#: Scores under this bound are exact in double precision, so BLAS may make them.
-EXACT = 2.0**52
+#: Bytes of a candidate block; components of a row of it or a query block; rows scored at once; bins of a histogram.
+HELD, PART, AT_ONCE, BINS = 1 << 26, 1 << 15, 1024, 128
+#: Scores under these bounds are exact in single and double precision, so BLAS may make them.
+EXACT = {"f4": 2.0**23, "f8": 2.0**52}
 
 
 def integers(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -58,8 +61,8 @@ def integers(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
 BLOCK = "rows binary, ids binary, nulls binary, m binary"
 
 
-def blocks(vectors: DataFrame, dim: int, name: str) -> DataFrame:
-    """(name, rows, ids, nulls, m): some vectors of a partition as a matrix; of one value of `name` if vectors have it."""
+def blocks(vectors: DataFrame, dim: int, name: str, kind: str) -> DataFrame:
+    """(name, rows, ids, nulls, m): some vectors of a partition as a matrix of `kind`; of one value of `name` if vectors have it."""
     size, dealt = max(1, PART // dim), name in vectors.columns
 
     def run(batches):
@@ -68,7 +71,7 @@ def blocks(vectors: DataFrame, dim: int, name: str) -> DataFrame:
 
         def packed():
             row, ids, vs = zip(*held)
-            m = np.zeros((len(held), dim), "<i8")
+            m = np.zeros((len(held), dim), kind)
             for i, v in enumerate(vs):
                 m[i, : len(v) // 8] = np.frombuffer(v, "<i8")
             null = np.array([x is None for x in ids])
@@ -93,14 +96,13 @@ def blocks(vectors: DataFrame, dim: int, name: str) -> DataFrame:
 
 
 class _Block:
-    def __init__(self, parts: list[tuple], fast: bool):
+    def __init__(self, parts: list[tuple], kind: str):
         self.rows, self.ids = (np.frombuffer(b"".join(p[i] for p in parts), "<i8") for i in (0, 1))
         self.nulls = np.frombuffer(b"".join(p[2] for p in parts), bool)
-        m = np.frombuffer(b"".join(p[3] for p in parts), "<i8").reshape(len(self.rows), -1)
-        self.m = m.astype(np.float64) if fast else m.astype(object)
+        self.m = np.frombuffer(b"".join(p[3] for p in parts), kind).reshape(len(self.rows), -1)
 
 
-def _tiles(batches, fast: bool):
+def _tiles(batches, kind: str):
     """(query block's number, query block, lo, above, candidate block) of each tile; a candidate block's rows come first."""
     held, number, block = [], None, None
     for batch in batches:
@@ -111,19 +113,20 @@ def _tiles(batches, fast: bool):
             if q is None:
                 held.append((rows, ids, nulls, m))
                 continue
-            if not held:
-                continue
-            block = block or _Block(held, fast)
-            yield q, _Block([(rows, ids, nulls, m)], fast), np.frombuffer(lo, "<i8"), np.frombuffer(above, "<i8"), block
+            if held:
+                block, held = _Block(held, kind), []
+            if block:
+                yield q, _Block([(rows, ids, nulls, m)], kind), np.frombuffer(lo, "<i8"), np.frombuffer(above, "<i8"), block
 
 
-def _scores(query: _Block, block: _Block, fast: bool):
+def _scores(query: _Block, block: _Block, number: str):
     """(first candidate, scores, (query, candidate) places of rows that meet themselves) for parts of a block."""
     order = np.argsort(query.rows)
+    m = query.m.astype(number)
     for a in range(0, len(block.rows), AT_ONCE):
         rows = block.rows[a : a + AT_ONCE]
-        s = query.m @ block.m[a : a + AT_ONCE].T
-        s = s.astype(np.int64) if fast else np.clip(s, -(2**63), 2**63 - 1).astype(np.int64)
+        s = m @ block.m[a : a + AT_ONCE].astype(number).T
+        s = (np.clip(s, -(2**63), 2**63 - 1) if number == "O" else s).astype(np.int64)
         at = np.minimum(np.searchsorted(query.rows, rows, sorter=order), len(order) - 1)
         own = np.flatnonzero(query.rows[order[at]] == rows)
         yield a, s, (order[at[own]], own)
@@ -138,14 +141,14 @@ def _meeting(queries: DataFrame, candidates: DataFrame, n_blocks: int) -> DataFr
     return held.unionByName(passing).repartition(n_blocks, "c").sortWithinPartitions("c", F.col("q").asc_nulls_first())
 
 
-def _narrowed(queries: DataFrame, candidates: DataFrame, n_blocks: int, width: int, k: int, fast: bool) -> tuple[DataFrame, int]:
+def _narrowed(queries: DataFrame, candidates: DataFrame, n_blocks: int, width: int, k: int, kind: str, number: str) -> tuple[DataFrame, int]:
     """One pass: each query's interval [lo, lo + width) shrinks to the bin with its k-th score."""
     step = -(-width // BINS)
 
     def count(batches):
-        for q, query, lo, _, block in _tiles(batches, fast):
+        for q, query, lo, _, block in _tiles(batches, kind):
             sums = np.zeros(len(lo) * BINS, np.int64)
-            for _, s, (qi, ci) in _scores(query, block, fast):
+            for _, s, (qi, ci) in _scores(query, block, number):
                 bins = (s - lo[:, None]) // step
                 inside = (bins >= 0) & (s - lo[:, None] < width)
                 inside[qi, ci] = False
@@ -202,23 +205,24 @@ def _top_k(vectors: DataFrame, id_col: str, vec_col: str, k: int, every: int, sc
     def norms(batches):
         for batch in batches:
             rows = [np.frombuffer(r, "<i8").astype(np.float64) for r in batch.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([float(np.sqrt(r @ r)) for r in rows], pa.float64()), pa.array([len(r) for r in rows], pa.int64())], names=["norm", "dim"]
-            )
+            made = [pa.array([float(np.sqrt(r @ r)) for r in rows], pa.float64()), pa.array([float(np.abs(r).max()) for r in rows], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*made, pa.array([len(r) for r in rows], pa.int64())], names=["norm", "most", "dim"])
 
     is_query = F.col("id") % every == 0
     n, n_queries = ints.agg(F.count("*"), F.count_if(is_query)).first()
-    norm, dim = ints.mapInArrow(norms, "norm double, dim long").agg(F.max("norm"), F.max("dim")).first()
+    norm, most, dim = ints.mapInArrow(norms, "norm double, most double, dim long").agg(F.max("norm"), F.max("most"), F.max("dim")).first()
     out = "query_id long, rank int, vec_id long, score long"
     if not n or not n_queries:
         return spark.createDataFrame([], out)
     bound = norm * norm + 1
-    fast = bound < EXACT
+    number = next((name for name, exact in EXACT.items() if bound < exact), "O")
+    bytes_each = next((b for b in (1, 2, 4) if most < 2 ** (8 * b - 1)), 8)
+    kind = f"<i{bytes_each}"
     limit = int(min(bound, 2.0**62))
-    n_blocks = max(spark.sparkContext.defaultParallelism, -(-n * dim // HELD))
+    n_blocks = max(spark.sparkContext.defaultParallelism, -(-n * dim * bytes_each // HELD))
     dealt = ints.withColumn("c", F.pmod(F.xxhash64("row"), F.lit(n_blocks).cast("long")))
-    candidates = cut(blocks(dealt.repartition(n_blocks, "c").sortWithinPartitions("c"), dim, "c"))
-    queries = blocks(ints.filter(is_query), dim, "q")
+    candidates = cut(blocks(dealt.repartition(n_blocks, "c").sortWithinPartitions("c"), dim, "c", kind))
+    queries = blocks(ints.filter(is_query), dim, "q", kind)
 
     def start(batches):
         for batch in batches:
@@ -230,11 +234,11 @@ def _top_k(vectors: DataFrame, id_col: str, vec_col: str, k: int, every: int, sc
     queries = cut(queries.mapInArrow(start, f"q long, {BLOCK}, lo binary, above binary"))
     width = 2 * limit + 1
     while width > 1:
-        queries, width = _narrowed(queries, candidates, n_blocks, width, k, fast)
+        queries, width = _narrowed(queries, candidates, n_blocks, width, k, kind, number)
 
     def keep(batches):
-        for _, query, lo, _, block in _tiles(batches, fast):
-            for a, s, (qi, ci) in _scores(query, block, fast):
+        for _, query, lo, _, block in _tiles(batches, kind):
+            for a, s, (qi, ci) in _scores(query, block, number):
                 inside = s >= lo[:, None]
                 inside[qi, ci] = False
                 qs, cs = np.nonzero(inside)
