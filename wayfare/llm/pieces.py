@@ -14,14 +14,17 @@ from collections.abc import Callable
 import numpy as np
 
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
+#: Code points that a library is asked for at once.
+_ASKED = 4096
 
 
 def _classes(matches: Callable[[str, str], str]) -> np.ndarray:
     """The class of every code point; matches(pattern, text) joins what a library's regex engine finds in the text."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     out = np.full(0x110000, _OTHER, np.uint8)
-    for pattern, kind in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _SPACE)):
-        out[np.frombuffer(matches(pattern, every).encode("utf-32-le"), np.uint32)] = kind
+    for a in range(0, len(every), _ASKED):
+        for pattern, kind in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _SPACE)):
+            out[np.frombuffer(matches(pattern, every[a : a + _ASKED]).encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
@@ -30,8 +33,12 @@ def tiktoken_classes() -> np.ndarray:
     """As the tiktoken library's patterns see them, whichever Unicode version it was built with."""
     import tiktoken
 
+    @functools.cache
+    def single_of(pattern: str) -> tiktoken.Encoding:
+        return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+
     def matches(pattern: str, text: str) -> str:
-        single = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        single = single_of(pattern)
         return single.decode_bytes(single.encode_ordinary(text)).decode()
 
     return _classes(matches)
