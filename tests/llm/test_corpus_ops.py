@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -185,6 +186,23 @@ def test_top_k_counts_every_row(spark):
     assert [x.vec_id for x in top_k(big, k=3).filter("query_id = 20").orderBy("rank").collect()] == [29, 28, 27]
 
 
+@pytest.mark.parametrize("scale", [3, 64, 4000, 3_000_000])
+def test_top_k_in_every_integer_type(spark, monkeypatch, scale):
+    from wayfare.llm import op04_topk as op
+
+    monkeypatch.setattr(op, "HELD", 500)
+    monkeypatch.setattr(op, "PART", 40)
+    vs = np.random.default_rng(scale).uniform(-1, 1, (200, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in op.top_k(df, k=7, scale=scale).collect()}
+    ints = np.floor(scale * vs).astype(np.int64)
+    assert len(got) == 10 * 7
+    for q in range(0, 200, 20):
+        s = ints @ ints[q]
+        best = [int(i) for i in np.lexsort((np.arange(200), -s)) if i != q][:7]
+        assert [got[q, r + 1] for r in range(7)] == [(i, int(s[i])) for i in best]
+
+
 # -- op5 ----------------------------------------------------------------------------------------------------------------
 def test_bpe_as_the_library_does(spark):
     import tiktoken
@@ -283,6 +301,45 @@ def test_simhash_by_brute_force(spark):
     assert op.near_duplicates(op.fingerprints(docs_of(spark, []))).collect() == []
 
 
+def test_near_edges_of_many_fingerprints(monkeypatch):
+    from wayfare.llm import op06_simhash as op
+
+    r = random.Random(8)
+    prints = {r.getrandbits(48) for _ in range(400)}  # as in a key: one run of bits is the same in all
+    for p in list(prints)[:150]:
+        for _ in range(r.randrange(1, 4)):
+            prints.add(p)
+            for b in r.sample(range(48), r.randint(1, 3)):
+                p ^= 1 << b
+            prints.add(p)
+    prints = sorted(prints)
+
+    def roots(edges):
+        root = {p: p for p in prints}
+
+        def top(p):
+            while root[p] != p:
+                p = root[p]
+            return p
+
+        for a, b in edges:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+        return {p: top(p) for p in prints}
+
+    want = roots((a, b) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= 3)
+    assert 200 < len(set(want.values())) < len(prints)
+    for searched in (10_000, 20):
+        monkeypatch.setattr(op, "SEARCHED", searched)
+        edges = op.near_edges(np.array(prints, np.uint64))
+        assert roots(edges) == want and all((a ^ b) and a > b for a, b in edges)
+    monkeypatch.undo()
+    apart = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 100_000).astype(np.uint64))
+    start = time.process_time()
+    assert len(op.near_edges(apart)) < 1000
+    assert time.process_time() - start < 30  # all pairs would be 5e9
+
+
 def test_components_of_a_long_chain(spark):
     from wayfare.llm.components import components
 
