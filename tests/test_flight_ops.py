@@ -611,3 +611,41 @@ def test_best_threshold_at_the_thresholds_themselves(spark):
     f1 = lambda t: 2 * sum(y for y, p in rows if p is not None and p >= t) / (sum(p is not None and p >= t for _, p in rows) + sum(y for y, _ in rows))
     best = max((f1(i / 100), -i) for i in range(1, 100))
     assert got.threshold == -best[1] / 100 and math.isclose(got.f1, best[0])
+
+
+def test_a_query_makes_prepared_trips_once_and_nothing_is_shuffled_by_airline(spark, monkeypatch):
+    from wayfare.plans import views as v
+    from wayfare.sources import tables
+
+    made, real, sf = [], v.trips, "/root/testdata/sf0.001"
+    monkeypatch.setattr(v, "trips", lambda s, d: made.append(d) or real(s, d))
+    with tables.scope(spark):
+        a, b = v.prepared(spark, sf), v.prepared(spark, sf)
+        assert v.requests(v.cleaned(spark, sf)).count() > 0 and a.count() == b.count() and made == [sf]
+        plan = v.attached(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 7 and "hashpartitioning" not in plan
+    with tables.scope(spark):
+        assert v.cleaned(spark, sf).columns and len(made) == 2  # another query starts anew
+
+
+def test_code_of_cleaning_is_small_enough_to_be_compiled(spark):
+    days = spark.createDataFrame([(dt.date(2021, 6, 18), "x")], "FlightDate date, b string")
+    from wayfare.functions import calendar
+
+    text = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(calendar.add_observed_flags(days)._jdf.queryExecution().executedPlan())
+    assert max(int(x.split(";")[0]) for x in text.split("maxMethodCodeSize:")[1:]) < 6000
+
+
+def test_samples_sort_one_range_only_and_are_those_of_ranks(spark):
+    from wayfare.operators import sampling
+
+    rows = spark.range(20_000).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"))
+    from pyspark.sql.window import Window
+
+    ranked = rows.withColumn("h", sampling.row_hash(rows, 42)).withColumn("b", F.pmod(F.shiftrightunsigned("h", 40), F.lit(1024)))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("b", "h", "id")))
+    want = {r.id for r in ranked.filter("r <= if(label = 1, 100, 900)").collect()}
+    got = sampling.stratified(rows, "label", 1000)
+    assert {r.id for r in got.collect()} == want and got.count() == 1000
+    got = sampling.negatives(rows, "label", 0.1)
+    assert {r.id for r in got.collect()} == {r.id for r in ranked.filter("label = 1 or r <= 1800").collect()}

@@ -14,7 +14,7 @@ from wayfare.plans import views as v
 from wayfare.plans.base_queries import META_SQL, PAIRS_SQL, STATES_SQL, features_sql, meta_of, rounded, sql
 from wayfare.plans.registry import query
 from wayfare.sources import ontime, reports
-from wayfare.sources.tables import new_path, written
+from wayfare.sources.tables import new_path, small, written
 
 _M = "count(*) as Flights, avg(ArrDel15) as DelayRate, avg(Cancelled) as CancelRate"
 _PCT = "DelayRate * 100 as DelayRatePct, CancelRate * 100 as CancelRatePct"
@@ -89,18 +89,21 @@ _SAFER_SQL = sql(f"{META_SQL}, {v.REQUESTS_SQL}, {_OTHER_HOURS}, {features_sql('
 @query("r2_safer_hours_all", _SAFER_SQL)
 def safer_hours(spark, sf_dir):
     """For all requests; scores equal to nine digits are ties."""
-    return recommend.safer_hours(_some_requests(spark, sf_dir), meta_of(spark, sf_dir), lambda x: expression_score(x).withColumn("p", F.round("p", 9)))
+    meta = meta_of(spark, sf_dir)  # first, as it writes the cleaned trips that the requests come from
+    return recommend.safer_hours(_some_requests(spark, sf_dir), meta, lambda x: expression_score(x).withColumn("p", F.round("p", 9)))
 
 
 _OTHER_AIRLINES = "other as (select r.* exclude (Reporting_Airline), m.Reporting_Airline, r.Reporting_Airline as own from requests r join m9 m on m.Origin = r.Origin and m.Dest = r.Dest where m.RouteFlights > 0)"
 query("r3_safer_airlines", sql(f"{META_SQL}, {v.REQUESTS_SQL}, {_OTHER_AIRLINES}, {features_sql('other')}", f"select request_id, cast(place as int) as place, Reporting_Airline, p from (select *, row_number() over (partition by request_id order by round(p, 9), Reporting_Airline) as place from (select request_id, Reporting_Airline, {SCORE_SQL} as p from built where Reporting_Airline <> own)) where place <= 3", "p"))(
-    lambda s, d: recommend.safer_airlines(_some_requests(s, d), meta_of(s, d), lambda x: expression_score(x).withColumn("p", F.round("p", 9)))
+    lambda s, d: (lambda meta: recommend.safer_airlines(_some_requests(s, d), meta, lambda x: expression_score(x).withColumn("p", F.round("p", 9))))(meta_of(s, d))
 )
 _ALT = """select request_id, '{s}' as side, cast(place as int) as place, alternative, Flights, DelayRate, CancelRate from (select r.request_id, n.airport as alternative, p.Flights, p.DelayRate, p.CancelRate,
   row_number() over (partition by r.request_id order by p.DelayRate + 3 * p.CancelRate, p.Flights desc, n.airport) as place
   from requests r join states h on h.airport = r.{s} join states n on n.state = h.state and n.airport <> r.{s} join pairs p on p.{s} = n.airport and p.{o} = r.{o} where p.Flights >= 80) where place <= 3"""
 query("r4_alternative_airports", sql(f"{v.CLEAN_SQL}, {PAIRS_SQL}, {STATES_SQL}, {v.REQUESTS_SQL}", f"{_ALT.format(s='Origin', o='Dest')} union all {_ALT.format(s='Dest', o='Origin')}", "DelayRate CancelRate"))(
-    lambda s, d: (lambda rows: rounded(recommend.alternative_airports(v.requests(rows), metadata.route_pair_meta(rows), metadata.airport_states(rows), least=80)))(written(v.cleaned(s, d)))
+    lambda s, d: (lambda rows: rounded(recommend.alternative_airports(v.requests(rows), metadata.route_pair_meta(rows), metadata.airport_states(rows), least=80)))(
+        written(v.cleaned(s, d).select("Reporting_Airline", "Origin", "Dest", "OriginState", "DestState", "DepHour", "FlightDate", "Distance", "ArrDel15", "Cancelled"))
+    )
 )
 _LEGS = """legs as (select a.Origin, a.Dest as Hub, b.Dest, a.Flights as Flights_out, b.Flights as Flights_in, a.DelayRate + b.DelayRate as CombinedDelay, a.CancelRate + b.CancelRate as CombinedCancel,
   a.DelayRate + b.DelayRate + 3.0::double * (a.CancelRate + b.CancelRate) as RiskScore, a.Distance + b.Distance as TotalDistance, least(a.Flights, b.Flights) as MinFlights
@@ -121,7 +124,7 @@ query("r7_thin_history", f"""with {META_SQL}, {v.REQUESTS_SQL}, others as (selec
   and m.Reporting_Airline <> r.Reporting_Airline where m.RouteFlights >= 10) where k <= 5 group by 1)
   select request_id, history, case when history = 'enough' then '' else coalesce(richer, '') end as richer from (select r.request_id,
   case when coalesce(RouteFlights, 0) = 0 then 'none' when RouteFlights < 10 then 'thin' else 'enough' end as history from requests r left join m9 using (Reporting_Airline, Origin, Dest)) left join others using (request_id)""")(
-    lambda s, d: recommend.thin_history(_some_requests(s, d), metadata.route_meta(v.attached(s, d)), least=10)
+    lambda s, d: (lambda routes: recommend.thin_history(_some_requests(s, d), routes, least=10))(small(metadata.route_meta(v.attached(s, d))))
 )
 query("p16_round_trip", sql(v.CLEAN_SQL + f", {PAIRS_SQL}", "select a.Origin || '>' || a.Dest as request_id, 1 - (1 - a.DelayRate) * (1 - b.DelayRate) as p_delay, 1 - (1 - a.CancelRate) * (1 - b.CancelRate) as p_cancel from pairs a join pairs b on a.Origin = b.Dest and a.Dest = b.Origin", "p_delay p_cancel"))(
     lambda s, d: (lambda pairs: rounded(recommend.round_trip(
