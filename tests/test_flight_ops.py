@@ -649,3 +649,38 @@ def test_samples_sort_one_range_only_and_are_those_of_ranks(spark):
     assert {r.id for r in got.collect()} == want and got.count() == 1000
     got = sampling.negatives(rows, "label", 0.1)
     assert {r.id for r in got.collect()} == {r.id for r in ranked.filter("label = 1 or r <= 1800").collect()}
+
+
+def test_serving_tables_come_from_cells_without_preparing_trips(spark, monkeypatch):
+    from wayfare.operators import features
+    from wayfare.plans import base_queries
+    from wayfare.plans import views as v
+    from wayfare.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    rounded = lambda df, names: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*names).collect()), key=str)
+    with tables.scope(spark):
+        want = features.Metadata(v.prepared(spark, sf), v.HUB_SHARE, v.HUB_LEAST)
+        for name in ("prepared", "attached"):
+            monkeypatch.setattr(v, name, lambda *a: 1 / 0)
+        got = base_queries.meta_of(spark, sf)
+        for name, table in vars(want).items():
+            assert rounded(getattr(got, name), table.columns) == rounded(table, table.columns), name
+    with tables.scope(spark):  # no trips of the years of the statistics
+        rows = v.flown(spark, sf).filter("Year = 2000")
+        made = metadata.DayLattice(rows, *v.TRAIN, tables.small(v.wx(spark, sf)))
+        assert {r.RouteFlights for r in made.means(stats.ROUTE, ["RouteFlights"]).collect()} == {0.0}
+        assert made.defaults().count() == 1 and made.slot().filter("OriginSlotFlights is not null").count() == 0
+
+
+def test_requests_are_found_without_sorting_trips(spark):
+    from wayfare.plans import views as v
+    from wayfare.sources import tables
+
+    day = lambda d: dt.date(2000, 1, d)
+    rows = [("A", "X", "Y", 1, day(1), 9.0), ("A", "X", "Y", 1, day(2), 3.0), ("A", "X", "Y", 1, day(2), 5.0), ("A", "X", "Y", 2, day(3), None), (None, "X", "Y", 2, day(3), 1.0)]
+    df = spark.createDataFrame(rows, "Reporting_Airline string, Origin string, Dest string, DepHour int, FlightDate date, Distance double")
+    with tables.scope(spark):
+        got = v.requests(tables.written(df))
+        assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in got.collect()} == {("A|X|Y|1", *rows[2]), ("A|X|Y|2", *rows[3]), ("X|Y|2", *rows[4])}

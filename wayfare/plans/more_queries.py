@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare import schema
 from wayfare.functions import flight
-from wayfare.operators import clean, explore, features, metadata, metrics, recommend
+from wayfare.operators import clean, explore, features, metadata, metrics, recommend, stats
 from wayfare.plans import views as v
 from wayfare.plans.base_queries import META_SQL, PAIRS_SQL, STATES_SQL, features_sql, meta_of, rounded, sql
 from wayfare.plans.registry import query
@@ -67,7 +67,7 @@ def expression_score(df: DataFrame) -> DataFrame:
 
 
 def _some_requests(s, d) -> DataFrame:
-    return v.requests(v.cleaned(s, d))
+    return v.requests(v.flown(s, d))
 
 
 _REASONS = """list_filter([case when Month in (11, 12, 1) then 'holiday_season' when Month in (6, 7, 8) then 'summer_peak' end,
@@ -89,7 +89,7 @@ _SAFER_SQL = sql(f"{META_SQL}, {v.REQUESTS_SQL}, {_OTHER_HOURS}, {features_sql('
 @query("r2_safer_hours_all", _SAFER_SQL)
 def safer_hours(spark, sf_dir):
     """For all requests; scores equal to nine digits are ties."""
-    meta = meta_of(spark, sf_dir)  # first, as it writes the cleaned trips that the requests come from
+    meta = meta_of(spark, sf_dir)
     return recommend.safer_hours(_some_requests(spark, sf_dir), meta, lambda x: expression_score(x).withColumn("p", F.round("p", 9)))
 
 
@@ -124,7 +124,7 @@ query("r7_thin_history", f"""with {META_SQL}, {v.REQUESTS_SQL}, others as (selec
   and m.Reporting_Airline <> r.Reporting_Airline where m.RouteFlights >= 10) where k <= 5 group by 1)
   select request_id, history, case when history = 'enough' then '' else coalesce(richer, '') end as richer from (select r.request_id,
   case when coalesce(RouteFlights, 0) = 0 then 'none' when RouteFlights < 10 then 'thin' else 'enough' end as history from requests r left join m9 using (Reporting_Airline, Origin, Dest)) left join others using (request_id)""")(
-    lambda s, d: (lambda routes: recommend.thin_history(_some_requests(s, d), routes, least=10))(small(metadata.route_meta(v.attached(s, d))))
+    lambda s, d: (lambda routes: recommend.thin_history(_some_requests(s, d), routes, least=10))(small(v.lattice(s, d, False).means(stats.ROUTE, ["RouteDelayRate", "RouteCancelRate", "RouteFlights"])))
 )
 query("p16_round_trip", sql(v.CLEAN_SQL + f", {PAIRS_SQL}", "select a.Origin || '>' || a.Dest as request_id, 1 - (1 - a.DelayRate) * (1 - b.DelayRate) as p_delay, 1 - (1 - a.CancelRate) * (1 - b.CancelRate) as p_cancel from pairs a join pairs b on a.Origin = b.Dest and a.Dest = b.Origin", "p_delay p_cancel"))(
     lambda s, d: (lambda pairs: rounded(recommend.round_trip(
