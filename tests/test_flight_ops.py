@@ -684,3 +684,21 @@ def test_requests_are_found_without_sorting_trips(spark):
         got = v.requests(tables.written(df))
         assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
         assert {tuple(r) for r in got.collect()} == {("A|X|Y|1", *rows[2]), ("A|X|Y|2", *rows[3]), ("X|Y|2", *rows[4])}
+
+
+def test_queries_run_large_stages_in_small_methods_and_write_no_second_table_of_trips(spark):
+    from wayfare.plans import ml_queries
+    from wayfare.plans import views as v
+    from wayfare.sources import tables
+
+    name, seen, sf = "spark.sql.codegen.hugeMethodLimit", [], "/root/testdata/sf0.001"
+    before = spark.conf.get(name)
+    tables.tidy(spark, lambda: seen.append(spark.conf.get(name)) or spark.range(1))
+    with pytest.raises(ZeroDivisionError):
+        tables.tidy(spark, lambda: 1 / 0)
+    assert seen == ["8000"] and spark.conf.get(name) == before
+    with tables.scope(spark) as made:
+        rows = v.prepared(spark, sf)
+        n = len(made)
+        parts = ml_queries.splits(spark, sf)
+        assert len(made) == n and sum(x.count() for x in parts) == rows.filter("Cancelled = 0 and ArrDel15 is not null and Year between 1995 and 2001").count()
