@@ -400,6 +400,27 @@ def test_packed_ids_are_those_of_the_library(monkeypatch):
         assert max(len(encoder.of_chunk), len(encoder.of_piece)) <= kept + 4000
 
 
+def test_packed_pieces_are_looked_up_once_a_slice(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from wayfare.llm import op07_packing as op
+    from wayfare.llm.pieces import tokenizers_classes
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"Same start, é {w} {w}.\n" for w in words(3, 200)]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder, asked, ids = op.Encoder(op.vocabulary(), tokenizers_classes()), [], op.Encoder._ids
+    monkeypatch.setattr(op.Encoder, "_ids", lambda self, pieces: asked.append(pieces) or ids(self, pieces))
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    assert [len(set(x)) for x in asked] == [len(x) for x in asked]
+    # a part of a column, with nulls, and an end id behind each text
+    column = pa.array(["left out é", None, *texts, "", "left out"]).slice(1, len(texts) + 2)
+    got, sizes = encoder.columns(column, np.array([1], "<u4").tobytes())
+    assert [np.frombuffer(x, "<u4").tolist() for x in got.to_pylist()] == [[1], *([*x, 1] for x in want), [1]]
+    assert sizes.tolist() == [1, *(len(x) + 1 for x in want), 1]
+
+
 # -- op8 ----------------------------------------------------------------------------------------------------------------
 def test_licenses(spark):
     from wayfare.llm import op08_licenses as op

@@ -5,11 +5,10 @@ totals of the partitions (one number each) into global offsets by a prefix sum a
 windows; a document that crosses a boundary gives a record on either side of it. Neither pass shuffles. The rest after
 the last full window is cut at descending powers of two, so no sequence needs padding.
 
-Ids are those of the tokenizers library for its vocabulary file, special strings being ordinary text. Its pattern never joins
-what lies on either side of a blank that stands between two other characters, so a text is the same as its chunks between
-such blanks, each with its blank in front. A task splits the chunks it has not met into pieces (pieces.py, with the
-library's own character classes), has the library's model tokenize the pieces it has not met, and keeps the ids of both in
-tables of bounded size.
+Ids are those of the tokenizers library for its vocabulary file, special strings being ordinary text. A slice's texts are
+split into pieces together (pieces.py, with the library's own character classes) and stay Arrow and numpy columns: the pieces
+are dictionary-encoded, so Python only meets each distinct piece of a slice once, and the ids of the texts are gathered from those of the
+distinct pieces. The library's model tokenizes the pieces that a task has not met; a table of bounded size keeps their ids.
 
 Defined cases: null text is empty and gives only the end id; every document gives at least one piece; equal rows and
 equal or null ids are documents of their own; a very long text is one document in many pieces; an empty table gives no rows;
@@ -19,7 +18,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
@@ -29,15 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import cut, slices, table, uncollected
-from wayfare.llm.pieces import split, tokenizers_classes
+from wayfare.llm.pieces import split_column, tokenizers_classes
 
 WINDOW = 2048
 END_ID = 1
-#: A task forgets the ids of its chunks and pieces beyond so many, and keeps none of more code points than these.
-KEPT, KEPT_SIZE = 400_000, 64
-#: A blank where no text may be cut (after white space, and before white space or the end), and where any may be.
-_UNSAFE = re.compile(r"\s (?!\S)")
-_SAFE = re.compile(r"(?<!\s) (?=\S)")
+#: A task forgets the ids of its pieces beyond so many, and keeps none of more bytes than these.
+KEPT, KEPT_SIZE = 800_000, 64
 #: How a byte-level vocabulary writes each byte: those that print stand for themselves, the others are moved up.
 _PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: chr(b) for b in _PRINTS} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTS)}
@@ -45,11 +40,6 @@ _SHOWN = {b: chr(b) for b in _PRINTS} | {b: chr(256 + i) for i, b in enumerate(x
 _HELD: dict = {}
 
 
-def chunks_of(text: str) -> list[str]:
-    """Parts of the text between blanks; all but the first have lost the blank in front of them."""
-    return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
-
-
 class Encoder:
     def __init__(self, spec: str, classes: np.ndarray):
         from tokenizers import Tokenizer
@@ -58,41 +48,45 @@ class Encoder:
         self.tokenize = tokenizer.model.tokenize
         self.raw = [np.uint32(i).tobytes() for i in range(tokenizer.get_vocab_size())]
         self.classes = classes
-        self.of_chunk: dict[str, bytes] = {}
-        self.of_piece: dict[str, bytes] = {}
+        self.of_piece: dict[bytes, bytes] = {}
+
+    @property
+    def of_chunk(self) -> dict[bytes, bytes]:
+        """Chunks of texts are their pieces: one table holds both."""
+        return self.of_piece
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [chunks_of(t) for t in texts]
-        firsts = [p.pop(0) for p in parts]
-        here = set().union(*parts)
-        new = list(here - self.of_chunk.keys())
-        if len(self.of_chunk) + len(new) > KEPT:
-            self.of_chunk = {c: self.of_chunk[c] for c in here & self.of_chunk.keys()}
-        found = self._ids([*firsts, *(" " + c for c in new)])
-        self.of_chunk.update(zip(new, found[len(firsts) :]))
-        get = self.of_chunk.__getitem__
-        out = [first + b"".join(map(get, p)) for first, p in zip(found, parts)]
-        for c in new:
-            if len(c) > KEPT_SIZE:
-                del self.of_chunk[c]
-        return out
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk, from those of its pieces."""
-        pieces = split(chunks, self.classes)
-        here = set().union(*pieces)
-        new = here - self.of_piece.keys()
+        return self.columns(pa.array(texts, pa.string()), b"")[0].to_pylist()
+
+    def columns(self, texts: pa.Array, end: bytes) -> tuple[pa.Array, np.ndarray]:
+        """Ids of each text (null: empty) with `end` after them, little-endian unsigned 32-bit integers, and their numbers."""
+        pieces, firsts = split_column(texts, self.classes)
+        coded = pieces.dictionary_encode()
+        found = [*self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), end]
+        kinds = np.insert(coded.indices.to_numpy(), firsts[1:], len(found) - 1)  # an end behind each text's pieces
+        last = firsts + np.arange(len(firsts))
+        held = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = lengths[kinds]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = held[np.repeat((np.cumsum(lengths) - lengths)[kinds] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[last]
+        offsets = pa.array(4 * bounds).cast(pa.int32())  # refuses what a binary column cannot hold
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets.buffers()[1], pa.py_buffer(ids)]), np.diff(bounds)
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each of the pieces, which are distinct."""
+        out: list = list(map(self.of_piece.get, pieces))
+        new = [k for k, ids in enumerate(out) if ids is None]
         if len(self.of_piece) + len(new) > KEPT:
-            self.of_piece = {p: self.of_piece[p] for p in here & self.of_piece.keys()}
-        for p in new:
-            shown = p.encode().decode("latin-1").translate(_SHOWN)
-            self.of_piece[p] = b"".join([self.raw[t.id] for t in self.tokenize(shown)])
-        get = self.of_piece.__getitem__
-        out = [b"".join(map(get, s)) for s in pieces]
-        for p in new:
-            if len(p) > KEPT_SIZE:
-                del self.of_piece[p]
+            self.of_piece = {p: ids for p, ids in zip(pieces, out) if ids is not None}
+        kept, raw, tokenize = self.of_piece, self.raw, self.tokenize
+        shown = b"\xff".join([pieces[k] for k in new]).decode("latin-1").translate(_SHOWN).split(_SHOWN[0xFF])  # a byte that UTF-8 never has
+        for k, s in zip(new, shown):
+            out[k] = b"".join([raw[t.id] for t in tokenize(s)])
+            if len(pieces[k]) <= KEPT_SIZE:
+                kept[pieces[k]] = out[k]
         return out
 
 
@@ -117,11 +111,10 @@ def place_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for piece in slices(batch, "_text"):
                 with uncollected():
-                    ids = [x + end for x in encoder.encode([t or "" for t in piece.column("_text").to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                    ids, sizes = encoder.columns(piece.column("_text"), end)
                 ends = at + np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("_id"), pa.array(ids, pa.binary()), pa.array([part] * len(ids), pa.int64()), pa.array(ends - sizes), pa.array(ends)],
+                    [piece.column("_id"), ids, pa.array(np.full(len(ids), part, np.int64)), pa.array(ends - sizes), pa.array(ends)],
                     names=[id_col, "ids", "part", "part_start", "part_end"],
                 )
                 at = int(ends[-1]) if len(ends) else at

@@ -12,6 +12,7 @@ import functools
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
 #: Code points that a library is asked for at once.
@@ -116,3 +117,18 @@ def split(texts: list[str], classes: np.ndarray) -> list[list[str]]:
     at.append(len(whole))
     words = [whole[a:b] for a, b in zip(at, at[1:])]
     return [words[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def split_column(texts: pa.Array, classes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts (null: empty) in UTF-8, one after the other, and the number of pieces before each text and in all."""
+    column = texts.fill_null("").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset)
+    whole = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    codes = np.frombuffer(whole.tobytes().decode().encode("utf-32-le"), np.uint32)
+    byte_of = np.flatnonzero((whole & 0xC0) != 0x80)  # where each code point begins
+    begins = np.searchsorted(byte_of, offsets[:-1][offsets[1:] > offsets[:-1]])
+    at = byte_of[starts_of(codes, begins, classes)]
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(whole))), pa.py_buffer(whole)])
+    return pieces, np.searchsorted(at, offsets)
