@@ -382,6 +382,19 @@ def test_tree_grid_reports_every_setting(spark):
         assert metrics.ranking(models.score(model, val)).first().roc_auc > 0.7
 
 
+def test_settings_are_tried_on_all_training_rows(spark, monkeypatch):
+    from wayfare.ml import models
+
+    real, seen = models.search, []
+    monkeypatch.setattr(models, "TUNING_ROWS", 200, raising=False)
+    monkeypatch.setattr(models, "search", lambda e, parts, *a: seen.append([(x.count(), y.count()) for x, y in parts]) or real(e, parts, *a))
+    train, val = learnable(spark, 900), learnable(spark, 300, 5000)
+    for stopping in (False, True):
+        models.fit_trees_on_grid(train, val, (models.Trees(1, 1), models.Trees(2, 2)), stopping)
+    models.fit_logistic(train, ["DepHour"], [], (0.1, 1.0))
+    assert seen[:2] == [[(900, 300)]] * 2 and sum(held for _, held in seen[2]) == 900 and all(a + b == 900 for a, b in seen[2])
+
+
 def test_network_keeps_its_best_stage(spark, monkeypatch):
     from wayfare.ml import models
 
