@@ -790,3 +790,25 @@ def test_license_copies_side_by_side():
     text = "relased under the mit license foo bar released under the mit license"
     assert [(x[2], x[3]) for x in fuzzy.find(text) if x[3] == "mit" and x[2] < 2] == [(1, "mit"), (0, "mit")]
     assert [x[2] for x in fuzzy.find("all rihts reserved all rights reserved") if x[3] == "reserved"] == [1, 0]
+
+
+def test_sets_that_share_a_key_by_chance_do_not_go_on():
+    import pyarrow as pa
+
+    from wayfare.llm import op06_simhash as op
+
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 256, (4, 32), np.uint8)
+    near = prints.copy()
+    near[:, 3] ^= 0xFF  # eight bits of a fingerprint
+    head = op.heads(np.concatenate([prints, near]))
+    assert head.shape == (8,) and (np.bitwise_count((head[:4] ^ head[4:]).view(np.uint64)) <= 8).all()
+    # keys 0 to 3: two strangers each; key 4: two near copies and a stranger; key 5: alone; key 6: more rows than are compared
+    keys = np.array([0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 4, 5, *[6] * (op.COMPARED + 1)])
+    heads = rng.integers(-(1 << 63), (1 << 63) - 1, len(keys))
+    heads[0:8:2], heads[1:8:2] = 0x0F0F, ~0x0F0F
+    heads[10] = heads[8] ^ 0b1011
+    ids, want = np.arange(len(keys)), [8, 10, *range(12, len(keys))]
+    for size in (1, 3, 700, len(keys)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[a : a + size]) for x in (keys, ids, heads)], names=["key", "set", "head"]) for a in range(0, len(keys), size)]
+        assert sorted(i for b in op._wide_shared(iter(batches)) for i in b.column("set").to_pylist()) == want

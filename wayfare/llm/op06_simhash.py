@@ -17,7 +17,10 @@ near_copies() is the same operator with a wider radius, for five-word shingles a
 about one bit in seven differs. Its fingerprints are those of the sets of shingles and have ten segments of 23 bits, the
 length of the Golay code. A segment is decoded softly: the two codewords nearest to the vector of majorities (not only of
 their signs) are its keys. By pigeonhole a pair is a candidate if two of the ten segments share a codeword, of which at
-most one is a second choice. Candidates within WIDE_RADIUS bits make loose groups, and within those the exact sets decide.
+most one is a second choice. Keys move once, each with 64 bits of the fingerprint (its head): most keys that several sets have
+they have by chance, more so the larger the corpus, and such sets go there unless a head is within HEAD_RADIUS bits. Whole
+fingerprints are fetched for what is left. Candidates within WIDE_RADIUS bits make loose groups, and within those the exact
+sets decide.
 
 Defined cases: null or blank text has fingerprint zero and is linked like any other; rows with equal ids are one
 document with several fingerprints for the component and appear once each; null ids keep their fingerprint and link
@@ -48,6 +51,11 @@ GENERATOR = 0b101011100011
 TILE, SEARCHED = 500_000, 1000
 #: The wide form: shingle, similarity as a fraction (so that comparing is exact), segments, and bits that may differ.
 WIDE_SHINGLE, LEAST, WIDE_SEGMENTS, WIDE_RADIUS = 5, (4, 5), 10, 60
+#: Which of a wide fingerprint's bits its head has, and how many of them may differ: at a similarity of 0.8 some 10 of the 64 do, more than
+#: 24 for about one pair in a million, as many as differ in more than WIDE_RADIUS of all bits.
+HEAD, HEAD_RADIUS = np.arange(64) * (WIDE_SEGMENTS * 23) // 64, 24
+#: Rows of a key up to which heads are compared; those of a larger one all go on.
+COMPARED = 2000
 #: Shingles of a loose group that are compared together.
 TILE_SHINGLES = 500_000
 
@@ -271,9 +279,64 @@ def _wide_keyed(batches):
     for batch in batches:
         sets = batch.column("set").to_numpy(zero_copy_only=False)
         codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), "<u2").reshape(len(sets), WIDE_SEGMENTS, 2)
+        head = heads(np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(sets), -1))
         for a in range(0, len(sets), 2000):
             keys = wide_keys(codes[a : a + 2000])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(sets[a : a + 2000], keys.shape[1]))], names=["key", "set"])
+            each = [pa.array(np.repeat(x[a : a + 2000], keys.shape[1])) for x in (sets, head)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *each], names=["key", "set", "head"])
+
+
+def heads(prints: np.ndarray) -> np.ndarray:
+    """64 bits of each row of bytes, spread over all segments, as signed numbers."""
+    return np.ascontiguousarray(np.packbits(np.unpackbits(prints, axis=1)[:, HEAD], axis=1)).view("<i8").ravel()
+
+
+def with_partner(keys: np.ndarray, head: np.ndarray, radius: int = HEAD_RADIUS) -> np.ndarray:
+    """Which rows, sorted by key, have another row of their key within the radius."""
+    found, at, step = np.zeros(len(keys), bool), np.arange(len(keys)), 1
+    while len(at):
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        near = at[np.bitwise_count((head[at] ^ head[at + step]).view(np.uint64)) <= radius]
+        found[near] = found[near + step] = True
+        step += 1
+    return found
+
+
+def _wide_shared(batches):
+    """(key, set) of the rows (key, set, head), sorted by key, that may have a near copy there; at most COMPARED rows of the key in hand are held."""
+    row = lambda k, ids, to: pa.RecordBatch.from_arrays([pa.array(k[to]), pa.array(ids[to])], names=["key", "set"])
+    held, large = [], None  # rows of the last key, and a key that is known to be large
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "set", "head")]
+        if large is not None:
+            here = int(np.searchsorted(columns[0], large, "right"))
+            yield row(*columns[:2], slice(0, here))
+            columns = [c[here:] for c in columns]
+        if not len(columns[0]):
+            continue
+        large = None
+        k, ids, head = (np.concatenate(x) for x in zip(*held, columns))
+        last = int(np.searchsorted(k, k[-1]))
+        held = [(k[last:], ids[last:], head[last:])]
+        if last:
+            yield row(k, ids, _kept(k[:last], head[:last]))
+        if len(k) - last > COMPARED:
+            held, large = [], k[-1]
+            yield row(k, ids, slice(last, None))
+    if held:
+        k, ids, head = held[0]
+        yield row(k, ids, _kept(k, head))
+
+
+def _kept(k: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Places of the rows with a partner, and of all rows of the keys of over COMPARED rows."""
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    sizes = np.diff(np.append(starts, len(k)))
+    every = np.repeat(sizes > COMPARED, sizes)
+    some = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= COMPARED), sizes))
+    every[some] = with_partner(k[some], head[some])
+    return np.flatnonzero(every)
 
 
 def wide_edges(ids: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -361,7 +424,8 @@ def near_copies(rows: DataFrame, key: str, text_col: str = "text", tile: int = T
     def found() -> DataFrame:
         made = cut(map_texts(rows, key, text_col, _set_rows, "set long, fp binary, codes binary"))
         distinct = cut(made.groupBy("set").agg(F.min(key).alias("least"), F.min("fp").alias("fp"), F.min("codes").alias("codes")))
-        keyed = cut(distinct.select("set", "codes").mapInArrow(_wide_keyed, "key long, set long"))
+        every = distinct.select("set", "codes", "fp").mapInArrow(_wide_keyed, "key long, set long, head long")
+        keyed = cut(every.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_shared, "key long, set long"))
         tiles = tiled(keyed, "key", "set", tile).select(F.col("tile").alias("key"), "set")
         shown = tiles.join(distinct.select("set", "fp"), "set")
         loose = components(shown.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_linked, "a long, b long"))
