@@ -715,3 +715,35 @@ def test_queries_run_large_stages_in_small_methods_and_write_no_second_table_of_
         n = len(made)
         parts = ml_queries.splits(spark, sf)
         assert len(made) == n and sum(x.count() for x in parts) == rows.filter("Cancelled = 0 and ArrDel15 is not null and Year between 1995 and 2001").count()
+
+
+def test_models_read_equal_trips_once_and_weigh_them(spark):
+    from wayfare.ml import models
+    from wayfare.plans import views as v
+    from wayfare.sources import tables
+
+    sf, names = "/root/testdata/sf0.001", [*schema.FEATURES, "Cancelled", "ArrDel15"]
+    with tables.scope(spark):
+        cells = v.cells(spark, sf)
+        sums = lambda df, n: {tuple(round(x, 9) if isinstance(x, float) else x for x in r[:-1]): r[-1] for r in df.groupBy(*names).agg(n.alias("n")).select(*names, "n").collect()}
+        got = sums(cells, F.sum(schema.COUNT))
+    with tables.scope(spark):
+        want = v.prepared(spark, sf)
+        assert got == sums(want, F.count("*")) and v.cells(spark, sf) is want  # what a query has made is read
+    once = learnable(spark, 600).withColumn(schema.COUNT, F.pmod(F.xxhash64("DepHour", "label", "Route"), F.lit(4)) + 1)
+    each = models.spread(once)
+    assert each.count() == once.agg(F.sum(schema.COUNT)).first()[0] > 600 and schema.COUNT not in each.columns
+    scored = [models.score(models.fit_logistic(x), x) for x in (once, each)]
+    a, b = ({(r.DepHour, r.Route): r.p for r in x.collect()} for x in scored)
+    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-3) for k in a)
+    first = scored[0].localCheckpoint()
+    for f in (metrics.core, metrics.stratification, metrics.best_threshold, metrics.brier, lambda x: metrics.ensemble_weight(x.withColumns({"p_a": F.col("p"), "p_b": F.lit(0.4)}))):
+        x, y = (sorted(tuple(round(v, 9) for v in r) for r in f(t).collect()) for t in (first, models.spread(first)))
+        assert x == y
+    assert models.class_weights(once) == models.class_weights(each)
+    vectors = [models.TreeVectors(x).of(x).groupBy("label").agg(F.sum("weight")).collect() for x in (once, each)]
+    assert {r[0]: round(r[1], 6) for r in vectors[0]} == {r[0]: round(r[1], 6) for r in vectors[1]}
+    encoded = [{r.Route: r.Route_enc for r in models.PipelineModel(models.TreeVectors(x).serving.stages[:2]).transform(x).select("Route", "Route_enc").distinct().collect()} for x in (once, each)]
+    assert len(encoded[0]) == 3 and all(math.isclose(encoded[0][k], encoded[1][k]) for k in encoded[0])
+    by_hour = [{r.DepHour: r.c for r in models.calibrated(models.fit_logistic(each), x).transform(each).groupBy("DepHour").agg(F.avg("calibrated").alias("c")).collect()} for x in (once, each)]
+    assert all(math.isclose(by_hour[0][h], by_hour[1][h], abs_tol=1e-6) for h in by_hour[0])
