@@ -409,6 +409,30 @@ def test_network_keeps_its_best_stage(spark, monkeypatch):
     assert model.stages[-1].weights == seen[1].weights != seen[3].weights
 
 
+def test_network_is_fitted_on_weighted_rows(spark, monkeypatch):
+    import numpy as np
+
+    from wayfare.ml import models
+
+    rng, layers = np.random.default_rng(1), [3, 4, 2]
+    x, y, w = rng.normal(size=(50, 3)), rng.integers(0, 2, 50), rng.random(50) * 9
+    at = rng.normal(size=(3 + 1) * 4 + (4 + 1) * 2)
+    loss, grad = models.network_loss(at, layers, x, y, w)
+    for i in range(len(at)):
+        step = np.eye(len(at))[i] * 1e-5
+        assert math.isclose((models.network_loss(at + step, layers, x, y, w)[0] - models.network_loss(at - step, layers, x, y, w)[0]) / 2e-5, grad[i], rel_tol=1e-4, abs_tol=1e-5)
+    low = list(models.itertools.islice(models.descent(lambda v: (float(((v - 3) ** 2 * [1, 50]).sum()), 2 * (v - 3) * [1, 50]), np.zeros(2)), 30))[-1]
+    assert np.allclose(low, 3, atol=1e-4)
+    # MLlib's model computes what the loss was taken of
+    net = models.MultilayerPerceptronClassifier(layers=layers, maxIter=0, initialWeights=models.Vectors.dense(at))
+    rows = spark.createDataFrame([(float(b), models.Vectors.dense(a)) for a, b in zip(x, y)], ["label", "features"])
+    p = np.array([r.probability.toArray() for r in net.fit(rows).transform(rows).collect()])
+    assert math.isclose(-(w * np.log(p[np.arange(50), y])).sum(), loss, rel_tol=1e-9)
+    monkeypatch.setattr(models, "balanced", lambda *a: 1 / 0)  # no row is repeated by its weight
+    train = learnable(spark, 600)
+    assert models.fit_network(train, train, (4,), stages=1, epochs=12)[1].first().val_auc > 0.7
+
+
 def test_balanced_rows_weigh_the_same(spark):
     from pyspark.ml.functions import array_to_vector
 
