@@ -52,7 +52,7 @@ TILE, SEARCHED = 500_000, 1000
 #: The wide form: shingle, similarity as a fraction (so that comparing is exact), segments, and bits that may differ.
 WIDE_SHINGLE, LEAST, WIDE_SEGMENTS, WIDE_RADIUS = 5, (4, 5), 10, 60
 #: Which of a wide fingerprint's bits its head has, and how many of them may differ: at a similarity of 0.8 some 10 of the 64 do, more than
-#: 24 for about one pair in a million, as many as differ in more than WIDE_RADIUS of all bits.
+#: 24 for some three pairs in a million; some six in a million differ in more than WIDE_RADIUS of all bits.
 HEAD, HEAD_RADIUS = np.arange(64) * (WIDE_SEGMENTS * 23) // 64, 24
 #: Rows of a key up to which heads are compared; those of a larger one all go on.
 COMPARED = 2000
